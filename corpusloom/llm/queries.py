@@ -64,10 +64,17 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, (whole * size +
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
+        "op6_toxicity": op6_toxicity,
     }
 
 
