@@ -70,11 +70,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
         "op6_toxicity": op6_toxicity,
+        "op7_bpe": op7_bpe,
     }
 
 
