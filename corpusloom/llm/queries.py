@@ -76,12 +76,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
         "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
+        "op9_jaccard": op9_jaccard,
     }
 
 
