@@ -82,6 +82,12 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
         "op9_jaccard": op9_jaccard,
+        "op10_suffix": op10_suffix,
     }
 
 
