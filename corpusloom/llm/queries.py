@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import ledger, verdicts
 
@@ -64,6 +70,12 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, (whole * size +
 """
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -90,8 +102,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_media": op1_media,
         "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
+        "op5_html": op5_html,
         "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
         "op9_jaccard": op9_jaccard,
