@@ -20,6 +20,59 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """The crawl's log: page p was fetched on day p mod 365 of 2024."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")).alias("fetched"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries over the hosts of the crawl, dealt by a checksum of the host: a quarter are blocked,
+    freed and blocked again, a quarter have one directory blocked; two parent domains come and go."""
+    from .url_filters import host_of
+
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    n = F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int")
+    day = lambda k: F.date_add(F.lit("2024-01-01").cast("date"), k)
+    entry = lambda pattern, category, action, at: F.struct(pattern.alias("pattern"), F.lit(category).alias("category"), F.lit(action).alias("action"), at.alias("at"))
+    host, folder = F.col("host"), F.concat(F.col("host"), F.lit("/en"))
+    own = (
+        F.when(n % 4 == 0, F.array(entry(host, "malware", "add", day(n % 100)), entry(host, "malware", "remove", day(n % 100 + 60)), entry(host, "malware", "add", day(n % 100 + 150))))
+        .when(n % 4 == 1, F.array(entry(folder, "spam", "add", day(n % 300))))
+        .otherwise(F.array())
+    )
+    few = pages.sparkSession.sql("SELECT 'example.net' AS pattern, 'adult' AS category, a AS action, d AS at FROM VALUES ('add', DATE'2024-03-01'), ('remove', DATE'2024-09-01') AS t(a, d)")
+    return hosts.select(F.inline(own)).union(few)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import url_filter
+
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter(captures(pages), list_entries(pages))
+
+
+OP2_SQL = r"""
+WITH c AS (SELECT page_id, url, (DATE '2024-01-01' + (page_id % 365)::INT)::DATE AS fetched,
+  rtrim(lower(regexp_extract(coalesce(url, ''), '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+  regexp_extract(coalesce(url, ''), '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 4))::INT AS n FROM c WHERE host <> ''),
+i AS (SELECT host AS pattern, 'malware' AS category, DATE '2024-01-01' + n % 100 AS since, DATE '2024-01-01' + (n % 100 + 60) AS until FROM h WHERE n % 4 = 0
+  UNION ALL SELECT host, 'malware', DATE '2024-01-01' + (n % 100 + 150), NULL FROM h WHERE n % 4 = 0
+  UNION ALL SELECT host || '/en', 'spam', DATE '2024-01-01' + n % 300, NULL FROM h WHERE n % 4 = 1
+  UNION ALL SELECT 'example.net', 'adult', DATE '2024-03-01', DATE '2024-09-01'),
+m AS (SELECT c.page_id, c.url, i.category FROM c JOIN i ON (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(host || path || '/', pattern || '/'))
+  AND since <= fetched AND (until IS NULL OR fetched < until)),
+g AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS cats FROM m GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched, coalesce(n, 0)::BIGINT AS n_entries, coalesce(cats, '') AS categories, n IS NOT NULL AS blocked FROM c LEFT JOIN g USING (page_id)
+"""
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_shards import materialise, read_back
+
+    return read_back(*materialise(_table(spark, sf_dir, "documents")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import ledger, verdicts
 
@@ -103,15 +156,17 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_media": op1_media,
+        "op2_url_filters": op2_url_filters,
         "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
         "op5_html": op5_html,
         "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
+        "op8_token_shards": op8_token_shards,
         "op9_jaccard": op9_jaccard,
         "op10_suffix": op10_suffix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_mixing": OP4_SQL}
+    return {"op2_url_filters": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_mixing": OP4_SQL}
