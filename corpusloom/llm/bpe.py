@@ -14,10 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_buckets, written
+from .common import n_buckets, new_path, release_shuffles, written
+from .media import _store
 
 #: A batch of documents shares one local dictionary; it ends at so many words or distinct words.
 BATCH_WORDS, BATCH_DISTINCT = 8_000_000, 600_000
+#: A row of packed documents ends at so many words or documents.
+ROW_WORDS, ROW_DOCS = 200_000, 2_000
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -92,10 +95,10 @@ def _splitter(path: str):
     return split
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     import zstandard
 
-    return zstandard.compress(b"".join([np.array([len(arrays), *[len(a.tobytes()) for a in arrays]], np.uint64).tobytes(), *[a.tobytes() for a in arrays]]), 3)
+    return zstandard.compress(b"".join([np.array([len(arrays), *[len(a.tobytes()) for a in arrays]], np.uint64).tobytes(), *[a.tobytes() for a in arrays]]), level)
 
 
 def _unpack(blob: bytes, *types) -> list[np.ndarray]:
@@ -136,7 +139,7 @@ def _split_words(path: str, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, part, number = _splitter(path), TaskContext.get().partitionId(), 0
         local: dict[str, int] = {}
-        words = 0
+        words = pending = 0
 
         def dictionary(batch: int) -> pd.DataFrame:
             raw = [w.encode() for w in local]
@@ -149,24 +152,31 @@ def _split_words(path: str, buckets: int):
                 if len(own):
                     chosen = [raw[i] for i in own]
                     rows.append((batch, k, _pack(np.diff(own, prepend=0).astype(np.uint32), np.array([len(w) for w in chosen], np.uint32), np.frombuffer(b"".join(chosen), np.uint8))))
-            return pd.DataFrame(rows, columns=["batch", "wb", "blob"]).assign(doc_id=None)
+            return pd.DataFrame(rows, columns=["batch", "wb", "blob"]).assign(ids=None)
+
+        held: list[tuple[str | None, np.ndarray]] = []
+
+        def documents(batch: int) -> pd.DataFrame:
+            blob = _pack(_varint(np.concatenate([x for _, x in held])), np.array([len(x) for _, x in held], np.uint32), level=7)
+            out = pd.DataFrame({"batch": [batch], "wb": [-1], "blob": [blob], "ids": [[i for i, _ in held]]})
+            held.clear()
+            return out
 
         for pdf in batches:
-            at, blobs, ids = 0, [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, text in zip(pdf["d"], pdf["text"]):
                 found = split(text) if isinstance(text, str) and text else []
-                index = np.array([local.setdefault(w, len(local)) for w in found], np.uint32)
-                blobs.append(_pack(_varint(index)))
-                ids.append(doc_id)
-                words += len(found)
-                if words >= BATCH_WORDS or len(local) >= BATCH_DISTINCT:
-                    batch = part * 1_000_000 + number
-                    yield pd.DataFrame({"batch": batch, "wb": -1, "blob": blobs, "doc_id": pd.Series(ids, dtype=object)})
-                    yield dictionary(batch)
-                    blobs, ids, words, number = [], [], 0, number + 1
+                held.append((doc_id, np.array([local.setdefault(w, len(local)) for w in found], np.uint32)))
+                words, pending = words + len(found), pending + len(found)
+                full = words >= BATCH_WORDS or len(local) >= BATCH_DISTINCT
+                if full or pending >= ROW_WORDS or len(held) >= ROW_DOCS:
+                    yield documents(part * 1_000_000 + number)
+                    pending = 0
+                if full:
+                    yield dictionary(part * 1_000_000 + number)
+                    words, number = 0, number + 1
                     local.clear()
-            if blobs:
-                yield pd.DataFrame({"batch": part * 1_000_000 + number, "wb": -1, "blob": blobs, "doc_id": pd.Series(ids, dtype=object)})
+        if held:
+            yield documents(part * 1_000_000 + number)
         if local:
             yield dictionary(part * 1_000_000 + number)
 
@@ -192,35 +202,74 @@ def _encode_bucket(path: str):
     return run
 
 
-def _rejoin(docs: pd.DataFrame, coded: pd.DataFrame) -> Iterator[tuple]:
-    """(doc_id, ids) of the documents of one batch."""
-    parts = [_unpack(x, np.uint32, np.uint32, np.uint32) for x in coded["codes"]]
-    local = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts]) if parts else np.empty(0, np.int64)
-    count = np.zeros(len(local), np.int64)
-    first = np.zeros(len(local), np.int64)
-    if parts:
+def _write_dictionary(folder: str):
+    """The codes of a batch's words, in the order of their local numbers, as one file of the batch."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        store, path = _store(folder)
+        store.create_dir(path, recursive=True)
+        parts = [_unpack(x, np.uint32, np.uint32, np.uint32) for x in pdf["codes"]]
+        local = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts])
         counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
         codes = np.concatenate([p[2] for p in parts])
-        count[local] = counts
-        first[local] = np.cumsum(counts) - counts
-    for doc_id, blob in zip(docs["doc_id"], docs["blob"]):
-        index = _unvarint(_unpack(blob, np.uint8)[0]).astype(np.int64)
-        n = count[index]
-        end = np.cumsum(n)
-        yield doc_id, codes[np.repeat(first[index] - (end - n), n) + np.arange(int(n.sum()))] if len(index) else np.empty(0, np.uint32)
-
-
-def coded(docs: DataFrame, path: str | None = None):
-    """(documents as packed local word numbers, ids of each batch's words): the two sides of the join by
-    position. Every distinct word of the corpus is encoded once, in the bucket of its checksum; only a
-    batch's distinct words travel, so a frequent word costs one entry a batch."""
+        order = np.argsort(local)
+        first = (np.cumsum(counts) - counts)[order]
+        n = counts[order]
+        codes = codes[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(codes))]
+        batch = int(pdf["batch"].iloc[0])
+        temp = f"{path}/.{batch}-{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(temp) as out:
+            out.write(_pack(n.astype(np.uint32), codes))
+        store.move(temp, f"{path}/{batch}")
+        return pd.DataFrame({"batch": [batch], "n_words": [len(n)]})
+
+    return run
+
+
+def _dictionary(folder: str, batch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes a word, where they begin, codes) of a batch; a batch of empty texts has none."""
+    store, path = _store(folder)
+    if store.get_file_info(f"{path}/{batch}").size is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+    with store.open_input_file(f"{path}/{batch}") as f:
+        n, codes = _unpack(f.read(), np.uint32, np.uint32)
+    n = n.astype(np.int64)
+    return n, np.cumsum(n) - n, codes
+
+
+def coded(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
+    """(packed documents, folder of the batches' dictionaries): the two sides of the join by position.
+
+    Every distinct word of the corpus is encoded once, in the bucket of its checksum; only a batch's
+    distinct words travel, so a frequent word costs one entry a batch. The codes come back as one file a
+    batch in the shared folder, so the packed documents, the larger side, never move."""
     path = path or default_tokenizer()
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     buckets = n_buckets(spark, 2)
-    split = written(docs.select("doc_id", "text").mapInPandas(_split_words(path, buckets), f"batch long, wb int, blob binary, doc_id {kind}"), "bpe-words")
+    rows = docs.select(F.col("doc_id").cast("string").alias("d"), "text")
+    split = written(rows.mapInPandas(_split_words(path, buckets), "batch long, wb int, blob binary, ids array<string>"), "bpe-words")
     ids = split.where("wb >= 0").select("batch", "wb", "blob").groupBy("wb").applyInPandas(_encode_bucket(path), "batch long, codes binary")
-    return split.where("wb < 0").select("batch", "doc_id", "blob"), ids
+    folder = new_path(spark, "bpe-dictionaries")
+    written(ids.groupBy("batch").applyInPandas(_write_dictionary(folder), "batch long, n_words long"), "bpe-batches")
+    release_shuffles(spark)
+    return split.where("wb < 0").select("batch", "ids", "blob"), folder
+
+
+def decoded_ids(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[str | None, np.ndarray]]]:
+    """Lists of (doc_id as text, ids) from packed documents."""
+    now, n, first, codes = None, None, None, None
+    for pdf in batches:
+        for batch, names, blob in zip(pdf["batch"], pdf["ids"], pdf["blob"]):
+            if batch != now:
+                now, (n, first, codes) = batch, _dictionary(folder, batch)
+            numbers, sizes = _unpack(blob, np.uint8, np.uint32)
+            index, out, at = _unvarint(numbers).astype(np.int64), [], 0
+            for doc_id, size in zip(names, sizes.tolist()):
+                own = index[at : at + size]
+                at += size
+                k = n[own]
+                out.append((doc_id, codes[np.repeat(first[own] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))] if size else codes[:0]))
+            yield out
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -230,17 +279,18 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     (0 tokens, hashes of nothing); added tokens in a text get their own ids; repeated rows and null ids
     give a row each; an empty table gives no rows; other columns are never read."""
     path = path or default_tokenizer()
-    words, ids = coded(docs, path)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    words, folder = coded(docs, path)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pieces(path)
         names = [str(i) for i in range(len(table))]
-        rows = []
-        for doc_id, x in _rejoin(a, b):
-            x = x.tolist()
-            text = b"".join([table[i] for i in x]).decode("utf-8", "replace").encode()
-            rows.append((doc_id, len(x), hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return words.groupBy("batch").cogroup(ids.groupBy("batch")).applyInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for documents in decoded_ids(folder, batches):
+            rows = []
+            for doc_id, x in documents:
+                x = x.tolist()
+                text = b"".join([table[i] for i in x]).decode("utf-8", "replace").encode()
+                rows.append((doc_id, len(x), hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
+            yield pd.DataFrame(rows, columns=["d", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    done = words.mapInPandas(run, "d string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return done.select(F.col("d").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
