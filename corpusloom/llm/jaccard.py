@@ -230,6 +230,16 @@ class Join:
         return rows.repartition(n_buckets(self.spark, 1), "x", "salt").sortWithinPartitions("x", "salt", "role").mapInPandas(_verify, "a long, b long").distinct()
 
 
+def _roots(join: Join) -> DataFrame:
+    """(s, least, root) of every set that isn't empty: least is its smallest doc_id."""
+    ids = join.rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
+    links = join.links()
+    if links.isEmpty():
+        return written(ids.withColumn("root", F.col("s")), "jaccard-roots")
+    roots = components(links).select(F.col("node").alias("s"), "root")
+    return written(ids.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "jaccard-roots")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
@@ -238,17 +248,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null id takes part but is never a component_id unless all ids of its component are null; repeated
     rows give a row each; an empty table gives no rows; other columns are never read."""
     join = Join(docs)
-    links = join.links()
-    rows = join.rows.select("doc_id", "s", "n")
-    ids = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
-    if not links.isEmpty():
-        roots = components(links)
-        tagged = ids.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        tagged = written(tagged, "jaccard-tagged")
-        best = tagged.groupBy("root").agg(F.min("least").alias("component_id"))
-        ids = tagged.join(best, "root").select("s", "component_id")
-    else:
-        ids = ids.withColumnRenamed("least", "component_id")
-    ids = written(ids, "jaccard-ids")
-    empty = F.col("n") == 0
-    return rows.join(ids, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    roots = _roots(join)
+    best = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = written(roots.join(best, "root").select("s", "component_id"), "jaccard-ids")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return join.rows.select("doc_id", "s", "n").join(ids, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def best_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when each component keeps one document, that with the smallest id (null
+    ids last); texts without words all stay; of repeated rows (same id, same text) one stays. docs has no
+    columns named _d or _k."""
+    join = Join(docs)
+    roots = _roots(join).select("s", "root")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    best = join.rows.where("n > 0").join(roots, "s").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")).alias("r"))
+    keep = best.select(name(F.col("r.doc_id")).alias("_d"), F.col("r.k").alias("_k")).union(join.rows.where("n = 0").select(name(F.col("doc_id")), "k")).distinct()
+    keyed = docs.select("*", name(F.col("doc_id")).alias("_d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_k"))
+    return keyed.join(written(keep, "jaccard-keep"), ["_d", "_k"], "left_semi").dropDuplicates(["_d", "_k"]).drop("_d", "_k")

@@ -53,9 +53,9 @@ def _inverse(share, schedule):
     return out
 
 
-def curriculum(docs: DataFrame, seed: int = 7, schedules=SCHEDULES, text_col: str = "text") -> DataFrame:
+def curriculum(docs: DataFrame, seed: int = 7, schedules=SCHEDULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, taken,
-    passes, positions.
+    passes, positions, and the carried columns.
 
     A source whose target is q times its size takes each of its documents floor(q) times, then, in an
     order dealt by a seeded hash of doc_id, further documents until the target is met; the last of these
@@ -68,13 +68,12 @@ def curriculum(docs: DataFrame, seed: int = 7, schedules=SCHEDULES, text_col: st
     Null text has size 0; null sources form a source of their own; empty documents take 0 words in
     floor(q) passes; equal ids are ordered by size; an empty table gives no rows. Reruns agree.
     """
-    spark = docs.sparkSession
-    base = written(docs.select("doc_id", "source", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
-    return place(base, seed, schedules)
+    base = written(docs.select("doc_id", "source", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *carry), "mix-sizes")
+    return place(base, seed, schedules, carry)
 
 
-def place(base: DataFrame, seed: int = 7, schedules=SCHEDULES) -> DataFrame:
-    """curriculum() from rows doc_id, source, size."""
+def place(base: DataFrame, seed: int = 7, schedules=SCHEDULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """curriculum() from rows doc_id, source, size and what is carried along."""
     sources = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n")), "mix-sources")
     n_sources, n_docs = sources.count(), base.count()
     side = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
@@ -107,6 +106,7 @@ def place(base: DataFrame, seed: int = 7, schedules=SCHEDULES) -> DataFrame:
         (F.col("_whole") * F.col("size") + F.col("_extra")).alias("taken"),
         passes.alias("passes"),
         F.when(passes > 0, F.transform(F.sequence(F.lit(0), passes - 1), at)).otherwise(F.array().cast("array<double>")).alias("positions"),
+        *carry,
     )
 
 

@@ -469,18 +469,23 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return written(spans.groupBy("bucket").applyInPandas(_by_text(_SPAN, True), "k1 long, k2 long, body binary"), "suffix-spans")
 
 
+def _plain(docs: DataFrame, c: str):
+    """A column as text: pandas would turn whole numbers with nulls into floats."""
+    return F.col(c).cast("string")
+
+
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT) -> DataFrame:
     """The carried columns of every row of docs, then n_bytes, n_removed, n_spans, kept_sha256, and with
-    with_text the remaining bytes as kept.
+    with_text the remaining text as kept (a character that a cut splits is left out).
 
     Every byte covered by a string of LENGTH bytes that also starts elsewhere goes, in all copies. Null
     text counts as empty; a text is named by 96 bits of its hashes, so repeated rows and equal texts get
     equal results; null ids take part; an empty table gives no rows; other columns are never read."""
-    keyed = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)], "doc_id", "text", *text_key(F.col("text"))).withColumn("k2", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keyed = docs.select(*[_plain(docs, c).alias(f"c{k}") for k, c in enumerate(carry)], F.col("doc_id"), F.col("text"), *text_key(F.col("text"))).withColumn("k2", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)))
     spans = repeated_spans(keyed, hot)
     own = [f"c{k}" for k in range(len(carry))]
     rows = keyed.drop("doc_id").join(spans, ["k1", "k2"], "left").select(*own, "text", "body")
-    schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = ", ".join(f"c{k} string" for k in range(len(carry))) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -492,9 +497,9 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_t
                     s = np.frombuffer(body, "<u4").reshape(-1, 2).tolist()
                     kept = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in s]], [*[a for a, _ in s], len(raw)]))
                     removed, n = len(raw) - len(kept), len(s)
-                out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
+                out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))
             cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
             yield pd.concat([pdf[own].reset_index(drop=True), pd.DataFrame(out, columns=cols)], axis=1)
 
     result = rows.mapInPandas(cut, schema)
-    return result.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+    return result.select(*[F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
