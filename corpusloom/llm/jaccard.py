@@ -124,8 +124,7 @@ def _candidates(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: each list's documents with its first one (filtered by length and position), and
     the lists of three and more whole (a = 0), as rows (g, a, b, n, p)."""
     r = np.concatenate([_unsqueeze(x) for x in pdf["blob"]])
-    r = r[np.lexsort((r["s"], r["g"]))]
-    r = r[np.r_[True, (r["g"][1:] != r["g"][:-1]) | (r["s"][1:] != r["s"][:-1])]]
+    r = np.unique(r[["g", "p", "s", "n"]])  # a list begins with the document that has fewest rarer shingles
     new = np.r_[True, r["g"][1:] != r["g"][:-1]]
     first = np.flatnonzero(new)
     size = np.diff(np.r_[first, len(r)])
