@@ -23,9 +23,9 @@ LENGTH, K = 400, 96
 LEFT = LENGTH - K
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
-#: Different surroundings of one gram up to which they are sorted together; those of a more frequent
-#: gram are compared string by string instead, dealt out by the string's hash.
-HOT = 256
+#: Different surroundings of one gram up to which they are sorted together. Those of a more frequent gram
+#: are told apart by ranges of offsets first, PARTS at a time, each dealt out anew by its own hash.
+HOT, PARTS = 256, 8
 #: Suffixes sorted at once.
 SORTED = 4096
 
@@ -33,9 +33,9 @@ _U = np.uint64
 _RNG = np.random.default_rng(77031)
 _LETTERS = [(_RNG.integers(1, 1 << 62, 256, dtype=np.uint64) << _U(1)) | _U(1) for _ in range(2)]
 _BASES = [_U(0xB5297A4D3F84D5B5), _U(0xC2B2AE3D27D4EB4F)]
-_ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ctx2", "<u4"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("mult", "u1")])
+_ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ctx2", "<u4"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("lo", "<u2"), ("hi", "<u2"), ("mult", "u1")])
 _SPAN = np.dtype([("t1", "<i8"), ("t2", "<u4"), ("a", "<u4"), ("b", "<u4")])
-_REQUEST = np.dtype([("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("key", "<u8"), ("mult", "u1"), ("hot", "u1")])
+_REQUEST = np.dtype([("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("key", "<u8"), ("lo", "<u2"), ("hi", "<u2"), ("mult", "u1"), ("hot", "u1")])
 _CONTEXT = np.dtype([("key", "<u8"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("mult", "u1"), ("raw", "u1", (LEFT + LENGTH,))])
 _STRING = np.dtype([("h", "<u8"), ("h2", "<u4"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("mult", "u1")])
 
@@ -135,7 +135,7 @@ def _records(buf: bytes, ends: np.ndarray, offset: int, whole: int | None) -> np
     text = np.searchsorted(ends, pos, side="right")
     start, end = np.r_[0, ends][text], ends[text] if len(pos) else pos
     left, right = np.minimum(pos - start, LEFT), np.minimum(end - pos, LENGTH)
-    out["key"], out["pos"], out["left"], out["right"], out["mult"] = key, pos + offset, left, right, 1
+    out["key"], out["pos"], out["left"], out["right"], out["hi"], out["mult"] = key, pos + offset, left, right, LEFT, 1
     size = left.astype(np.uint64) << _U(16) | right.astype(np.uint64)
     out["ctx"] = first.of(pos - left, pos + right) ^ mix(size)
     out["ctx2"] = (second.of(pos - left, pos + right) ^ size).astype(np.uint32)
@@ -191,45 +191,68 @@ def _find_anchors(buckets: int):
                 r = np.concatenate(found) if found else np.empty(0, _ANCHOR)
                 if not len(r):
                     continue
-                r, cls, twice = _combined(r, ("key", "ctx", "ctx2"))
-                again = twice[cls]
-                d = r[again]
-                rows = []
-                if len(d):
-                    s = np.unique(_spans(d["t1"], d["t2"], d["pos"] - d["left"], d["pos"] + d["right"]))
-                    rows += _rows(0, s["t1"] % buckets, s)
-                one = r[np.r_[True, cls[1:] != cls[:-1]]].copy()
-                one["mult"] = np.minimum(np.bincount(cls, r["mult"]), 2)
-                rows += _rows(1, (one["key"] % _U(buckets)).astype(np.int64), one)
-                yield _frame(rows)
+                yield _frame(_dealt(r, buckets))
 
     return run
 
 
-def _classes(buckets: int, hot: int):
-    """Of one bucket of grams: spans of repeated surroundings, and requests for the bytes around grams
-    with several surroundings of which one at least isn't settled."""
+def _dealt(r: np.ndarray, buckets: int) -> list:
+    """Rows of a batch's records by bucket of their gram. Equal surroundings within the batch are settled
+    here: they give spans (kind 0), and one of them goes on (kind 1), counting as two."""
+    if not len(r):
+        return []
+    r, cls, twice = _combined(r, ("key", "ctx", "ctx2"))
+    rows, d = [], r[twice[cls]]
+    if len(d):
+        s = np.unique(_spans(d["t1"], d["t2"], d["pos"] - d["left"], d["pos"] + d["right"]))
+        rows += _rows(0, s["t1"] % buckets, s)
+    one = r[np.r_[True, cls[1:] != cls[:-1]]].copy()
+    one["mult"] = np.minimum(np.bincount(cls, r["mult"]), 2)
+    return rows + _rows(1, (one["key"] % _U(buckets)).astype(np.int64), one)
+
+
+def _classes(r: np.ndarray, buckets: int, hot: int) -> list:
+    """Of the records of one bucket: spans of repeated surroundings (kind 0), and requests (kind 1) for
+    the bytes around grams with several surroundings of which one at least isn't settled."""
+    r, cls, twice = _combined(r, ("key", "ctx", "ctx2"))
+    rows, d = [], r[twice[cls]]
+    if len(d):
+        rows += _rows(0, d["t1"] % buckets, _spans(d["t1"], d["t2"], d["pos"] - d["left"], d["pos"] + d["right"]))
+    one = r[np.r_[True, cls[1:] != cls[:-1]]]
+    group = np.cumsum(np.r_[True, one["key"][1:] != one["key"][:-1]]) - 1
+    size, open_ = np.bincount(group), np.bincount(group, ~twice) > 0
+    ask = ((size >= 2) & open_)[group]
+    q = np.zeros(int(ask.sum()), _REQUEST)
+    for c in ("t1", "t2", "pos", "key", "lo", "hi"):
+        q[c] = one[c][ask]
+    q["mult"], q["hot"] = 1 + twice[ask], size[group][ask] > hot
+    return rows + (_rows(1, q["t1"] % buckets, q) if len(q) else [])
+
+
+def _reduced(buckets: int, hot: int):
+    """One bucket of rows of any kind: spans go on (0), records become spans and requests (1), the
+    surroundings that were asked for become spans (2)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, kind = [], pdf["kind"]
         with np.errstate(over="ignore"):
-            old = _cat(pdf["blob"][pdf["kind"] == 0], _SPAN)
-            rows = _rows(0, old["t1"] % buckets, old) if len(old) else []
-            r = _cat(pdf["blob"][pdf["kind"] == 1], _ANCHOR)
+            old = [_cat(pdf["blob"][kind == 0], _SPAN)]
+            r = _cat(pdf["blob"][kind == 1], _ANCHOR)
             if len(r):
-                r, cls, twice = _combined(r, ("key", "ctx", "ctx2"))
-                d = r[twice[cls]]
-                if len(d):
-                    rows += _rows(0, d["t1"] % buckets, _spans(d["t1"], d["t2"], d["pos"] - d["left"], d["pos"] + d["right"]))
-                one = r[np.r_[True, cls[1:] != cls[:-1]]]
-                group = np.cumsum(np.r_[True, one["key"][1:] != one["key"][:-1]]) - 1
-                size, open_ = np.bincount(group), np.bincount(group, ~twice) > 0
-                ask = ((size >= 2) & open_)[group]
-                q = np.zeros(int(ask.sum()), _REQUEST)
-                for c in ("t1", "t2", "pos", "key"):
-                    q[c] = one[c][ask]
-                q["mult"], q["hot"] = 1 + twice[ask], size[group][ask] > hot
-                if len(q):
-                    rows += _rows(1, q["t1"] % buckets, q)
+                rows += _classes(r, buckets, hot)
+            c = _cat(pdf["blob"][kind == 2], _CONTEXT)
+            if len(c):
+                c = c[np.lexsort((c["pos"], c["t2"], c["t1"], c["key"]))]
+                c = c[np.r_[True, np.any([c[f][1:] != c[f][:-1] for f in ("key", "t1", "t2", "pos")], axis=0)]]
+                ends = np.r_[np.flatnonzero(c["key"][1:] != c["key"][:-1]) + 1, len(c)]
+                at = 0
+                while at < len(c):
+                    to = max(int(ends[np.searchsorted(ends, at, side="right")]), int(ends[max(0, np.searchsorted(ends, at + SORTED, side="right") - 1)]))
+                    old.append(_shared(c[at:to]))
+                    at = to
+            s = np.unique(np.concatenate(old))
+            if len(s):
+                rows += _rows(0, s["t1"] % buckets, s)
         return _frame(rows)
 
     return run
@@ -259,44 +282,60 @@ def _by_text(dtype, merge: bool):
 
 
 def _answer(buckets: int):
-    """The bytes around the anchors that were asked for (kind 2), and for frequent grams the strings
-    around them one by one (kind 3), equal ones within a batch settled here (kind 0)."""
+    """The bytes around the anchors that were asked for (kind 2); around frequent grams, records of parts
+    of their range of offsets instead (kinds 0 and 1, see _parts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for pdf in batches:
-                contexts, strings = [], []
+                contexts, parts = [np.empty(0, _CONTEXT)], [np.empty(0, _ANCHOR)]
                 for text, body in zip(pdf["text"], pdf["body"]):
                     q = np.frombuffer(body, _REQUEST)
                     raw = np.frombuffer(text.encode(), np.uint8)
-                    c = np.zeros(len(q), _CONTEXT)
-                    for f in ("key", "t1", "t2", "pos", "mult"):
-                        c[f] = q[f]
-                    pos = q["pos"].astype(np.int64)
-                    c["left"], c["right"] = np.minimum(pos, LEFT), np.minimum(len(raw) - pos, LENGTH)
-                    at = pos[:, None] + np.arange(-LEFT, LENGTH)
-                    c["raw"] = np.where((at >= 0) & (at < len(raw)), raw[np.clip(at, 0, len(raw) - 1)], 0)
-                    hot = q["hot"] > 0
-                    if hot.any():
-                        strings += [_strings(c[hot][k : k + 512]) for k in range(0, int(hot.sum()), 512)]
-                    contexts.append(c[~hot])
-                rows = []
-                c = np.concatenate(contexts) if contexts else np.empty(0, _CONTEXT)
-                if len(c):
-                    rows += _rows(2, (c["key"] % _U(buckets)).astype(np.int64), c)
-                if strings:
-                    r, cls, twice = _combined(np.unique(np.concatenate(strings)), ("h", "h2"))
-                    d = r[twice[cls]]
-                    if len(d):
-                        rows += _rows(0, d["t1"] % buckets, _spans(d["t1"], d["t2"], d["pos"], d["pos"] + LENGTH))
-                    one = r[np.r_[True, cls[1:] != cls[:-1]]].copy()
-                    one["mult"] = np.minimum(np.bincount(cls, r["mult"]), 2)
-                    rows += _rows(3, (one["h"] % _U(buckets)).astype(np.int64), one)
-                yield _frame(rows)
+                    for k in range(0, len(q), 512):
+                        own = q[k : k + 512]
+                        c = np.zeros(len(own), _CONTEXT)
+                        for f in ("key", "t1", "t2", "pos", "mult"):
+                            c[f] = own[f]
+                        pos = own["pos"].astype(np.int64)
+                        c["left"], c["right"] = np.minimum(pos, LEFT), np.minimum(len(raw) - pos, LENGTH)
+                        at = pos[:, None] + np.arange(-LEFT, LENGTH)
+                        c["raw"] = np.where((at >= 0) & (at < len(raw)), raw[np.clip(at, 0, len(raw) - 1)], 0)
+                        hot = own["hot"] > 0
+                        if hot.any():
+                            parts.append(_parts(c[hot], own[hot]))
+                        if not hot.all():
+                            contexts.append(c[~hot])
+                c = np.concatenate(contexts)
+                yield _frame(_dealt(np.concatenate(parts), buckets) + (_rows(2, (c["key"] % _U(buckets)).astype(np.int64), c) if len(c) else []))
 
     return run
 
 
+def _parts(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Records for PARTS ranges of offsets within each request's range: their gram is what all strings of
+    the range have in common, their surroundings what they cover together."""
+    right, left = _halves(c, 0)
+    second = _halves(c, 1)
+    out = []
+    step = -(-(q["hi"].astype(np.int64) - q["lo"] + 1) // PARTS)
+    for k in range(PARTS):
+        lo = q["lo"] + k * step
+        hi = np.minimum(q["hi"], lo + step - 1)
+        who = np.flatnonzero((lo <= hi) & (np.maximum(lo, LENGTH - c["right"].astype(np.int64)) <= np.minimum(hi, c["left"])))
+        lo, hi = lo[who], hi[who]
+        r = np.zeros(len(who), _ANCHOR)
+        r["left"], r["right"] = np.minimum(hi, c["left"][who]), np.minimum(LENGTH - lo, c["right"][who])
+        place = mix(lo.astype(np.uint64) << _U(16) | hi.astype(np.uint64)) ^ c["key"][who]
+        size = mix(r["left"].astype(np.uint64) << _U(16) | r["right"].astype(np.uint64))
+        r["key"] = mix(mix(left[who, lo] + place) + right[who, LENGTH - hi])
+        r["ctx"] = mix(mix(left[who, r["left"]] ^ size) + right[who, r["right"]])
+        r["ctx2"] = mix(mix(second[1][who, r["left"]] ^ size) + second[0][who, r["right"]]).astype(np.uint32)
+        r["t1"], r["t2"], r["pos"], r["mult"], r["lo"], r["hi"] = c["t1"][who], c["t2"][who], c["pos"][who], q["mult"][who], lo, hi
+        out.append(r)
+    return np.concatenate(out)
+
+
 def _halves(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix hashes of the bytes from the anchor rightwards and leftwards, for each context."""
     power = _tables(LENGTH + 1, k)[0]
@@ -424,48 +463,29 @@ def _slowly(c: np.ndarray) -> np.ndarray:
     return _spans(c["t1"][k], c["t2"][k], c["pos"][k] - back, c["pos"][k] - back + LENGTH)
 
 
-def _resolve(buckets: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        with np.errstate(over="ignore"):
-            kind, out = pdf["kind"], [_cat(pdf["blob"][pdf["kind"] == 0], _SPAN)]
-            s = _cat(pdf["blob"][kind == 3], _STRING)
-            if len(s):
-                s, cls, twice = _combined(s, ("h", "h2"))
-                d = s[twice[cls]]
-                out.append(_spans(d["t1"], d["t2"], d["pos"], d["pos"] + LENGTH))
-            c = _cat(pdf["blob"][kind == 2], _CONTEXT)
-            if len(c):
-                c = c[np.lexsort((c["pos"], c["t2"], c["t1"], c["key"]))]
-                c = c[np.r_[True, np.any([c[f][1:] != c[f][:-1] for f in ("key", "t1", "t2", "pos")], axis=0)]]
-                ends = np.r_[np.flatnonzero(c["key"][1:] != c["key"][:-1]) + 1, len(c)]
-                at = 0
-                while at < len(c):
-                    to = max(int(ends[np.searchsorted(ends, at, side="right")]), int(ends[max(0, np.searchsorted(ends, at + SORTED, side="right") - 1)]))
-                    out.append(_shared(c[at:to]))
-                    at = to
-            s = np.unique(np.concatenate(out))
-            return _frame(_rows(0, s["t1"] % buckets, s) if len(s) else [])
-
-    return run
-
-
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(k1, k2, body): for each text of docs(doc_id, text, k1, k2) with repeated bytes, its merged spans
     as pairs of 32-bit offsets. k2 holds 32 bits."""
     spark = docs.sparkSession
     buckets = n_buckets(spark, 2)
     rows = "kind int, bucket int, blob binary"
-    found = docs.select("text", "k1", "k2").mapInPandas(_find_anchors(buckets), rows).groupBy("bucket").applyInPandas(_classes(buckets, hot), rows)
-    found = written(found, "suffix-found")
-    release_shuffles(spark)
-    ask = found.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInPandas(_by_text(_REQUEST, False), "k1 long, k2 long, body binary")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
-    named = docs.select("k1", "k2", name.alias("d"), "text")
-    first = named.groupBy("k1", "k2").agg(F.min("d").alias("d"))
-    answers = ask.join(first, ["k1", "k2"]).join(named, ["k1", "k2", "d"]).select("text", "body").mapInPandas(_answer(buckets), rows)
-    shared = written(answers.groupBy("bucket").applyInPandas(_resolve(buckets), rows), "suffix-shared")
-    release_shuffles(spark)
-    spans = found.where("kind = 0").select("bucket", "blob").union(shared.select("bucket", "blob"))
+    mapped, texts, spans = docs.select("text", "k1", "k2").mapInPandas(_find_anchors(buckets), rows), None, None
+    while mapped is not None:
+        found = written(mapped.groupBy("bucket").applyInPandas(_reduced(buckets, hot), rows), "suffix-found")
+        release_shuffles(spark)
+        own = found.where("kind = 0").select("bucket", "blob")
+        spans = own if spans is None else spans.union(own)
+        ask = found.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInPandas(_by_text(_REQUEST, False), "k1 long, k2 long, body binary")
+        if texts is None:
+            name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
+            named = docs.select("k1", "k2", name.alias("d"), "text")
+            first = named.groupBy("k1", "k2").agg(F.min("d").alias("d"))
+            asked = texts = written(ask.join(first, ["k1", "k2"]).join(named, ["k1", "k2", "d"]).select("k1", "k2", "text", "body"), "suffix-texts")
+            release_shuffles(spark)
+        else:
+            asked = ask.join(texts.drop("body"), ["k1", "k2"])
+        # each round narrows the ranges of frequent grams, from all offsets to one: at most four rounds
+        mapped = None if found.where("kind = 1").isEmpty() else asked.select("text", "body").mapInPandas(_answer(buckets), rows)
     return written(spans.groupBy("bucket").applyInPandas(_by_text(_SPAN, True), "k1 long, k2 long, body binary"), "suffix-spans")
 
 
