@@ -24,7 +24,9 @@ LENGTH, ROUNDS = 1024, 6
 #: Sequences in a shard.
 SHARD = 16_384
 #: Distinct words that a task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 300_000
+#: Documents that are split at once.
+DOCS = 256
 END = 50256
 
 
@@ -57,8 +59,8 @@ def _sequences(path: str, length: int):
         known: dict[str, bytes] = {}
         kind, end = np.dtype("<u2"), np.array([END], "<u2").tobytes()
         stride, rest, index = length * kind.itemsize, b"", 0
-        for pdf in batches:
-            texts = [split(x) if isinstance(x, str) and x else [] for x in pdf["text"]]
+        for some in (pdf["text"].iloc[k : k + DOCS] for pdf in batches for k in range(0, len(pdf), DOCS)):
+            texts = [split(x) if isinstance(x, str) and x else [] for x in some]
             if len(known) > MEMORY:
                 known.clear()
             new = list({w for words in texts for w in words if w not in known})
