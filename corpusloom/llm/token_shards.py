@@ -9,27 +9,41 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _splitter, _tokenizer, default_tokenizer
 from .common import new_path, release_shuffles, written
 from .media import _store
 
-LENGTH, ROUNDS = 1024, 6
-#: Sequences in a shard.
-SHARD = 16_384
-#: Distinct words that a task remembers before it starts anew.
-MEMORY = 300_000
-#: Documents that are split at once.
-DOCS = 256
+LENGTH, ROUNDS = 2048, 6
+#: Sequences in a shard, and in a row of the table of sequences.
+SHARD, BLOCK = 8_192, 256
 END = 50256
 
 
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@lru_cache(2)
+def _encoding(path: str):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0 .. n-1: a balanced Feistel network over the least even number of bits
     that holds n, walked along its cycle until the value falls below n."""
@@ -52,36 +66,48 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _sequences(path: str, length: int):
     """Each task's documents, an end token after each, cut into sequences; the last is filled with end
-    tokens, its count of real ones is kept."""
+    tokens, its count of real ones is kept. BLOCK sequences make a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, t, part = _splitter(path), _tokenizer(path), TaskContext.get().partitionId()
-        known: dict[str, bytes] = {}
-        kind, end = np.dtype("<u2"), np.array([END], "<u2").tobytes()
-        stride, rest, index = length * kind.itemsize, b"", 0
-        for some in (pdf["text"].iloc[k : k + DOCS] for pdf in batches for k in range(0, len(pdf), DOCS)):
-            texts = [split(x) if isinstance(x, str) and x else [] for x in some]
-            if len(known) > MEMORY:
-                known.clear()
-            new = list({w for words in texts for w in words if w not in known})
-            for k in range(0, len(new), 20_000):
-                known.update(zip(new[k : k + 20_000], (np.array(e.ids, kind).tobytes() for e in t.encode_batch(new[k : k + 20_000], add_special_tokens=False))))
-            rest += b"".join([x for words in texts for x in (*[known[w] for w in words], end)])
-            n = len(rest) // stride
-            if n:
-                yield pd.DataFrame({"part": part, "i": range(index, index + n), "n_tokens": length, "body": [rest[k * stride : (k + 1) * stride] for k in range(n)]})
-                rest, index = rest[n * stride :], index + n
-        if rest:
-            yield pd.DataFrame({"part": [part], "i": [index], "n_tokens": [len(rest) // kind.itemsize], "body": [rest + end * ((stride - len(rest)) // kind.itemsize)]})
+        import zstandard
+
+        encode, part = _encoding(path).encode_ordinary, TaskContext.get().partitionId()
+        end, size = np.array([END], "<u2"), length * BLOCK
+        held: list[np.ndarray] = []
+        count = index = 0
+
+        def row(ids: np.ndarray) -> pd.DataFrame:
+            n = -(-len(ids) // length)
+            whole = np.full(n * length, END, "<u2")
+            whole[: len(ids)] = ids
+            return pd.DataFrame({"part": [part], "i": [index], "n": [n], "n_tokens": [len(ids)], "blob": [zstandard.compress(whole.tobytes(), 9)]})
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                ids = np.array(encode(text), "<u2") if isinstance(text, str) and text else end[:0]
+                held += [ids, end]
+                count += len(ids) + 1
+                while count >= size:
+                    ids = np.concatenate(held)
+                    yield row(ids[:size])
+                    held, count, index = [ids[size:]], len(ids) - size, index + BLOCK
+        if count:
+            yield row(np.concatenate(held))
 
     return run
 
 
-def _slots(n: int, key: int):
+def _slots(n: int, key: int, starts, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        stride = 2 * length
         for pdf in batches:
-            slot = feistel(pdf["g"].to_numpy(), n, key)
-            yield pd.DataFrame({"shard": slot // SHARD, "slot": slot, "n_tokens": pdf["n_tokens"], "body": pdf["body"]})
+            for part, i, k, tokens, blob in zip(pdf["part"], pdf["i"], pdf["n"], pdf["n_tokens"], pdf["blob"]):
+                raw = zstandard.decompress(blob)
+                slot = feistel(starts.value[part] + i + np.arange(k), n, key)
+                own = np.minimum(tokens - np.arange(k) * length, length)
+                yield pd.DataFrame({"shard": slot // SHARD, "slot": slot, "n_tokens": own, "body": [zstandard.compress(raw[a * stride : (a + 1) * stride], 3) for a in range(k)]})
 
     return run
 
@@ -91,6 +117,8 @@ def _write(folder: str, per_shard: int, stride: int):
     a file of the final name is whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
         store, path = _store(folder)
         store.create_dir(path, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
@@ -107,9 +135,10 @@ def _write(folder: str, per_shard: int, stride: int):
                     done()
                     now, temp, at = shard, f"{path}/.{shard}-{attempt}", shard * per_shard
                     out = store.open_output_stream(temp)
-                if slot != at or len(body) != stride:
+                raw = zstandard.decompress(body)
+                if slot != at or len(raw) != stride:
                     raise ValueError(f"slot {slot} where {at} is due")
-                out.write(body)
+                out.write(raw)
                 at += 1
             yield pd.DataFrame({"shard": pdf["shard"], "slot": pdf["slot"], "offset": (pdf["slot"] - pdf["shard"] * per_shard) * stride, "n_tokens": pdf["n_tokens"]})
         done()
@@ -122,20 +151,20 @@ def materialise(docs: DataFrame, key: int = 20240607, path: str | None = None, l
     00000000.bin, 00000001.bin, ... of SHARD sequences of length 16-bit ids each (the last may be
     shorter). n_tokens counts ids before the filling.
 
-    Global numbers are those of the tasks' sequences one after the other, from a sum over the counts of
-    tasks; the order of training is the permutation's alone. Null and empty texts give one end token;
-    repeated rows are repeated; an empty table gives no rows and no shards; other columns are never read."""
+    Global numbers are those of the tasks' sequences one after the other, from the counts of tasks (one
+    number a task goes to the driver); the order of training is the permutation's alone. Null and empty
+    texts give one end token; repeated rows are repeated; an empty table gives no rows and no shards;
+    other columns are never read."""
     spark = docs.sparkSession
-    cut = written(docs.select("text").mapInPandas(_sequences(path or default_tokenizer(), length), "part int, i long, n_tokens int, body binary"), "token-sequences")
-    counts = cut.groupBy("part").agg(F.count("*").alias("n"))
-    starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # one row a task
-    total = cut.count()
+    cut = written(docs.select("text").mapInPandas(_sequences(path or default_ranks(), length), "part int, i long, n int, n_tokens long, blob binary"), "token-sequences")
+    starts, total = {}, 0
+    for r in cut.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        starts[r["part"]], total = total, total + r["n"]
     folder = new_path(spark, "token-shards")
-    shards = -(-total // SHARD) or 1
-    numbered = cut.join(starts, "part").select((F.col("start") + F.col("i")).alias("g"), "n_tokens", "body")
-    dealt = numbered.mapInPandas(_slots(total, key), "shard long, slot long, n_tokens int, body binary")
-    rows = dealt.repartition(shards, "shard")
-    index = written(rows.sortWithinPartitions("shard", "slot").mapInPandas(_write(folder, SHARD, 2 * length), "shard long, slot long, offset long, n_tokens int"), "token-index")
+    sent = spark.sparkContext.broadcast(starts)
+    dealt = cut.mapInPandas(_slots(total, key, sent, length), "shard long, slot long, n_tokens int, body binary")
+    rows = dealt.repartition(-(-total // SHARD) or 1, "shard").sortWithinPartitions("shard", "slot")
+    index = written(rows.mapInPandas(_write(folder, SHARD, 2 * length), "shard long, slot long, offset long, n_tokens int"), "token-index")
     release_shuffles(spark)
     return index, folder
 
