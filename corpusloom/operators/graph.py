@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,14 +98,15 @@ def _paths(rows: list[tuple[int, int, int]], most: int | None) -> list[list[int]
 
 
 def paths(links: DataFrame, most: int | None = PATHS) -> DataFrame:
-    """text_id, path (people joined by >): each text's paths, at most so many. A text's links meet in one
-    group; they are the names of one record."""
+    """text_id, path (people joined by >): each text's paths, at most so many. A text's links, the names of
+    one record, are nested first, so that a batch of texts is one call."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _paths(list(zip(pdf["step"].tolist(), pdf["student"].tolist(), pdf["sheikh"].tolist())), most)
-        return pd.DataFrame({"text_id": key[0], "path": [">".join(map(str, p)) for p in found]}).astype({"text_id": "int64", "path": "object"})
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([[">".join(map(str, p)) for p in _paths([(x["step"], x["student"], x["sheikh"]) for x in r], most)] for r in rows])
 
-    return links.select("text_id", "step", "student", "sheikh").distinct().groupBy("text_id").applyInPandas(run, "text_id long, path string")
+    nested = links.groupBy("text_id").agg(F.collect_set(F.struct("step", "student", "sheikh")).alias("rows"))
+    return nested.select("text_id", F.explode(run("rows")).alias("path"))
 
 
 def reachable(links: DataFrame, focus: DataFrame) -> DataFrame:
