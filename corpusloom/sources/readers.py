@@ -68,7 +68,7 @@ def numbered_records(body: DataFrame, marker: str = r"(?m)^\s*([0-9٠-٩]+)\s*[-
     """book, page, number, text of records that begin with a number and a dash in page bodies."""
     cut = F.split("body", marker.replace("([0-9٠-٩]+)", "[0-9٠-٩]+"))
     numbers = F.regexp_extract_all("body", F.lit(marker), F.lit(1))
-    pairs = F.zip_with(numbers, F.slice(cut, 2, F.greatest(F.size(numbers), F.lit(0))), lambda n, t: F.struct(F.translate(n, "٠١٢٣٤٥٦٧٨٩", "0123456789").cast("bigint").alias("number"), F.trim(t).alias("text")))
+    pairs = F.zip_with(numbers, F.slice(cut, 2, F.greatest(F.size(numbers), F.lit(0))), lambda n, t: F.struct(F.translate(n, "٠١٢٣٤٥٦٧٨٩", "0123456789").cast("bigint").alias("number"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("text")))
     return body.select("book", "page", F.inline(F.when(F.size(numbers) > 0, pairs).otherwise(F.array().cast("array<struct<number:bigint,text:string>>"))))
 
 
