@@ -175,10 +175,11 @@ class Join:
 
     def __init__(self, docs: DataFrame):
         spark = self.spark = docs.sparkSession
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        self.docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
-        first = written(self.docs.mapInPandas(_summaries, f"slice int, doc_id {kind}, k long, s long, n long, cells binary"), "jaccard-sets")
-        self.rows = first.where("slice < 0").select("doc_id", "k", "s", "n", "cells")
+        kind = docs.schema["doc_id"].dataType
+        plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would turn whole numbers with nulls into floats
+        self.docs = plain.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
+        first = written(self.docs.mapInPandas(_summaries, "slice int, doc_id string, k long, s long, n long, cells binary"), "jaccard-sets")
+        self.rows = first.where("slice < 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "k", "s", "n", "cells")
         slices = {r["slice"]: bytes(r["cells"]) for r in first.where("slice >= 0").select("slice", "cells").groupBy("slice").applyInPandas(_sum_slices, "slice int, cells binary").collect()}
         sketch = b"".join(slices.get(k, bytes((4 << SKETCH_BITS) // 16)) for k in range(16))
         self.sketch = spark.sparkContext.broadcast(sketch)

@@ -106,8 +106,8 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], cols: list[str], th
     read for the score; null and empty texts get the bias alone; without weights every score is 0."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((np.array([f for f, _ in weights], np.int64), np.array([w for _, w in weights])))
-    src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(cols)], F.col("text").alias("t"))
-    schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(cols))
+    src = docs.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(cols)], *([] if "text" in cols else [F.col("text").alias("t")]))
+    text = f"c{cols.index('text')}" if "text" in cols else "t"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f, v = sent.value
@@ -115,7 +115,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], cols: list[str], th
         dense[f[f >= 0]] = v[f >= 0]
         for pdf in batches:
             total = np.full(len(pdf), bias)
-            for first, h, at in word_hashes(_clean(pdf["t"])):
+            for first, h, at in word_hashes(_clean(pdf[text])):
                 doc, feature = _grams(h, at)
                 hit = dense[feature] != 0
                 pair = np.unique(doc[hit].astype(np.uint64) << np.uint64(32) | feature[hit])
@@ -124,8 +124,8 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], cols: list[str], th
             out["s"] = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if len(f) else 0.0
             yield out
 
-    scored = src.mapInPandas(run, f"{schema}, s double")
-    return scored.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(cols)], F.col("s").alias("score"), (F.col("s") >= threshold).cast("int").alias("predicted"))
+    scored = src.mapInPandas(run, ", ".join(f"c{k} string" for k in range(len(cols))) + ", s double")
+    return scored.select(*[F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(cols)], F.col("s").alias("score"), (F.col("s") >= threshold).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
