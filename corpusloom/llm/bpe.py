@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_buckets, new_path, release_shuffles, written
+from .common import bounded_batches, n_buckets, new_path, release_shuffles, written
 from .media import _store
 
 #: A batch of documents shares one local dictionary; it ends at so many words or distinct words.
@@ -245,6 +245,7 @@ def coded(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     batch in the shared folder, so the packed documents, the larger side, never move."""
     path = path or default_tokenizer()
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = n_buckets(spark, 2)
     rows = docs.select(F.col("doc_id").cast("string").alias("d"), "text")
     split = written(rows.mapInPandas(_split_words(path, buckets), "batch long, wb int, blob binary, ids array<string>"), "bpe-words")

@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
 
 
+#: Rows and bytes of a batch that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 2_500, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for rows of whole texts: they bound a Python worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

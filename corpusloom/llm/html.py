@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Frequent words of four languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or an they which you had we were all their "
@@ -160,6 +162,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text; repeated rows, null ids and null urls give a row each; other
     columns are never read; an empty table gives no rows. Memory follows the longest page of a batch."""
+    bounded_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType for c in ("page_id", "url")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_buckets, split_by_bucket, written
+from .common import bounded_batches, n_buckets, split_by_bucket, written
 from .components import components
 from .hashing import LOWER, mix, word_hashes
 
@@ -175,6 +175,7 @@ class Join:
 
     def __init__(self, docs: DataFrame):
         spark = self.spark = docs.sparkSession
+        bounded_batches(spark)
         kind = docs.schema["doc_id"].dataType
         plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would turn whole numbers with nulls into floats
         self.docs = plain.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"))

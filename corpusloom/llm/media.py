@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import bounded_batches, new_path, written
 
 #: Samples of an image row; payloads are multiples of it.
 WIDTH = 576
@@ -144,6 +144,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, str]:
     Shards lie in the shared folder, each named by its task attempt, so a repeated task writes its own
     and the index only names those of attempts that finished. No text is shuffled: equal payloads are
     stored once a shard, and any row's address holds the bytes of its digest."""
+    bounded_batches(docs.sparkSession)
     folder = new_path(docs.sparkSession, "media")
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id").cast("string").alias("d"), F.col("text").alias("t")).mapInPandas(_write_shards(folder), "d string, shard string, digest string, offset long, length long")

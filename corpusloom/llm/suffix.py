@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_buckets, release_shuffles, split_by_bucket, text_key, written
+from .common import bounded_batches, n_buckets, release_shuffles, split_by_bucket, text_key, written
 from .hashing import mix
 
 LENGTH, K = 400, 96
@@ -467,6 +467,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(k1, k2, body): for each text of docs(doc_id, text, k1, k2) with repeated bytes, its merged spans
     as pairs of 32-bit offsets. k2 holds 32 bits."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = n_buckets(spark, 2)
     rows = "kind int, bucket int, blob binary"
     mapped, texts, spans = docs.select("text", "k1", "k2").mapInPandas(_find_anchors(buckets), rows), None, None

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, release_shuffles, written
+from .common import bounded_batches, new_path, release_shuffles, written
 from .media import _store
 
 LENGTH, ROUNDS = 2048, 6
@@ -156,6 +156,7 @@ def materialise(docs: DataFrame, key: int = 20240607, path: str | None = None, l
     texts give one end token; repeated rows are repeated; an empty table gives no rows and no shards;
     other columns are never read."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     cut = written(docs.select("text").mapInPandas(_sequences(path or default_ranks(), length), "part int, i long, n int, n_tokens long, blob binary"), "token-sequences")
     starts, total = {}, 0
     for r in cut.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .hashing import mix, word_hashes
 
 #: Hashed features; the weights that survive L1 are at most so many, which bounds the broadcast.
@@ -90,6 +91,7 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[int, float]]:
     """Sparse weights as (feature, weight), the bias as feature -1. Fitted on at most fit_rows labelled
     rows outside the held-out fold; rows without id or label are left out; no labels, no weights."""
+    bounded_batches(docs.sparkSession)
     few = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -105,6 +107,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], cols: list[str], th
     """cols of every row of docs, then score and predicted. A feature counts once a text. Only text is
     read for the score; null and empty texts get the bias alone; without weights every score is 0."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast((np.array([f for f, _ in weights], np.int64), np.array([w for _, w in weights])))
     src = docs.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(cols)], *([] if "text" in cols else [F.col("text").alias("t")]))
     text = f"c{cols.index('text')}" if "text" in cols else "t"
