@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.alignment import aligned_column
 from ..functions.scoring import cluster_column, relevance_column
 from ..functions.text import LATIN, comparable, query_terms, words
-from ..operators import catalogue, etl, graph, resolve, rules, search, variation, verify
+from ..operators import catalogue, compare, etl, graph, resolve, rules, search, variation, verify
 from ..sources import testdata as td
 from ..streaming.limits import limited
 from .oracles import ORACLES
@@ -156,6 +156,19 @@ def _search_ranked(spark, sf):
     return search.search(td.texts(spark, sf), search.Request(("there anti",), match="all"), LATIN)
 
 
+def _shifted(spark, sf):
+    """The same chains, every fifth person unknown and every eleventh text moved on by a place."""
+    n = _names(spark, sf).select("text_id", "pos", "id")
+    other = n.select("text_id", (F.col("pos") + (F.col("text_id") % 11 == 0).cast("int")).alias("pos"), F.when(F.col("id") % 5 != 0, F.col("id")).alias("id"))
+    return n, other
+
+
+def _symbols(spark, sf):
+    part = td.table(spark, sf, "part")
+    c = part.select(F.col("p_size").alias("item"), F.col("p_partkey").alias("id"), F.split(F.element_at(F.split("p_brand", "#"), -1), "").alias("own"))
+    return resolve.by_symbols(c.withColumn("need", F.array((F.col("item") % 5 + 1).cast("string"))), ["item"]).select("item", "id")
+
+
 def queries() -> dict[str, Query]:
     t, p, e, c, g = td.texts, td.people, td.links, td.chains, _groups
     return {
@@ -199,6 +212,10 @@ def queries() -> dict[str, Query]:
         "verify_status": lambda s, d: verify.verdicts(_inputs(s, d), t(s, d), LATIN).select("input_id", "similarity", "best", "status"),
         "verify_words": lambda s, d: verify.verdicts(_inputs(s, d), t(s, d), LATIN).select("input_id", "best", "unmatched", "negated"),
         "fame_pick": _fame,
+        "symbol_filter": _symbols,
+        "chain_changes": lambda s, d: compare.changes(*_shifted(s, d)),
+        "chain_agreement": lambda s, d: compare.agreement(*_shifted(s, d)),
+        "severity_pivot": lambda s, d: compare.severity_pivot(_masking(s, d).unionByName(rules.raised_stopped(_chains(s, d), p(s, d)))),
         "strict_relations": _strict,
         "trigram_match": lambda s, d: resolve.best_by_trigrams(_inputs(s, d).withColumnRenamed("input_id", "id"), t(s, d).withColumnRenamed("matn", "text")),
         "chain_report": lambda s, d: resolve.chain_report(_names(s, d).join(td.books_of_texts(s, d), "text_id"), p(s, d)),

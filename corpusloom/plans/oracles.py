@@ -71,7 +71,22 @@ n AS (SELECT k, count(*) AS n FROM a GROUP BY k),
 m AS (SELECT a.k AS input_id, b.k AS id, count(*) / any_value(n.n) AS s FROM a JOIN b USING (b) JOIN n ON n.k = a.k GROUP BY a.k, b.k)"""
 
 
+SHIFTED = """
+a AS (SELECT l_orderkey AS text_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) - 1 AS pos, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END AS id FROM lineitem),
+b AS (SELECT text_id, pos + (text_id % 11 = 0)::INT AS pos, CASE WHEN id % 5 <> 0 THEN id END AS id FROM a)"""
+
 ORACLES: dict[str, str] = {
+    "symbol_filter": """WITH k AS (SELECT p_size AS item, p_partkey AS id, contains(split_part(p_brand, '#', -1), (p_size % 5 + 1)::VARCHAR) AS f FROM part)
+  SELECT item, id FROM (SELECT *, bool_or(f) OVER (PARTITION BY item) AS any_f FROM k) WHERE f OR NOT any_f""",
+    "chain_changes": f"""WITH {SHIFTED} SELECT text_id, pos, a.id AS was, b.id AS now, CASE WHEN a.id IS NULL THEN 'gained' WHEN b.id IS NULL THEN 'lost' ELSE 'changed' END AS change
+  FROM a FULL JOIN b USING (text_id, pos) WHERE a.id IS DISTINCT FROM b.id""",
+    "chain_agreement": f"""WITH {SHIFTED}, s AS (SELECT unnest([-1, 0, 1]) AS shift), x AS (SELECT text_id, pos, shift, id FROM a, s WHERE id IS NOT NULL AND pos < 4),
+  y AS (SELECT text_id, pos + shift AS pos, shift, id FROM b, s WHERE id IS NOT NULL AND pos + shift BETWEEN 0 AND 3), j AS (SELECT text_id, shift, x.id AS a, y.id AS b FROM x FULL JOIN y USING (text_id, shift, pos)),
+  k AS (SELECT text_id, shift, count(*) FILTER (a = b) AS same, count(*) FILTER (a <> b) AS differ, count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a IS NULL) AS only_right FROM j GROUP BY text_id, shift)
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY same DESC, abs(shift), shift) = 1""",
+    "severity_pivot": f"""WITH {RULES}, br AS (SELECT gid, sheikh, student, bool_or(raised) AS flag FROM ch GROUP BY gid, sheikh, student HAVING bool_or(raised) = bool_and(raised)),
+  s AS (SELECT gid, sheikh, {_SIDES} FROM br JOIN tp ON tp.id = student GROUP BY gid, sheikh), {_JUDGED.format(kind="raised_stopped")}, every AS (SELECT type, severity FROM f UNION ALL SELECT type, severity FROM ({MASKING.replace("WITH " + RULES + ", m AS", "WITH m AS")}))
+  SELECT type, count(*) FILTER (severity = 0) AS notes, count(*) FILTER (severity = 1) AS harmless, count(*) FILTER (severity = 2) AS harmful FROM every GROUP BY type""",
     "normalize_text": f"WITH {TEXTS} SELECT id, norm, len(list_distinct(list_filter(regexp_extract_all(norm, '[a-z]+'), lambda w: length(w) >= 2)))::INT AS n_terms FROM t",
     "search_all_words": f"WITH {TEXTS} SELECT {SEARCH} {_any(['there'])} AND {_any(['anti'])} {TOP}",
     "search_any_word": f"WITH {TEXTS} SELECT {SEARCH} ({_any(['thanedble'])} OR {_any(['eneau'])}) {TOP}",
