@@ -21,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
+    if "://" not in base:  # a path of the cluster's default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = base.replace("file:/", "file:///", 1) if not base.startswith("file:///") else base
+    return base.rstrip("/")
 
 
 #: Rows and bytes of a batch that a Python worker gets at once.

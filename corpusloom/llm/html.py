@@ -127,7 +127,8 @@ def classify(found: list[Block]) -> list[Block]:
     """Label every block. First pass: many linked characters are bad; long blocks with many stop words
     are good, with few of them bad (inside an article they stay open: its language may be another).
     Second pass: open blocks take the label of the nearest decided neighbour of the same article, on a
-    tie the good one; without neighbours they are good inside an article and bad elsewhere."""
+    tie the good one; without decided neighbours they are good: what marks itself as something beside the
+    article is gone by then."""
     any_main = any(b.main for b in found)
     for b in found:
         if any_main and not b.main or b.linked > LINKS * max(1, len(b.text)):
@@ -149,7 +150,7 @@ def classify(found: list[Block]) -> list[Block]:
     for i, b in enumerate(found):
         if first[i] is None:
             near = [(abs(i - j), not first[j]) for j in (before[i], after[i]) if j is not None]
-            b.label = not min(near)[1] if near else bool(b.main)
+            b.label = not min(near)[1] if near else True
     return found
 
 

@@ -86,7 +86,7 @@ def feature_of(payload: bytes) -> str:
 def _store(uri: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    return FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
 
 
 class _Shard:

@@ -66,6 +66,7 @@ def test_html(spark):
     <section id="comments"><p>The comment of a reader is here and it is long as the words in it are many.</p></section></article><aside>Side</aside><footer>&copy; all</footer>"""
     want = "Head & line The first of the paragraphs é is ab and it is long enough to be taken by itself, as it should be. Then. Short."
     assert html.main_text(page) == want
+    assert html.main_text("<div><p>Of the</div><nav><p>x</nav>") == "Of the"
     assert html.main_text(None) == "" and html.main_text("") == "" and html.main_text("<article><p>Only</article>") == "Only"
     assert html.main_text("<div class='ad'>x<article><p>In the end</article>") == "In the end"
     rows = [(1, "u", page, "z"), (1, "u", page, "z"), (None, None, None, "z"), (BIG, "v", "", "z")]
