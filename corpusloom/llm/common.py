@@ -15,15 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests on one machine), a new temporary folder that is then set as the checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    (tests on one machine), one new temporary folder a context."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_corpusloom_shared", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        base = sc._corpusloom_shared = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        sc.setCheckpointDir(base)
     if "://" not in base:  # a path of the cluster's default file system
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
         base = base.replace("file:/", "file:///", 1) if not base.startswith("file:///") else base
     return base.rstrip("/")
 

@@ -1,15 +1,11 @@
 from corpusloom.llm import common
 
 
-def test_shared_folder(spark, tmp_path):
-    old = common.shared_dir(spark)
-    assert old.startswith("file:///")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert common.shared_dir(spark) == f"file://{tmp_path}"
-        t = common.written(spark.range(3), "t")
-        assert t.count() == 3
-        common.drop_written(t)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    assert common.shared_dir(spark).startswith("file:///")
+    monkeypatch.setattr(spark.sparkContext, "_corpusloom_shared", str(tmp_path))
+    assert common.shared_dir(spark) == f"file://{tmp_path}"
+    t = common.written(spark.range(3), "t")
+    assert t.count() == 3
+    common.drop_written(t)
+    assert not list(tmp_path.iterdir())
