@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _set_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_corpusloom_shared", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
     (tests on one machine), one new temporary folder a context."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_corpusloom_shared", None)
+    base = _set_dir(spark)
     if not base:
         base = sc._corpusloom_shared = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         sc.setCheckpointDir(base)

@@ -3,7 +3,7 @@ from corpusloom.llm import common
 
 def test_shared_folder(spark, tmp_path, monkeypatch):
     assert common.shared_dir(spark).startswith("file:///")
-    monkeypatch.setattr(spark.sparkContext, "_corpusloom_shared", str(tmp_path))
+    monkeypatch.setattr(common, "_set_dir", lambda spark: str(tmp_path))
     assert common.shared_dir(spark) == f"file://{tmp_path}"
     t = common.written(spark.range(3), "t")
     assert t.count() == 3
