@@ -17,3 +17,11 @@ def test_verification_metrics(spark):
     cases = spark.createDataFrame([("a", "exact", "exact", 10.0), ("a", "not-found", "variant", 20.0), ("b", "variant", "not-found", 30.0)], "grp string, expected string, got string, ms double")
     got = {r.grp: tuple(r)[1:] for r in compare.verification_metrics(cases).collect()}
     assert got[None] == (3, 1, 1, 1, 20.0) and got["a"] == (2, 1, 1, 0, 15.0)
+
+
+def test_segments(spark):
+    from corpusloom.functions.isnad import segments
+
+    text = "حَدَّثَنَا الإمام زيد بن عمر (١)، قال: حدثنا بكر رضي الله عنه، عن سعد، بن علي، عن رسول الله قال شيئا"
+    got = spark.range(1).select(segments(F.lit(text)).alias("s"), segments(F.lit(None).cast("string")).alias("n")).first()
+    assert [(x.name, x.verbs) for x in got.s] == [("زيد بن عمر", ["قال", "حدثنا"]), ("بكر", ["عن"]), ("سعد، بن علي", [])] and got.n == []
