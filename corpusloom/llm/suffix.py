@@ -505,7 +505,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_t
     keyed = docs.select(*[_plain(docs, c).alias(f"c{k}") for k, c in enumerate(carry)], F.col("doc_id"), F.col("text"), *text_key(F.col("text"))).withColumn("k2", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)))
     spans = repeated_spans(keyed, hot)
     own = [f"c{k}" for k in range(len(carry))]
-    rows = keyed.drop("doc_id").join(spans, ["k1", "k2"], "left").select(*own, "text", "body")
+    # merged at every size: a broadcast for small inputs alone would only hide how the plan grows
+    rows = keyed.drop("doc_id").join(spans.hint("merge"), ["k1", "k2"], "left").select(*own, "text", "body")
     schema = ", ".join(f"c{k} string" for k in range(len(carry))) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
