@@ -124,12 +124,26 @@ def _bodies(spark, sf):
     return variation.group_variants(t)
 
 
+def _numbered(ids: DataFrame, key: str, cell: int = 4096) -> DataFrame:
+    """The distinct numbers in key with their place from 0 on as n: places are counted within cells of
+    the range, so only the sizes of the cells meet in one task."""
+    d = ids.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_cell", F.floor(F.col(key) / cell))
+    sizes = d.groupBy("_cell").agg(F.count("*").alias("_size"))
+    before = sizes.select("_cell", (F.sum("_size").over(Window.orderBy("_cell")) - F.col("_size")).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
+    return d.join(before, "_cell").select(key, place.alias("n"))
+
+
 def _at_split(spark, sf):
+    """The k-th text of a branch has the words of the k-th document, from the first again after the last."""
     c, p = _chains(spark, sf), td.people(spark, sf)
-    n = td.texts(spark, sf).select(F.col("id").alias("doc"), F.slice(words(comparable(F.col("matn"), LATIN)), 1, 60).alias("tokens"))
+    t = td.texts(spark, sf).select(F.col("id").alias("doc"), words(comparable(F.col("matn"), LATIN)).alias("tokens"))
     first = c.groupBy("gid", "sheikh", "student").agg(F.min("text_id").alias("ord"))
     many = first.groupBy("gid", "sheikh").count().where("count >= 2").drop("count")
-    b = first.join(many, ["gid", "sheikh"]).withColumn("doc", F.col("ord") % 200).join(n, "doc").join(p.select(F.col("id").alias("student"), F.coalesce("rank", F.lit(7)).alias("tier"), F.col("rank").isNotNull().alias("ranked")), "student")
+    first = first.join(many, ["gid", "sheikh"])
+    docs = _numbered(t, "doc")
+    given = _numbered(first, "ord").crossJoin(F.broadcast(docs.agg(F.count("*").alias("of")))).select("ord", (F.col("n") % F.col("of")).alias("n")).join(docs, "n").join(t, "doc").select("ord", "tokens")
+    b = first.join(given, "ord").join(p.select(F.col("id").alias("student"), F.coalesce("rank", F.lit(7)).alias("tier"), F.col("rank").isNotNull().alias("ranked")), "student")
     return variation.text_at_split(b.select("gid", "sheikh", "ord", "student", "tier", "ranked", "tokens"))
 
 
