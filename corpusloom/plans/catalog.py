@@ -120,7 +120,7 @@ def _aligned(spark, sf):
 
 
 def _bodies(spark, sf):
-    t = td.texts(spark, sf).select((F.floor(F.col("id") / 10)).alias("gid"), F.col("id").alias("ord"), F.col("id").alias("text_id"), F.slice(words(comparable(F.col("matn"), LATIN)), 1, 120).alias("tokens"))
+    t = td.texts(spark, sf).select((F.floor(F.col("id") / 10)).alias("gid"), F.col("id").alias("ord"), F.col("id").alias("text_id"), words(comparable(F.col("matn"), LATIN)).alias("tokens"))
     return variation.group_variants(t)
 
 
