@@ -23,7 +23,7 @@ def _found(must=(), any_of=(), without=(), match="all", scope="all", **rest) ->
     r = search.Request(tuple(must), tuple(any_of), tuple(without), scope=scope, match=match, **rest)
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = search.candidates(td.texts(spark, sf), r) if r.ordered or r.within else td.texts(spark, sf).where(search.predicate(r)).orderBy(F.length("norm"), "id").limit(search.CANDIDATES)
+        found = search.candidates(td.texts(spark, sf), r) if r.ordered or r.within else td.texts(spark, sf).where(search.predicate(r))
         return found.select("id", "book", "number", F.length("norm").alias("n"))
 
     return run
