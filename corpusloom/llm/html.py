@@ -23,6 +23,8 @@ STOP_WORDS = frozenset(
 #: Bounds of the first pass: characters of a block, share of stop words, share of characters in links.
 SHORT, STOP_HIGH, STOP_LOW, LINKS = 70, 0.30, 0.15, 0.35
 RAW = "script|style|noscript|template|textarea|iframe|object|svg|math|title|select|canvas|audio|video"
+#: Of these, those that run to the end of the page where they are never closed, and whose "/>" closes nothing.
+TO_THE_END = "script|style|title|textarea"
 DROPPED = frozenset("nav footer aside form head menu button dialog fieldset".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal newsletter subscribe "
@@ -34,7 +36,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MAIN = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?!(?:{TO_THE_END})\b)(?:{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>"
+    rf"|<(?P<end>{TO_THE_END})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=end)\s*>|\Z)"
+    rf"|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?</(?P=raw)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|</?[a-z][^>]*>|</?[a-z][^<>]*\Z|<[!?][^>]*>?|</[^a-z][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
