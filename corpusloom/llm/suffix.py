@@ -1,26 +1,30 @@
 """Removal of long repeated byte strings by a sampled, hash-compared suffix sort (operator 10).
 
-A string of LENGTH bytes that starts at two places has, at the same offset in both, the same anchor: the
-K-byte gram whose hash is least among those inside the string. So it is enough to sort the suffixes that
-start at anchors, per gram, to find how far they agree to the right and to the left; the strings that
-two anchors share are those within both extensions. Anchors are about one byte in 150.
+A string of so many bytes that starts at two places has, at the same offset in both, the same anchor: the
+gram whose hash is least among those inside the string. So it is enough to sort the suffixes that start
+at anchors, per gram, to find how far they agree to the right and to the left; the strings that two
+anchors share are those within both extensions. Of strings of 400 bytes about one byte in 150 is an anchor.
+
+No two pieces of text count as equal by a polynomial hash alone: neighbours of the sort and strings are
+compared byte by byte, surroundings that are settled without their bytes by a 128-bit BLAKE2b digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, n_buckets, release_shuffles, split_by_bucket, text_key, written
+from .common import bounded_batches, drop_written, n_buckets, release_shuffles, split_by_bucket, text_key, written
 from .hashing import mix
 
-LENGTH, K = 400, 96
-LEFT = LENGTH - K
+#: Bytes of a repeated string.
+LENGTH = 400
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 #: Different surroundings of one gram up to which they are sorted together. Those of a more frequent gram
@@ -31,13 +35,38 @@ SORTED = 4096
 
 _U = np.uint64
 _RNG = np.random.default_rng(77031)
-_LETTERS = [(_RNG.integers(1, 1 << 62, 256, dtype=np.uint64) << _U(1)) | _U(1) for _ in range(2)]
-_BASES = [_U(0xB5297A4D3F84D5B5), _U(0xC2B2AE3D27D4EB4F)]
-_ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ctx2", "<u4"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("lo", "<u2"), ("hi", "<u2"), ("mult", "u1")])
+_LETTERS = (_RNG.integers(1, 1 << 62, 256, dtype=np.uint64) << _U(1)) | _U(1)
+_BASE = _U(0xB5297A4D3F84D5B5)
+_ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ctx2", "<u8"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("lo", "<u2"), ("hi", "<u2"), ("mult", "u1")])
 _SPAN = np.dtype([("t1", "<i8"), ("t2", "<u4"), ("a", "<u4"), ("b", "<u4")])
 _REQUEST = np.dtype([("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("key", "<u8"), ("lo", "<u2"), ("hi", "<u2"), ("mult", "u1"), ("hot", "u1")])
-_CONTEXT = np.dtype([("key", "<u8"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("mult", "u1"), ("raw", "u1", (LEFT + LENGTH,))])
-_STRING = np.dtype([("h", "<u8"), ("h2", "<u4"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("mult", "u1")])
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of a repeated string, and what follows from them."""
+
+    length: int = LENGTH
+
+    @property
+    def k(self) -> int:
+        """Bytes of a gram."""
+        return max(8, self.length * 6 // 25)
+
+    @property
+    def left(self) -> int:
+        """Bytes before an anchor that a string around it may have."""
+        return self.length - self.k
+
+    @property
+    def context(self) -> np.dtype:
+        return np.dtype([("key", "<u8"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("mult", "u1"), ("raw", "u1", (self.left + self.length,))])
+
+
+def _digests(pieces: Iterator[bytes], bits: int = 128) -> np.ndarray:
+    """BLAKE2b digests of byte strings, a row of 64-bit numbers each."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(x, digest_size=bits // 8).digest() for x in pieces]), "<u8").reshape(-1, bits // 64)
 
 
 def _powers(n: int, base) -> np.ndarray:
@@ -46,23 +75,24 @@ def _powers(n: int, base) -> np.ndarray:
     return np.cumprod(p)
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: list[np.ndarray] = []
 
 
-def _tables(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if k not in _TABLES or len(_TABLES[k][0]) < n:
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse."""
+    if not _TABLES or len(_TABLES[0]) < n:
         size = max(n, CHUNK + 4096)
-        _TABLES[k] = _powers(size, _BASES[k]), _powers(size, _U(pow(int(_BASES[k]), -1, 1 << 64)))
-    return _TABLES[k]
+        _TABLES[:] = _powers(size, _BASE), _powers(size, _U(pow(int(_BASE), -1, 1 << 64)))
+    return _TABLES
 
 
 class Prefix:
     """Prefix polynomial hashes of a buffer: the hash of any substring in one step."""
 
-    def __init__(self, raw: np.ndarray, k: int = 0):
-        power, self.inverse = _tables(len(raw) + 1, k)
+    def __init__(self, raw: np.ndarray):
+        power, self.inverse = _tables(len(raw) + 1)
         self.total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_LETTERS[k][raw] * power[: len(raw)], out=self.total[1:])
+        np.cumsum(_LETTERS[raw] * power[: len(raw)], out=self.total[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.total[b] - self.total[a]) * self.inverse[a])
@@ -79,18 +109,18 @@ def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(tail[: n - w + 1], head[w - 1 : n])
 
 
-def _anchors_of(raw: np.ndarray, ends: np.ndarray, prefix: Prefix) -> tuple[np.ndarray, np.ndarray]:
+def _anchors_of(z: Sizes, raw: np.ndarray, ends: np.ndarray, prefix: Prefix) -> tuple[np.ndarray, np.ndarray]:
     """Positions and gram hashes of the anchors of a buffer of texts that end at ends."""
-    n, w = len(raw), LENGTH - K + 1
-    if n < LENGTH:
+    n, w, k = len(raw), z.left + 1, z.k
+    if n < z.length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at = np.arange(n - K + 1)
-    v = mix((prefix.total[K:] - prefix.total[: n - K + 1]) * prefix.inverse[: n - K + 1]) | _U(1)
+    at = np.arange(n - k + 1)
+    v = mix((prefix.total[k:] - prefix.total[: n - k + 1]) * prefix.inverse[: n - k + 1]) | _U(1)
     limit = np.repeat(ends, np.diff(np.r_[0, ends]))  # end of the text that a byte belongs to
-    v[at + K > limit[: n - K + 1]] = _U(0xFFFFFFFFFFFFFFFF)
+    v[at + k > limit[: n - k + 1]] = _U(0xFFFFFFFFFFFFFFFF)
     least = _sliding(v, w, np.minimum)  # of the string at each position
     starts = np.arange(len(least))
-    least[starts + LENGTH > limit[: len(least)]] = 0
+    least[starts + z.length > limit[: len(least)]] = 0
     best = _sliding(np.r_[np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)], w, np.maximum)
     found = np.flatnonzero(v == best)
     return found, v[found]
@@ -107,38 +137,36 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def text_anchors(texts: list[bytes], z: Sizes = Sizes()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, anchor record without t1 and t2) for groups of texts; a long text comes in chunks
     that overlap by whole strings and their surroundings."""
     for i, j in _groups(texts):
         if j == i + 1 and len(texts[i]) > CHUNK:
             whole, n = texts[i], len(texts[i])
             for off in range(0, n, CHUNK):
-                lo, hi = max(0, off - LENGTH), min(n, off + CHUNK + 3 * LENGTH)
-                rec = _records(whole[lo:hi], np.array([hi - lo]), lo, n)
+                lo, hi = max(0, off - z.length), min(n, off + CHUNK + 3 * z.length)
+                rec = _records(z, whole[lo:hi], np.array([hi - lo]), lo)
                 rec = rec[(rec["pos"] >= off) & (rec["pos"] < off + CHUNK)]  # all strings around these lie inside
                 yield np.full(len(rec), i), rec
         else:
             sizes = np.array([len(t) for t in texts[i:j]])
             ends = np.cumsum(sizes)
-            rec = _records(b"".join(texts[i:j]), ends, 0, None)
+            rec = _records(z, b"".join(texts[i:j]), ends, 0)
             text = np.searchsorted(ends, rec["pos"], side="right")
             rec["pos"] -= np.r_[0, ends][text].astype(np.uint32)
             yield text + i, rec
 
 
-def _records(buf: bytes, ends: np.ndarray, offset: int, whole: int | None) -> np.ndarray:
+def _records(z: Sizes, buf: bytes, ends: np.ndarray, offset: int) -> np.ndarray:
     raw = np.frombuffer(buf, np.uint8)
-    first, second = Prefix(raw, 0), Prefix(raw, 1)
-    pos, key = _anchors_of(raw, ends, first)
+    pos, key = _anchors_of(z, raw, ends, Prefix(raw))
     out = np.zeros(len(pos), _ANCHOR)
     text = np.searchsorted(ends, pos, side="right")
     start, end = np.r_[0, ends][text], ends[text] if len(pos) else pos
-    left, right = np.minimum(pos - start, LEFT), np.minimum(end - pos, LENGTH)
-    out["key"], out["pos"], out["left"], out["right"], out["hi"], out["mult"] = key, pos + offset, left, right, LEFT, 1
-    size = left.astype(np.uint64) << _U(16) | right.astype(np.uint64)
-    out["ctx"] = first.of(pos - left, pos + right) ^ mix(size)
-    out["ctx2"] = (second.of(pos - left, pos + right) ^ size).astype(np.uint32)
+    left, right = np.minimum(pos - start, z.left), np.minimum(end - pos, z.length)
+    out["key"], out["pos"], out["left"], out["right"], out["hi"], out["mult"] = key, pos + offset, left, right, z.left, 1
+    d = _digests(n.to_bytes(2) + buf[a:b] for n, a, b in zip(left.tolist(), (pos - left).tolist(), (pos + right).tolist()))
+    out["ctx"], out["ctx2"] = d[:, 0], d[:, 1]
     return out
 
 
@@ -148,15 +176,26 @@ def _spans(t1, t2, a, b) -> np.ndarray:
     return out
 
 
-def _combined(r: np.ndarray, by: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Records sorted by the fields, the class of each, and whether it has more than one member."""
-    r = r[np.lexsort([r[c] for c in reversed(by)])]
-    new = np.zeros(len(r), bool)
-    new[:1] = True
-    for c in by:
-        new[1:] |= r[c][1:] != r[c][:-1]
+def _distinct(s: np.ndarray) -> np.ndarray:
+    """Spans without those that repeat or lie within others of their text."""
+    s = s[np.lexsort((-s["b"].astype(np.int64), s["a"], s["t2"], s["t1"]))]
+    text = np.cumsum(np.r_[True, (s["t1"][1:] != s["t1"][:-1]) | (s["t2"][1:] != s["t2"][:-1])]) if len(s) else np.empty(0, np.int64)
+    top = np.maximum.accumulate((text.astype(np.int64) << 32) + s["b"])
+    return s[np.r_[True, (text[1:] << 32) + s["b"][1:] > top[:-1]]] if len(s) else s
+
+
+def _combined(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records sorted by gram and surroundings, the class of each, and whether it has more than one member."""
+    for by in (("key", "ctx"), ("key", "ctx", "ctx2")):
+        own = r[np.lexsort([r[c] for c in reversed(by)])]
+        new = np.zeros(len(own), bool)
+        new[:1] = True
+        for c in by:
+            new[1:] |= own[c][1:] != own[c][:-1]
+        if not (own["ctx2"][1:] != own["ctx2"][:-1])[~new[1:]].any():
+            break  # else half a digest isn't enough here
     cls = np.cumsum(new) - 1
-    return r, cls, np.bincount(cls, r["mult"]) >= 2 if len(r) else np.empty(0, bool)
+    return own, cls, np.bincount(cls, own["mult"]) >= 2 if len(own) else np.empty(0, bool)
 
 
 def _rows(kind: int, bucket: np.ndarray, records: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -175,17 +214,17 @@ def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
 
 
-def _find_anchors(buckets: int):
+def _find_anchors(z: Sizes, buckets: int):
     """Anchors by bucket of their gram. Equal surroundings within a batch are settled here: they give
     spans (kind 0), and one of them goes on (kind 1), counting as two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for pdf in batches:
-                texts = [t.encode() if isinstance(t, str) and len(t) * 4 >= LENGTH else b"" for t in pdf["text"]]
+                texts = [t.encode() if isinstance(t, str) and len(t) * 4 >= z.length else b"" for t in pdf["text"]]
                 t1, t2 = pdf["k1"].to_numpy(np.int64), pdf["k2"].to_numpy(np.int64).astype(np.uint32)
                 found = []
-                for text, rec in text_anchors(texts):
+                for text, rec in text_anchors(texts, z):
                     rec["t1"], rec["t2"] = t1[text], t2[text]
                     found.append(rec)
                 r = np.concatenate(found) if found else np.empty(0, _ANCHOR)
@@ -201,10 +240,10 @@ def _dealt(r: np.ndarray, buckets: int) -> list:
     here: they give spans (kind 0), and one of them goes on (kind 1), counting as two."""
     if not len(r):
         return []
-    r, cls, twice = _combined(r, ("key", "ctx", "ctx2"))
+    r, cls, twice = _combined(r)
     rows, d = [], r[twice[cls]]
     if len(d):
-        s = np.unique(_spans(d["t1"], d["t2"], d["pos"] - d["left"], d["pos"] + d["right"]))
+        s = _distinct(_spans(d["t1"], d["t2"], d["pos"] - d["left"], d["pos"] + d["right"]))
         rows += _rows(0, s["t1"] % buckets, s)
     one = r[np.r_[True, cls[1:] != cls[:-1]]].copy()
     one["mult"] = np.minimum(np.bincount(cls, r["mult"]), 2)
@@ -214,7 +253,7 @@ def _dealt(r: np.ndarray, buckets: int) -> list:
 def _classes(r: np.ndarray, buckets: int, hot: int) -> list:
     """Of the records of one bucket: spans of repeated surroundings (kind 0), and requests (kind 1) for
     the bytes around grams with several surroundings of which one at least isn't settled."""
-    r, cls, twice = _combined(r, ("key", "ctx", "ctx2"))
+    r, cls, twice = _combined(r)
     rows, d = [], r[twice[cls]]
     if len(d):
         rows += _rows(0, d["t1"] % buckets, _spans(d["t1"], d["t2"], d["pos"] - d["left"], d["pos"] + d["right"]))
@@ -229,7 +268,7 @@ def _classes(r: np.ndarray, buckets: int, hot: int) -> list:
     return rows + (_rows(1, q["t1"] % buckets, q) if len(q) else [])
 
 
-def _reduced(buckets: int, hot: int):
+def _reduced(z: Sizes, buckets: int, hot: int):
     """One bucket of rows of any kind: spans go on (0), records become spans and requests (1), the
     surroundings that were asked for become spans (2)."""
 
@@ -240,7 +279,7 @@ def _reduced(buckets: int, hot: int):
             r = _cat(pdf["blob"][kind == 1], _ANCHOR)
             if len(r):
                 rows += _classes(r, buckets, hot)
-            c = _cat(pdf["blob"][kind == 2], _CONTEXT)
+            c = _cat(pdf["blob"][kind == 2], z.context)
             if len(c):
                 c = c[np.lexsort((c["pos"], c["t2"], c["t1"], c["key"]))]
                 c = c[np.r_[True, np.any([c[f][1:] != c[f][:-1] for f in ("key", "t1", "t2", "pos")], axis=0)]]
@@ -248,9 +287,9 @@ def _reduced(buckets: int, hot: int):
                 at = 0
                 while at < len(c):
                     to = max(int(ends[np.searchsorted(ends, at, side="right")]), int(ends[max(0, np.searchsorted(ends, at + SORTED, side="right") - 1)]))
-                    old.append(_shared(c[at:to]))
+                    old.append(_shared(z, c[at:to]))
                     at = to
-            s = np.unique(np.concatenate(old))
+            s = _distinct(np.concatenate(old))
             if len(s):
                 rows += _rows(0, s["t1"] % buckets, s)
         return _frame(rows)
@@ -281,29 +320,29 @@ def _by_text(dtype, merge: bool):
     return run
 
 
-def _answer(buckets: int):
+def _answer(z: Sizes, buckets: int):
     """The bytes around the anchors that were asked for (kind 2); around frequent grams, records of parts
     of their range of offsets instead (kinds 0 and 1, see _parts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for pdf in batches:
-                contexts, parts = [np.empty(0, _CONTEXT)], [np.empty(0, _ANCHOR)]
+                contexts, parts = [np.empty(0, z.context)], [np.empty(0, _ANCHOR)]
                 for text, body in zip(pdf["text"], pdf["body"]):
                     q = np.frombuffer(body, _REQUEST)
                     raw = np.frombuffer(text.encode(), np.uint8)
                     for k in range(0, len(q), 512):
                         own = q[k : k + 512]
-                        c = np.zeros(len(own), _CONTEXT)
+                        c = np.zeros(len(own), z.context)
                         for f in ("key", "t1", "t2", "pos", "mult"):
                             c[f] = own[f]
                         pos = own["pos"].astype(np.int64)
-                        c["left"], c["right"] = np.minimum(pos, LEFT), np.minimum(len(raw) - pos, LENGTH)
-                        at = pos[:, None] + np.arange(-LEFT, LENGTH)
+                        c["left"], c["right"] = np.minimum(pos, z.left), np.minimum(len(raw) - pos, z.length)
+                        at = pos[:, None] + np.arange(-z.left, z.length)
                         c["raw"] = np.where((at >= 0) & (at < len(raw)), raw[np.clip(at, 0, len(raw) - 1)], 0)
                         hot = own["hot"] > 0
                         if hot.any():
-                            parts.append(_parts(c[hot], own[hot]))
+                            parts.append(_parts(z, c[hot], own[hot]))
                         if not hot.all():
                             contexts.append(c[~hot])
                 c = np.concatenate(contexts)
@@ -312,53 +351,72 @@ def _answer(buckets: int):
     return run
 
 
-def _parts(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _parts(z: Sizes, c: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Records for PARTS ranges of offsets within each request's range: their gram is what all strings of
-    the range have in common, their surroundings what they cover together."""
-    right, left = _halves(c, 0)
-    second = _halves(c, 1)
+    the range have in common, their surroundings what they cover together, both named by their digests."""
+    raw = [x.tobytes() for x in c["raw"]]
     out = []
     step = -(-(q["hi"].astype(np.int64) - q["lo"] + 1) // PARTS)
     for k in range(PARTS):
         lo = q["lo"] + k * step
         hi = np.minimum(q["hi"], lo + step - 1)
-        who = np.flatnonzero((lo <= hi) & (np.maximum(lo, LENGTH - c["right"].astype(np.int64)) <= np.minimum(hi, c["left"])))
+        who = np.flatnonzero((lo <= hi) & (np.maximum(lo, z.length - c["right"].astype(np.int64)) <= np.minimum(hi, c["left"])))
         lo, hi = lo[who], hi[who]
         r = np.zeros(len(who), _ANCHOR)
-        r["left"], r["right"] = np.minimum(hi, c["left"][who]), np.minimum(LENGTH - lo, c["right"][who])
-        place = mix(lo.astype(np.uint64) << _U(16) | hi.astype(np.uint64)) ^ c["key"][who]
-        size = mix(r["left"].astype(np.uint64) << _U(16) | r["right"].astype(np.uint64))
-        r["key"] = mix(mix(left[who, lo] + place) + right[who, LENGTH - hi])
-        r["ctx"] = mix(mix(left[who, r["left"]] ^ size) + right[who, r["right"]])
-        r["ctx2"] = mix(mix(second[1][who, r["left"]] ^ size) + second[0][who, r["right"]]).astype(np.uint32)
+        r["left"], r["right"] = np.minimum(hi, c["left"][who]), np.minimum(z.length - lo, c["right"][who])
+        place = [w.to_bytes(8) + a.to_bytes(2) + b.to_bytes(2) for w, a, b in zip(c["key"][who].tolist(), lo.tolist(), hi.tolist())]
+        cores = [raw[i][z.left - a : z.left + z.length - b] for i, a, b in zip(who.tolist(), lo.tolist(), hi.tolist())]
+        r["key"] = _digests((p + x for p, x in zip(place, cores)), 64)[:, 0]
+        d = _digests(p + a.to_bytes(2) + raw[i][z.left - a : z.left + b] for p, i, a, b in zip(place, who.tolist(), r["left"].tolist(), r["right"].tolist()))
+        r["ctx"], r["ctx2"] = d[:, 0], d[:, 1]
         r["t1"], r["t2"], r["pos"], r["mult"], r["lo"], r["hi"] = c["t1"][who], c["t2"][who], c["pos"][who], q["mult"][who], lo, hi
         out.append(r)
     return np.concatenate(out)
 
 
-def _halves(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _halves(z: Sizes, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix hashes of the bytes from the anchor rightwards and leftwards, for each context."""
-    power = _tables(LENGTH + 1, k)[0]
+    power = _tables(z.length + 1)[0]
     out = []
-    for part in (c["raw"][:, LEFT:], c["raw"][:, :LEFT][:, ::-1]):
+    for part in (c["raw"][:, z.left :], c["raw"][:, : z.left][:, ::-1]):
         h = np.zeros((len(c), part.shape[1] + 1), np.uint64)
-        np.cumsum(_LETTERS[k][part] * power[: part.shape[1]], axis=1, out=h[:, 1:])
+        np.cumsum(_LETTERS[part] * power[: part.shape[1]], axis=1, out=h[:, 1:])
         out.append(h)
     return out[0], out[1]
 
 
-def _strings(c: np.ndarray) -> np.ndarray:
-    """Hashes of all strings around the anchors that lie inside their texts."""
-    r = np.arange(LEFT + 1)
-    inside = (r <= c["left"][:, None]) & (LENGTH - r <= c["right"][:, None])
-    who, back = np.nonzero(inside)
-    out = np.zeros(len(who), _STRING)
-    for k, name in enumerate(("h", "h2")):
-        right, left = _halves(c, k)
-        both = mix(right[who, LENGTH - back] * _U(3) + mix(left[who, back] + back.astype(np.uint64)) + c["key"][who])
-        out[name] = both if k == 0 else both.astype(np.uint32)
-    out["t1"], out["t2"], out["pos"], out["mult"] = c["t1"][who], c["t2"][who], c["pos"][who] - back, 1
-    return out
+def _strings(z: Sizes, c: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, bytes before the anchor) of the strings around the anchors of the given rows that lie
+    inside their texts and whose hash isn't alone, sorted by hash."""
+    own = c[rows]
+    r = np.arange(z.left + 1)
+    who, back = np.nonzero((r <= own["left"][:, None]) & (z.length - r <= own["right"][:, None]))
+    right, left = _halves(z, own)
+    h = mix(right[who, z.length - back] * _U(3) + mix(left[who, back] + back.astype(np.uint64)) + own["key"][who])
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order
+    return h[order], rows[who[order]], back[order]
+
+
+def _borne_out(z: Sizes, c: np.ndarray, h: np.ndarray, row: np.ndarray, back: np.ndarray) -> bool:
+    """Whether the bytes bear out the classes of equal hashes, which lie side by side: the stretch of all
+    equal strings of two neighbours is compared at once."""
+    same = h[1:] == h[:-1]
+    if (back[1:] != back[:-1])[same].any():
+        return False
+    pair, back = (row[:-1] << 32 | row[1:])[same], back[1:][same]
+    order = np.lexsort((back, pair))
+    pair, back = pair[order], back[order]
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, np.int64)
+    last = np.r_[first[1:] - 1, len(pair) - 1] if len(pair) else first
+    at = np.arange(z.left + z.length)
+    for k in range(0, len(first), 512):
+        p, lo, hi = pair[first[k : k + 512]], back[first[k : k + 512]], back[last[k : k + 512]]
+        inside = (at >= z.left - hi[:, None]) & (at < z.left - lo[:, None] + z.length)
+        if ((c["raw"][p >> 32] != c["raw"][p & 0xFFFFFFFF]) & inside).any():
+            return False
+    return True
 
 
 class Suffixes:
@@ -417,11 +475,11 @@ class Suffixes:
         return order
 
 
-def _shared(c: np.ndarray) -> np.ndarray:
+def _shared(z: Sizes, c: np.ndarray) -> np.ndarray:
     """Spans of the strings that contexts of equal grams share; c is sorted by key."""
     group = np.cumsum(np.r_[True, c["key"][1:] != c["key"][:-1]]) - 1
-    right, left = _halves(c, 0)
-    sides = [Suffixes(right, c["raw"][:, LEFT:], c["right"]), Suffixes(left, c["raw"][:, :LEFT][:, ::-1], c["left"])]
+    right, left = _halves(z, c)
+    sides = [Suffixes(right, c["raw"][:, z.left :], c["right"]), Suffixes(left, c["raw"][:, : z.left][:, ::-1], c["left"])]
     partner, best = [], []
     for side in sides:
         order = side.sort(group)
@@ -430,49 +488,51 @@ def _shared(c: np.ndarray) -> np.ndarray:
         a, b = a[same], b[same]
         n = side.common(a, b)
         if not side.verified(a, b, n):  # two different prefixes had one hash: settle by the strings themselves
-            return _slowly(c)
+            return _slowly(z, c)
         most = np.zeros(len(c), np.int64)
         np.maximum.at(most, a, n)
         np.maximum.at(most, b, n)
         best.append(most)
         partner += [(a, b), (b, a)]
-    low, high = LENGTH - best[0], np.minimum(best[1], LEFT)
+    low, high = z.length - best[0], np.minimum(best[1], z.left)
     open_ = (low <= high) & (c["mult"] == 1)
     out = []
     for a, b in partner:
         a, b = a[open_[a]], b[open_[a]]
         to_right, to_left = sides[0].common(a, b), sides[1].common(a, b)
-        ok = to_right + to_left >= LENGTH
+        ok = to_right + to_left >= z.length
         out.append(_spans(c["t1"][a[ok]], c["t2"][a[ok]], c["pos"][a[ok]] - to_left[ok], c["pos"][a[ok]] + to_right[ok]))
         open_[a[(to_right == best[0][a]) & (to_left == high[a])]] = False  # nobody shares more
     if open_.any():
-        some = np.isin(group, group[open_])
-        s, cls, twice = _combined(_strings(c[some]), ("h", "h2"))
-        d = s[twice[cls]]
-        out.append(_spans(d["t1"], d["t2"], d["pos"], d["pos"] + LENGTH))
+        some = np.flatnonzero(np.isin(group, group[open_]))
+        h, row, back = _strings(z, c, some)
+        if not _borne_out(z, c, h, row, back):
+            return _slowly(z, c)
+        out.append(_spans(c["t1"][row], c["t2"][row], c["pos"][row] - back, c["pos"][row] - back + z.length))
     return np.concatenate(out)
 
 
-def _slowly(c: np.ndarray) -> np.ndarray:
+def _slowly(z: Sizes, c: np.ndarray) -> np.ndarray:
     seen: dict[bytes, list[tuple[int, int]]] = {}
     for k in range(len(c)):
-        for back in range(max(0, LENGTH - int(c["right"][k])), int(c["left"][k]) + 1):
-            seen.setdefault(c["key"][k].tobytes() + back.to_bytes(2) + c["raw"][k, LEFT - back : LEFT - back + LENGTH].tobytes(), []).append((k, back))
+        for back in range(max(0, z.length - int(c["right"][k])), int(c["left"][k]) + 1):
+            seen.setdefault(c["key"][k].tobytes() + back.to_bytes(2) + c["raw"][k, z.left - back : z.left - back + z.length].tobytes(), []).append((k, back))
     hit = [x for own in seen.values() if len(own) > 1 for x in own]
     k, back = np.array([x[0] for x in hit], int), np.array([x[1] for x in hit], int)
-    return _spans(c["t1"][k], c["t2"][k], c["pos"][k] - back, c["pos"][k] - back + LENGTH)
+    return _spans(c["t1"][k], c["t2"][k], c["pos"][k] - back, c["pos"][k] - back + z.length)
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(k1, k2, body): for each text of docs(doc_id, text, k1, k2) with repeated bytes, its merged spans
     as pairs of 32-bit offsets. k2 holds 32 bits."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = n_buckets(spark, 2)
+    buckets, z = n_buckets(spark, 2), Sizes(length)
     rows = "kind int, bucket int, blob binary"
-    mapped, texts, spans = docs.select("text", "k1", "k2").mapInPandas(_find_anchors(buckets), rows), None, None
+    mapped, texts, spans, made = docs.select("text", "k1", "k2").mapInPandas(_find_anchors(z, buckets), rows), None, None, []
     while mapped is not None:
-        found = written(mapped.groupBy("bucket").applyInPandas(_reduced(buckets, hot), rows), "suffix-found")
+        found = written(mapped.groupBy("bucket").applyInPandas(_reduced(z, buckets, hot), rows), "suffix-found")
+        made.append(found)
         release_shuffles(spark)
         own = found.where("kind = 0").select("bucket", "blob")
         spans = own if spans is None else spans.union(own)
@@ -482,12 +542,16 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
             named = docs.select("k1", "k2", name.alias("d"), "text")
             first = named.groupBy("k1", "k2").agg(F.min("d").alias("d"))
             asked = texts = written(ask.join(first, ["k1", "k2"]).join(named, ["k1", "k2", "d"]).select("k1", "k2", "text", "body"), "suffix-texts")
+            made.append(texts)
             release_shuffles(spark)
         else:
             asked = ask.join(texts.drop("body"), ["k1", "k2"])
         # each round narrows the ranges of frequent grams, from all offsets to one: at most four rounds
-        mapped = None if found.where("kind = 1").isEmpty() else asked.select("text", "body").mapInPandas(_answer(buckets), rows)
-    return written(spans.groupBy("bucket").applyInPandas(_by_text(_SPAN, True), "k1 long, k2 long, body binary"), "suffix-spans")
+        mapped = None if found.where("kind = 1").isEmpty() else asked.select("text", "body").mapInPandas(_answer(z, buckets), rows)
+    out = written(spans.groupBy("bucket").applyInPandas(_by_text(_SPAN, True), "k1 long, k2 long, body binary"), "suffix-spans")
+    for table in made:
+        drop_written(table)
+    return out
 
 
 def _plain(docs: DataFrame, c: str):
@@ -495,15 +559,20 @@ def _plain(docs: DataFrame, c: str):
     return F.col(c).cast("string")
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT) -> DataFrame:
+def _words(raw: bytes) -> int:
+    return len(raw.split())
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT, length: int = LENGTH, over_words: int = 0) -> DataFrame:
     """The carried columns of every row of docs, then n_bytes, n_removed, n_spans, kept_sha256, and with
     with_text the remaining text as kept (a character that a cut splits is left out).
 
-    Every byte covered by a string of LENGTH bytes that also starts elsewhere goes, in all copies. Null
-    text counts as empty; a text is named by 96 bits of its hashes, so repeated rows and equal texts get
-    equal results; null ids take part; an empty table gives no rows; other columns are never read."""
+    Every byte covered by a string of length bytes that also starts elsewhere goes, in all copies; with
+    over_words only those in runs of more than so many words, cut words included. Null text counts as
+    empty; a text is named by 96 bits of its hashes, so repeated rows and equal texts get equal results;
+    null ids take part; an empty table gives no rows; other columns are never read."""
     keyed = docs.select(*[_plain(docs, c).alias(f"c{k}") for k, c in enumerate(carry)], F.col("doc_id"), F.col("text"), *text_key(F.col("text"))).withColumn("k2", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)))
-    spans = repeated_spans(keyed, hot)
+    spans = repeated_spans(keyed, length, hot)
     own = [f"c{k}" for k in range(len(carry))]
     # merged at every size: a broadcast for small inputs alone would only hide how the plan grows
     rows = keyed.drop("doc_id").join(spans.hint("merge"), ["k1", "k2"], "left").select(*own, "text", "body")
@@ -516,7 +585,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_t
                 raw = text.encode() if isinstance(text, str) else b""
                 kept, removed, n = raw, 0, 0
                 if body is not None:
-                    s = np.frombuffer(body, "<u4").reshape(-1, 2).tolist()
+                    s = [(a, b) for a, b in np.frombuffer(body, "<u4").reshape(-1, 2).tolist() if not over_words or _words(raw[a:b]) > over_words]
                     kept = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in s]], [*[a for a, _ in s], len(raw)]))
                     removed, n = len(raw) - len(kept), len(s)
                 out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))

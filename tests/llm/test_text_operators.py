@@ -184,8 +184,28 @@ def test_jaccard(spark):
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_suffix(spark, hot):
+def brute_repeats(rows, length, over_words=0):
+    seen, want = {}, []
+    for _, t, _ in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            seen[b[p : p + length]] = seen.get(b[p : p + length], 0) + 1
+    for i, t, _ in rows:
+        b, gone = (t or "").encode(), set()
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone.update(range(p, p + length))
+        runs = [p for p in sorted(gone) if p - 1 not in gone]
+        for p in runs if over_words else []:
+            end = next(q for q in range(p, len(b) + 1) if q not in gone)
+            if len(b[p:end].split()) <= over_words:
+                gone -= set(range(p, end))
+        want.append((i, len(b), len(gone), sum(p - 1 not in gone for p in gone), hashlib.sha256(bytes(c for p, c in enumerate(b) if p not in gone)).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("hot, length, over_words", [(256, 400, 0), (2, 400, 0), (256, 250, 30), (2, 250, 30)])
+def test_suffix(spark, hot, length, over_words):
     random.seed(4)
     rnd = lambda n: "".join(random.choice("abcdefgh é") for _ in range(n))
     passages = [rnd(n) for n in (380, 400, 401, 450, 700, 1500)]
@@ -197,23 +217,38 @@ def test_suffix(spark, hot):
             t += p[random.randrange(80) : len(p) - random.randrange(60)] + rnd(random.randrange(200))
         texts.append(t)
     rows = rows_of([*texts, passages[5], passages[5], "a" * 1000, "a" * 399, "b" * 400, "c" * 401])
-    seen = {}
-    for _, t, _ in rows:
-        b = (t or "").encode()
-        for p in range(len(b) - 399):
-            seen[b[p : p + 400]] = seen.get(b[p : p + 400], 0) + 1
-    want = []
-    for i, t, _ in rows:
-        b, gone = (t or "").encode(), set()
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
-                gone.update(range(p, p + 400))
-        want.append((i, len(b), len(gone), sum(p - 1 not in gone for p in gone), hashlib.sha256(bytes(c for p, c in enumerate(b) if p not in gone)).hexdigest()))
-    got = suffix.remove_repeats(docs(spark, rows).repartition(3), hot=hot).collect()
-    assert sorted(map(key, got)) == sorted(map(key, want))
+    got = suffix.remove_repeats(docs(spark, rows).repartition(3), hot=hot, length=length, over_words=over_words).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute_repeats(rows, length, over_words)))
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 2])
+def test_suffix_with_colliding_hashes(spark, hot, monkeypatch):
+    """Where all prefix hashes are weak, bytes and digests still tell strings apart."""
+    monkeypatch.setattr(suffix, "mix", lambda h: h & np.uint64(7))
+    random.seed(8)
+    rnd = lambda n: "".join(random.choice("ab ") for _ in range(n))
+    p = rnd(600)
+    rows = [(i, rnd(300) + p[i * 20 : i * 20 + 450] + rnd(200), "s") for i in range(8)]
+    z = suffix.Sizes()
+    with np.errstate(over="ignore"):
+        texts = [t.encode() for _, t, _ in rows]
+        found = [(text, rec) for text, rec in suffix.text_anchors(texts, z)]
+        c = np.zeros(sum(len(r) for _, r in found), z.context)
+        at = 0
+        for text, rec in found:
+            for t, x in zip(text.tolist(), rec):
+                raw = texts[t]
+                c[at]["key"], c[at]["t1"], c[at]["pos"], c[at]["left"], c[at]["right"], c[at]["mult"] = 1, t, x["pos"], x["left"], x["right"], 1
+                whole = bytes(z.left) + raw + bytes(z.length)
+                c[at]["raw"] = np.frombuffer(whole[int(x["pos"]) : int(x["pos"]) + z.left + z.length], np.uint8)
+                at += 1
+        spans = suffix._shared(z, c)
+    for s in spans:
+        string = texts[s["t1"]][s["a"] : s["b"]]
+        assert len(string) >= 400 and sum(string[:400] in t for t in texts) > 1
+
+
 def test_anchors_of_long_texts(monkeypatch):
     random.seed(5)
     text = "".join(random.choice("abcd ") for _ in range(30_000)).encode()
@@ -226,13 +261,13 @@ def test_anchors_of_long_texts(monkeypatch):
 
 def test_suffix_order():
     random.seed(6)
-    n = 300
-    c = np.zeros(n, suffix._CONTEXT)
-    c["raw"] = np.random.default_rng(1).integers(97, 99, (n, suffix.LEFT + suffix.LENGTH))
-    c["raw"][:, : suffix.LEFT + suffix.K] = 97
-    c["left"], c["right"] = suffix.LEFT, np.random.default_rng(2).integers(suffix.K, suffix.LENGTH + 1, n)
+    n, z = 300, suffix.Sizes()
+    c = np.zeros(n, z.context)
+    c["raw"] = np.random.default_rng(1).integers(97, 99, (n, z.left + z.length))
+    c["raw"][:, : z.left + z.k] = 97
+    c["left"], c["right"] = z.left, np.random.default_rng(2).integers(z.k, z.length + 1, n)
     with np.errstate(over="ignore"):
-        right, _ = suffix._halves(c, 0)
-        order = suffix.Suffixes(right, c["raw"][:, suffix.LEFT :], c["right"]).sort(np.zeros(n, np.int64))
-    texts = [c["raw"][i, suffix.LEFT : suffix.LEFT + int(c["right"][i])].tobytes() for i in range(n)]
+        right, _ = suffix._halves(z, c)
+        order = suffix.Suffixes(right, c["raw"][:, z.left :], c["right"]).sort(np.zeros(n, np.int64))
+    texts = [c["raw"][i, z.left : z.left + int(c["right"][i])].tobytes() for i in range(n)]
     assert [texts[i] for i in order] == sorted(texts)
