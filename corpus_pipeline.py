@@ -16,28 +16,37 @@ from corpusloom.llm.toxicity import fit, score
 
 #: Columns of documents, which every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What counts as a passage: few runs of so many words are shorter than so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 250
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't predict toxic; empty ones stay."""
+    """Documents that the classifier doesn't predict toxic. Null and empty texts, repeated rows and null
+    ids stay; without labels all stay; an empty table gives none; other columns are never read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, fit(docs, labels), COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; those without words stay."""
+    """One document of each group of near duplicates, that with the smallest id (null ids last); those
+    without words (null texts too) all stay, but of repeated rows (same id, same text) one; an empty
+    table gives none; other columns are never read."""
     return best_of_each(docs).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its long repeated strings; n_chars follows the text."""
-    cut = remove_repeats(docs, ("doc_id", "lang", "source"), with_text=True)
+    """Every document without its repeated passages: runs of more than PASSAGE_WORDS words covered by
+    strings of PASSAGE_BYTES bytes that also start elsewhere; n_chars follows the text. Null texts come
+    out empty; repeated rows, null ids and documents that are left empty stay; an empty table gives none."""
+    cut = remove_repeats(docs, ("doc_id", "lang", "source"), with_text=True, length=PASSAGE_BYTES, over_words=PASSAGE_WORDS)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in training order; the copy at which a source's demand
-    ends is whole here."""
+    ends is whole here. Texts without words are never taken, nor are those whose source isn't; null
+    sources are a source; of repeated rows (same id, same text) each one's copies are given; an empty
+    table gives none."""
     keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k"))
     placed = curriculum(keyed, carry=("_d", "_k"))
     times = placed.groupBy("_d", "_k").agg(F.flatten(F.collect_list("positions")).alias("_at"))
@@ -47,7 +56,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text, a row for each copy of a document."""
+    """Token counts and digests of ids and decoded text, a row for each copy of a document, empty texts,
+    repeated rows and null ids included; an empty table gives none."""
     return encode_decode(docs)
 
 
