@@ -559,13 +559,11 @@ def _plain(docs: DataFrame, c: str):
     return F.col(c).cast("string")
 
 
-def _words(raw: bytes) -> int:
-    return len(raw.split())
-
-
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT, length: int = LENGTH, over_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT, length: int = LENGTH, over_words: int = 0, passages: tuple[int, int] | None = None) -> DataFrame:
     """The carried columns of every row of docs, then n_bytes, n_removed, n_spans, kept_sha256, and with
-    with_text the remaining text as kept (a character that a cut splits is left out).
+    with_text the remaining text as kept (a character that a cut splits is left out), and with passages
+    (bytes, words) n_passages and passage_bytes: the runs covered by repeated strings of so many bytes
+    that have more than so many words, which stay in the text.
 
     Every byte covered by a string of length bytes that also starts elsewhere goes, in all copies; with
     over_words only those in runs of more than so many words, cut words included. Null text counts as
@@ -575,22 +573,33 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_t
     spans = repeated_spans(keyed, length, hot)
     own = [f"c{k}" for k in range(len(carry))]
     # merged at every size: a broadcast for small inputs alone would only hide how the plan grows
-    rows = keyed.drop("doc_id").join(spans.hint("merge"), ["k1", "k2"], "left").select(*own, "text", "body")
-    schema = ", ".join(f"c{k} string" for k in range(len(carry))) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    rows = keyed.drop("doc_id").join(spans.hint("merge"), ["k1", "k2"], "left")
+    rows = rows.join(repeated_spans(keyed, passages[0], hot).withColumnRenamed("body", "other").hint("merge"), ["k1", "k2"], "left") if passages else rows.withColumn("other", F.lit(None).cast("binary"))
+    rows = rows.select(*own, "text", "body", "other")
+    more = {"kept": "string"} if with_text else {}
+    more |= {"n_passages": "long", "passage_bytes": "long"} if passages else {}
+    schema = ", ".join([*[f"c{k} string" for k in range(len(carry))], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *[f"{c} {kind}" for c, kind in more.items()]])
+
+    def runs(raw: bytes, body, least: int) -> list[tuple[int, int]]:
+        every = np.frombuffer(body, "<u4").reshape(-1, 2).tolist() if body is not None else []
+        return [(a, b) for a, b in every if not least or len(raw[a:b].split()) > least]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, body in zip(pdf["text"], pdf["body"]):
+            for text, body, other in zip(pdf["text"], pdf["body"], pdf["other"]):
                 raw = text.encode() if isinstance(text, str) else b""
-                kept, removed, n = raw, 0, 0
-                if body is not None:
-                    s = [(a, b) for a, b in np.frombuffer(body, "<u4").reshape(-1, 2).tolist() if not over_words or _words(raw[a:b]) > over_words]
-                    kept = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in s]], [*[a for a, _ in s], len(raw)]))
-                    removed, n = len(raw) - len(kept), len(s)
-                out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))
-            cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+                gone = runs(raw, body, over_words)
+                kept = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in gone]], [*[a for a, _ in gone], len(raw)]))
+                row = [len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()]
+                if with_text:
+                    row.append(kept.decode("utf-8", "ignore"))
+                if passages:
+                    found = runs(raw, other, passages[1])
+                    row += [len(found), sum(b - a for a, b in found)]
+                out.append(row)
+            cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *more]
             yield pd.concat([pdf[own].reset_index(drop=True), pd.DataFrame(out, columns=cols)], axis=1)
 
     result = rows.mapInPandas(cut, schema)
-    return result.select(*[F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+    return result.select(*[F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *more)
