@@ -18,7 +18,7 @@ N, NUM, DEN = 5, 80, 100
 SKETCH_BITS = 20
 #: Counters of the suffix filter: shingles of a document by a few bits of their hash.
 CELLS = 32
-#: Members that are compared with one copy of a pivot's text, about.
+#: Members that are compared with one copy of a pivot's text, and of a block of a list, about.
 GROUP = 64
 
 _POSTING = np.dtype([("g", "<u4"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
@@ -47,9 +47,16 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
-def signature(s: np.ndarray) -> int:
+def signature(s: np.ndarray, seed: int = 0) -> int:
     """64 bits that name a set."""
-    return int(mix(np.array([np.sum(mix(s ^ np.uint64(0x2545F4914F6CDD1D))) + np.uint64(len(s))], np.uint64))[0].astype(np.int64))
+    word = np.uint64((0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)[seed])
+    return int(mix(np.array([np.sum(mix(s ^ word)) + np.uint64(len(s))], np.uint64))[0].astype(np.int64))
+
+
+def named(s: np.ndarray, shared: frozenset[int]) -> int:
+    """The name of a set: its first 64 bits, or the second ones where different sets share the first."""
+    first = signature(s)
+    return signature(s, 1) if first in shared else first
 
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,18 +67,18 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows, seen = [], []
             for s in shingle_sets(_lower(pdf["text"])):
                 cells = np.minimum(np.bincount((s >> np.uint64(35)).astype(np.int64) % CELLS, minlength=CELLS), 65535).astype("<u2")
-                rows.append((signature(s), len(s), cells.tobytes()))
+                rows.append((signature(s), signature(s, 1), len(s), cells.tobytes()))
                 seen.append(s)
                 if len(seen) >= 512:
                     sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
                     seen = []
             if seen:
                 sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            out = pd.DataFrame(rows, columns=["s", "n", "cells"])
-            yield out.assign(doc_id=pdf["doc_id"].to_numpy(), k=pdf["k"].to_numpy(), slice=-1)[["slice", "doc_id", "k", "s", "n", "cells"]]
+            out = pd.DataFrame(rows, columns=["s", "s2", "n", "cells"])
+            yield out.assign(doc_id=pdf["doc_id"].to_numpy(), k=pdf["k"].to_numpy(), slice=-1)[["slice", "doc_id", "k", "s", "s2", "n", "cells"]]
     if sketch.any():
         parts = sketch.reshape(16, -1)
-        yield pd.DataFrame({"slice": range(16), "doc_id": None, "k": 0, "s": 0, "n": 0, "cells": [x.tobytes() for x in parts]})
+        yield pd.DataFrame({"slice": range(16), "doc_id": None, "k": 0, "s": 0, "s2": 0, "n": 0, "cells": [x.tobytes() for x in parts]})
 
 
 def _sum_slices(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +86,7 @@ def _sum_slices(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "cells": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
 
 
-def _postings(sketch, buckets: int):
+def _postings(sketch, shared: frozenset[int], buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.frombuffer(sketch.value, np.uint32)
         with np.errstate(over="ignore"):
@@ -87,7 +94,7 @@ def _postings(sketch, buckets: int):
                 done, found, to = set(), [], []
                 for s in shingle_sets(_lower(pdf["text"])):
                     n = len(s)
-                    sig = signature(s)
+                    sig = named(s, shared)
                     if n == 0 or sig in done:
                         continue
                     done.add(sig)
@@ -152,22 +159,48 @@ def _suffix_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf[(NUM + DEN) * least <= (DEN - NUM) * total][["a", "b"]]
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(shared: frozenset[int]):
     """Rows sorted by pivot, salt and role, a pivot's text before its members': the pairs that link."""
-    name, own = None, None
-    with np.errstate(over="ignore"):
-        for pdf in batches:
-            out = []
-            for x, salt, role, member, s in zip(pdf["x"], pdf["salt"], pdf["role"], pdf["member"], shingle_sets(_lower(pdf["text"]))):
-                if signature(s) != member:
-                    continue
-                if role == 0:
-                    name, own = (x, salt), s
-                elif name == (x, salt):
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if DEN * both >= NUM * (len(own) + len(s) - both):
-                        out.append((x, member))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, own = None, None
+        with np.errstate(over="ignore"):
+            for pdf in batches:
+                out = []
+                for x, salt, role, member, s in zip(pdf["x"], pdf["salt"], pdf["role"], pdf["member"], shingle_sets(_lower(pdf["text"]))):
+                    if named(s, shared) != member:
+                        continue
+                    if role == 0:
+                        name, own = (x, salt), s
+                    elif name == (x, salt):
+                        both = len(np.intersect1d(own, s, assume_unique=True))
+                        if DEN * both >= NUM * (len(own) + len(s) - both):
+                            out.append((x, member))
+                yield pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+    return run
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(a, b): the pairs within the lists of rows (g, s, n, p, c) of different components c that pass the
+    filters of length and position.
+
+    A list is cut into classes of sizes, of which only neighbours can link, and each class into blocks of
+    about GROUP members; pairs of blocks meet, so that a task never holds more than two blocks of a list."""
+    ratio = DEN / NUM
+    rows = rows.withColumn("l", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
+    sizes = rows.groupBy("g", "l").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("of"))
+    # a power of DEN / NUM may come out on either side of its bound, so that classes two apart meet, too
+    near = sizes.select("g", "l", "of", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("up")).select("g", (F.col("l") - F.col("up")).alias("l"), "up", F.col("of").alias("to"))
+    beside = sizes.join(near, ["g", "l"]).groupBy("g", "l").agg(F.first("of").alias("of"), F.collect_list(F.struct("up", "to")).alias("above"))
+    below = sizes.join(sizes.select("g", "l", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("down"), F.col("of").alias("to")).withColumn("l", F.col("l") + F.col("down")), ["g", "l"]).groupBy("g", "l").agg(F.collect_list(F.struct("down", "to")).alias("under"))
+    cut = rows.join(beside, ["g", "l"]).join(below, ["g", "l"]).withColumn("i", F.pmod(F.xxhash64("s"), F.col("of")).cast("int"))
+    each = lambda x: F.sequence(F.lit(0), x["to"] - 1)
+    left = cut.select("g", "s", "n", "p", "c", F.col("l").alias("lx"), F.col("i").alias("ix"), F.explode(F.flatten(F.transform("above", lambda x: F.transform(each(x), lambda j: F.struct((F.col("l") + x["up"]).alias("ly"), j.alias("iy")))))).alias("to")).select(*[F.col(c).alias(c + "x") for c in "snpc"], "g", "lx", "ix", "to.ly", "to.iy")
+    right = cut.select("g", "s", "n", "p", "c", F.col("l").alias("ly"), F.col("i").alias("iy"), F.explode(F.flatten(F.transform("under", lambda x: F.transform(each(x), lambda j: F.struct((F.col("l") - x["down"]).alias("lx"), j.alias("ix")))))).alias("to")).select(*[F.col(c).alias(c + "y") for c in "snpc"], "g", "to.lx", "to.ix", "ly", "iy")
+    once = (F.col("lx") < F.col("ly")) | (F.col("ix") < F.col("iy")) | ((F.col("ix") == F.col("iy")) & (F.col("sx") < F.col("sy")))
+    both = left.join(right, ["g", "lx", "ix", "ly", "iy"]).where(once & F.expr(f"cx <> cy AND {DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny) AND {NUM + DEN} * least(nx - px, ny - py) >= {NUM} * (nx + ny)"))
+    return both.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct()
 
 
 class Join:
@@ -179,8 +212,12 @@ class Join:
         kind = docs.schema["doc_id"].dataType
         plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would turn whole numbers with nulls into floats
         self.docs = plain.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
-        first = written(self.docs.mapInPandas(_summaries, "slice int, doc_id string, k long, s long, n long, cells binary"), "jaccard-sets")
-        self.rows = first.where("slice < 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "k", "s", "n", "cells")
+        first = written(self.docs.mapInPandas(_summaries, "slice int, doc_id string, k long, s long, s2 long, n long, cells binary"), "jaccard-sets")
+        # sets are told apart by 128 bits: the few that share their first 64 (n * n / 2 ** 65 of n sets) take the others
+        several = first.where("slice < 0").groupBy("s").agg(F.min("s2").alias("lo"), F.max("s2").alias("hi")).where("lo < hi")
+        self.shared = frozenset(r["s"] for r in several.select("s").collect())
+        name = F.when(F.col("s").isin(*self.shared), F.col("s2")).otherwise(F.col("s")) if self.shared else F.col("s")
+        self.rows = first.where("slice < 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "k", name.alias("s"), "n", "cells")
         slices = {r["slice"]: bytes(r["cells"]) for r in first.where("slice >= 0").select("slice", "cells").groupBy("slice").applyInPandas(_sum_slices, "slice int, cells binary").collect()}
         sketch = b"".join(slices.get(k, bytes((4 << SKETCH_BITS) // 16)) for k in range(16))
         self.sketch = spark.sparkContext.broadcast(sketch)
@@ -195,7 +232,7 @@ class Join:
         as all links would: within a list the first document is compared with every other; where a list
         then still holds documents of different components, each pair of those that passes the filters."""
         buckets = n_buckets(self.spark)
-        lists = self.docs.select("text").mapInPandas(_postings(self.sketch, buckets), "bucket int, blob binary")
+        lists = self.docs.select("text").mapInPandas(_postings(self.sketch, self.shared, buckets), "bucket int, blob binary")
         found = written(lists.groupBy("bucket").applyInPandas(_candidates, "kind int, g long, a long, b long, n long, p long"), "jaccard-candidates")
         pairs = written(found.where("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
         edges = written(self.verified(pairs), "jaccard-links")
@@ -205,14 +242,8 @@ class Join:
             roots = components(edges)
         rows = found.where("kind = 1").select("g", F.col("b").alias("s"), "n", "p").join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
         mixed = rows.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-        rows = written(rows.join(mixed, "g"), "jaccard-open")
-        x, y = (rows.select("g", *[F.col(c).alias(c + k) for c in "snpc"]) for k in "xy")
-        more = (
-            x.join(y, "g").where(
-                f"sx < sy AND cx <> cy AND {DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny) AND {NUM + DEN} * least(nx - px, ny - py) >= {NUM} * (nx + ny)"
-            ).select(F.col("sx").alias("a"), F.col("sy").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        )
-        more = written(more, "jaccard-pairs")
+        rows = written(rows.join(mixed, "g", "left_semi"), "jaccard-open")
+        more = written(_across(rows).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
         return edges if more.isEmpty() else edges.union(written(self.verified(more), "jaccard-links"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -228,7 +259,7 @@ class Join:
         null = F.lit("\x00")
         texts = self.docs.select(F.coalesce(F.col("doc_id").cast("string"), null).alias("d"), "k", "text")
         rows = fetch.withColumn("d", F.coalesce("d", null)).join(texts, ["d", "k"]).select("x", "salt", "role", "member", "text")
-        return rows.repartition(n_buckets(self.spark, 1), "x", "salt").sortWithinPartitions("x", "salt", "role").mapInPandas(_verify, "a long, b long").distinct()
+        return rows.repartition(n_buckets(self.spark, 1), "x", "salt").sortWithinPartitions("x", "salt", "role").mapInPandas(_verify(self.shared), "a long, b long").distinct()
 
 
 def _roots(join: Join) -> DataFrame:
@@ -258,12 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def best_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when each component keeps one document, that with the smallest id (null
-    ids last); texts without words all stay; of repeated rows (same id, same text) one stays. docs has no
-    columns named _d or _k."""
+    ids last); texts without words all stay; of repeated rows (same id, same text) one stays. docs may
+    have further columns of any name."""
     join = Join(docs)
     roots = _roots(join).select("s", "root")
     name = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
     best = join.rows.where("n > 0").join(roots, "s").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")).alias("r"))
-    keep = best.select(name(F.col("r.doc_id")).alias("_d"), F.col("r.k").alias("_k")).union(join.rows.where("n = 0").select(name(F.col("doc_id")), "k")).distinct()
-    keyed = docs.select("*", name(F.col("doc_id")).alias("_d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_k"))
-    return keyed.join(written(keep, "jaccard-keep"), ["_d", "_k"], "left_semi").dropDuplicates(["_d", "_k"]).drop("_d", "_k")
+    keep = best.select(name(F.col("r.doc_id")).alias("d"), F.col("r.k").alias("k")).union(join.rows.where("n = 0").select(name(F.col("doc_id")), "k")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), name(F.col("doc_id")).alias("d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
+    return whole.join(written(keep, "jaccard-keep"), ["d", "k"], "left_semi").dropDuplicates(["d", "k"]).select("row.*")

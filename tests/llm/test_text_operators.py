@@ -222,6 +222,20 @@ def test_suffix(spark, hot, length, over_words):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_passages_beside_strings(spark):
+    random.seed(14)
+    word = lambda: "".join(random.choice("abcdef") for _ in range(5))
+    shared = [" ".join(word() for _ in range(n)) for n in (45, 52, 90)]
+    texts = [" ".join([word(), word(), shared[i % 3], word(), word()]) for i in range(9)]
+    rows = rows_of(texts)
+    got = suffix.remove_repeats(docs(spark, rows).repartition(3), passages=(250, 50)).collect()
+    both = zip(sorted(map(key, brute_repeats(rows, 400))), sorted(map(key, brute_repeats(rows, 250, 50))))
+    assert sorted(key(r[:5]) for r in got) == [a for a, _ in both]
+    found = {(str(r.doc_id), r.n_bytes): (r.passage_bytes, r.n_passages) for r in got}
+    assert found == {(str(i), n): (gone, runs) for i, n, gone, runs, _ in brute_repeats(rows, 250, 50)}
+    assert {found[str(1000 + i), len(t)][1] for i, t in enumerate(texts) if i % 3 == 0} == {0}
+
+
 @pytest.mark.parametrize("hot", [256, 2])
 def test_suffix_with_colliding_hashes(spark, hot, monkeypatch):
     """Where all prefix hashes are weak, bytes and digests still tell strings apart."""
@@ -271,3 +285,24 @@ def test_suffix_order():
         order = suffix.Suffixes(right, c["raw"][:, z.left :], c["right"]).sort(np.zeros(n, np.int64))
     texts = [c["raw"][i, z.left : z.left + int(c["right"][i])].tobytes() for i in range(n)]
     assert [texts[i] for i in order] == sorted(texts)
+
+
+def test_pairs_across_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    random.seed(15)
+    rows = [(g, g * 1000 + i, random.choice([4, 5, 6, 7, 8, 10, 12, 60, 64, 75, 80]), random.randrange(3), random.randrange(6)) for g in range(3) for i in range(60)]
+    want = set()
+    for x in rows:
+        for y in rows:
+            (gx, sx, nx, px, cx), (gy, sy, ny, py, cy) = x, y
+            if gx == gy and sx < sy and cx != cy and 100 * min(nx, ny) >= 80 * max(nx, ny) and 180 * min(nx - px, ny - py) >= 80 * (nx + ny):
+                want.add((sx, sy))
+    got = jaccard._across(spark.createDataFrame(rows, "g long, s long, n long, p long, c long")).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_names_of_sets():
+    with np.errstate(over="ignore"):
+        a, b = np.arange(5, dtype=np.uint64), np.arange(6, dtype=np.uint64)
+        assert jaccard.named(a, frozenset()) == jaccard.signature(a) != jaccard.signature(a, 1)
+        assert jaccard.named(a, frozenset([jaccard.signature(a)])) == jaccard.signature(a, 1) and jaccard.signature(a) != jaccard.signature(b)
