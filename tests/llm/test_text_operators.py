@@ -222,20 +222,6 @@ def test_suffix(spark, hot, length, over_words):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_passages_beside_strings(spark):
-    random.seed(14)
-    word = lambda: "".join(random.choice("abcdef") for _ in range(5))
-    shared = [" ".join(word() for _ in range(n)) for n in (45, 52, 90)]
-    texts = [" ".join([word(), word(), shared[i % 3], word(), word()]) for i in range(9)]
-    rows = rows_of(texts)
-    got = suffix.remove_repeats(docs(spark, rows).repartition(3), passages=(250, 50)).collect()
-    both = zip(sorted(map(key, brute_repeats(rows, 400))), sorted(map(key, brute_repeats(rows, 250, 50))))
-    assert sorted(key(r[:5]) for r in got) == [a for a, _ in both]
-    found = {(str(r.doc_id), r.n_bytes): (r.passage_bytes, r.n_passages) for r in got}
-    assert found == {(str(i), n): (gone, runs) for i, n, gone, runs, _ in brute_repeats(rows, 250, 50)}
-    assert {found[str(1000 + i), len(t)][1] for i, t in enumerate(texts) if i % 3 == 0} == {0}
-
-
 @pytest.mark.parametrize("hot", [256, 2])
 def test_suffix_with_colliding_hashes(spark, hot, monkeypatch):
     """Where all prefix hashes are weak, bytes and digests still tell strings apart."""
