@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, n_buckets, new_path, release_shuffles, written
+from .common import bounded_batches, n_buckets, new_path, publish, release_shuffles, written
 from .media import _store
 
 #: A batch of documents shares one local dictionary; it ends at so many words or distinct words.
@@ -220,7 +220,7 @@ def _write_dictionary(folder: str):
         temp = f"{path}/.{batch}-{TaskContext.get().taskAttemptId()}"
         with store.open_output_stream(temp) as out:
             out.write(_pack(n.astype(np.uint32), codes))
-        store.move(temp, f"{path}/{batch}")
+        publish(store, temp, f"{path}/{batch}")
         return pd.DataFrame({"batch": [batch], "n_words": [len(n)]})
 
     return run
@@ -276,7 +276,8 @@ def decoded_ids(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[list[t
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text).
 
-    Decoding looks every id up in the id-to-piece table and joins the bytes. Null text counts as empty
+    Decoding is the id-to-piece join: every id is looked up in the vocabulary, whose size is fixed and which
+    each worker holds, so that no id travels. Null text counts as empty
     (0 tokens, hashes of nothing); added tokens in a text get their own ids; repeated rows and null ids
     give a row each; an empty table gives no rows; other columns are never read."""
     path = path or default_tokenizer()

@@ -18,11 +18,13 @@ def _set_dir(spark: SparkSession) -> str | None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests on one machine), one new temporary folder a context."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all
+    runs on one machine (tests), one new temporary folder a context."""
     sc = spark.sparkContext
     base = _set_dir(spark)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = sc._corpusloom_shared = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         sc.setCheckpointDir(base)
     if "://" not in base:  # a path of the cluster's default file system
@@ -64,6 +66,21 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def publish(store, temp: str, path: str) -> None:
+    """Give a finished file its name. Another attempt of the task may have done so before: its file holds
+    the same bytes and stays."""
+    from pyarrow.fs import FileType
+
+    if store.get_file_info(path).type == FileType.NotFound:
+        try:
+            store.move(temp, path)
+            return
+        except OSError:
+            if store.get_file_info(path).type == FileType.NotFound:
+                raise
+    store.delete_file(temp)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
     import gc

@@ -1,13 +1,16 @@
 """Token ids as binary shards in training order (operator 8).
 
-Token streams are cut into sequences of one length; a keyed Feistel permutation gives every sequence a
-global slot; shards hold consecutive slots at a fixed stride, so a reader finds any slot by arithmetic,
-reads on sequentially and resumes anywhere.
+Documents are dealt to streams by a hash of id and text and ordered within them by that hash, so that
+sequences depend on the documents alone and not on how the table is split. Streams are cut into sequences
+of one length; a keyed Feistel permutation gives every sequence a global slot; shards hold consecutive
+slots at a fixed stride, so a reader finds any slot by arithmetic, reads on sequentially and resumes
+anywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, release_shuffles, written
+from .common import bounded_batches, drop_written, new_path, publish, release_shuffles, written
 from .media import _store
 
 LENGTH, ROUNDS = 2048, 6
@@ -65,25 +68,29 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _sequences(path: str, length: int):
-    """Each task's documents, an end token after each, cut into sequences; the last is filled with end
-    tokens, its count of real ones is kept. BLOCK sequences make a row."""
+    """Each stream's documents, an end token after each, cut into sequences; the last is filled with end
+    tokens, its count of real ones is kept. BLOCK sequences make a row. Streams come one after the other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        encode, part = _encoding(path).encode_ordinary, TaskContext.get().partitionId()
+        encode = _encoding(path).encode_ordinary
         end, size = np.array([END], "<u2"), length * BLOCK
         held: list[np.ndarray] = []
-        count = index = 0
+        now, count, index = None, 0, 0
 
         def row(ids: np.ndarray) -> pd.DataFrame:
             n = -(-len(ids) // length)
             whole = np.full(n * length, END, "<u2")
             whole[: len(ids)] = ids
-            return pd.DataFrame({"part": [part], "i": [index], "n": [n], "n_tokens": [len(ids)], "blob": [zstandard.compress(whole.tobytes(), 9)]})
+            return pd.DataFrame({"stream": [now], "i": [index], "n": [n], "n_tokens": [len(ids)], "blob": [zstandard.compress(whole.tobytes(), 9)]})
 
         for pdf in batches:
-            for text in pdf["text"]:
+            for stream, text in zip(pdf["stream"], pdf["text"]):
+                if stream != now:
+                    if count:
+                        yield row(np.concatenate(held))
+                    now, held, count, index = stream, [], 0, 0
                 ids = np.array(encode(text), "<u2") if isinstance(text, str) and text else end[:0]
                 held += [ids, end]
                 count += len(ids) + 1
@@ -103,9 +110,9 @@ def _slots(n: int, key: int, starts, length: int):
 
         stride = 2 * length
         for pdf in batches:
-            for part, i, k, tokens, blob in zip(pdf["part"], pdf["i"], pdf["n"], pdf["n_tokens"], pdf["blob"]):
+            for stream, i, k, tokens, blob in zip(pdf["stream"], pdf["i"], pdf["n"], pdf["n_tokens"], pdf["blob"]):
                 raw = zstandard.decompress(blob)
-                slot = feistel(starts.value[part] + i + np.arange(k), n, key)
+                slot = feistel(starts.value[stream] + i + np.arange(k), n, key)
                 own = np.minimum(tokens - np.arange(k) * length, length)
                 yield pd.DataFrame({"shard": slot // SHARD, "slot": slot, "n_tokens": own, "body": [zstandard.compress(raw[a * stride : (a + 1) * stride], 3) for a in range(k)]})
 
@@ -127,7 +134,7 @@ def _write(folder: str, per_shard: int, stride: int):
         def done() -> None:
             if out is not None:
                 out.close()
-                store.move(temp, f"{path}/{now:08d}.bin")
+                publish(store, temp, f"{path}/{now:08d}.bin")
 
         for pdf in batches:
             for shard, slot, body in zip(pdf["shard"], pdf["slot"], pdf["body"]):
@@ -146,26 +153,40 @@ def _write(folder: str, per_shard: int, stride: int):
     return run
 
 
+def streamed(docs: DataFrame) -> DataFrame:
+    """(h, d, text, stream) of docs(doc_id, text): documents dealt to about as many streams as a stream has
+    documents, by a hash of id and text; equal rows are interchangeable."""
+    n = max(1, math.isqrt(docs.select("doc_id").count()))
+    d = F.col("doc_id").cast("string")
+    h = F.xxhash64(F.coalesce(d, F.lit("\x00")), F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(h.alias("h"), d.alias("d"), "text").withColumn("stream", F.pmod("h", F.lit(n)).cast("int"))
+
+
 def materialise(docs: DataFrame, key: int = 20240607, path: str | None = None, length: int = LENGTH) -> tuple[DataFrame, str]:
     """(index, folder): slot, shard, offset, n_tokens of every sequence, and the folder of shards
     00000000.bin, 00000001.bin, ... of SHARD sequences of length 16-bit ids each (the last may be
     shorter). n_tokens counts ids before the filling.
 
-    Global numbers are those of the tasks' sequences one after the other, from the counts of tasks (one
-    number a task goes to the driver); the order of training is the permutation's alone. Null and empty
-    texts give one end token; repeated rows are repeated; an empty table gives no rows and no shards;
-    other columns are never read."""
+    Global numbers are those of the streams' sequences one after the other, from the counts of streams
+    (one number a stream, the root of the number of documents, goes to the driver); the order of training
+    is the permutation's alone. The same documents give the same shards, however the table is split. Null
+    and empty texts give one end token; repeated rows are repeated; an empty table gives no rows and no
+    shards; other columns are never read."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    cut = written(docs.select("text").mapInPandas(_sequences(path or default_ranks(), length), "part int, i long, n int, n_tokens long, blob binary"), "token-sequences")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = streamed(docs).repartitionById(tasks, F.col("stream")).sortWithinPartitions("stream", "h", "d", "text").select("stream", "text")
+    cut = written(dealt.mapInPandas(_sequences(path or default_ranks(), length), "stream int, i long, n int, n_tokens long, blob binary"), "token-sequences")
+    release_shuffles(spark)
     starts, total = {}, 0
-    for r in cut.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-        starts[r["part"]], total = total, total + r["n"]
+    for r in cut.groupBy("stream").agg(F.sum("n").alias("n")).orderBy("stream").collect():
+        starts[r["stream"]], total = total, total + r["n"]
     folder = new_path(spark, "token-shards")
     sent = spark.sparkContext.broadcast(starts)
-    dealt = cut.mapInPandas(_slots(total, key, sent, length), "shard long, slot long, n_tokens int, body binary")
-    rows = dealt.repartition(-(-total // SHARD) or 1, "shard").sortWithinPartitions("shard", "slot")
+    slots = cut.mapInPandas(_slots(total, key, sent, length), "shard long, slot long, n_tokens int, body binary")
+    rows = slots.repartitionById(-(-total // SHARD) or 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
     index = written(rows.mapInPandas(_write(folder, SHARD, 2 * length), "shard long, slot long, offset long, n_tokens int"), "token-index")
+    drop_written(cut)
     release_shuffles(spark)
     return index, folder
 

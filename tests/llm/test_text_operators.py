@@ -121,14 +121,45 @@ def test_feistel_is_a_permutation():
     assert token_shards.feistel(np.arange(1000), 1000, 9).tolist() != token_shards.feistel(np.arange(1000), 1000, 10).tolist()
 
 
-def test_token_shards(spark):
+def plain_feistel(x, n, key):
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    mask, full = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(token_shards.ROUNDS):
+            k = int.from_bytes(hashlib.blake2b(f"{key}/{r}".encode(), digest_size=8).digest(), "big")
+            f = ((right ^ k) * 0x9E3779B97F4A7C15) & full
+            f = ((f ^ (f >> 29)) * 0xBF58476D1CE4E5B9) & full
+            left, right = right, left ^ ((f >> 32) & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_token_shards(spark, monkeypatch):
+    """Shards byte by byte against a plain layout, for two splits of the table, and read from the middle."""
+    monkeypatch.setattr(token_shards, "SHARD", 7)
     rows = rows_of([" ".join(f"w{k}" for k in range(n)) for n in (5, 500, 900)])
-    index, folder = token_shards.materialise(docs(spark, rows), length=64)
-    got = sorted(tuple(r) for r in token_shards.read_back(index, folder, 64).collect())
-    assert [r[0] for r in got] == list(range(len(got)))
     enc = token_shards._encoding(token_shards.default_ranks())
-    total = sum(len(enc.encode_ordinary(t or "")) + 1 for _, t, _ in rows)
-    assert sum(r[3] for r in got) == total
+    dealt = sorted((r.stream, r.h, r.d or "", r.text or "") for r in token_shards.streamed(docs(spark, rows)).collect())
+    assert len({x[0] for x in dealt}) > 2
+    sequences = []
+    for stream in sorted({x[0] for x in dealt}):
+        ids = [i for x in dealt if x[0] == stream for i in [*enc.encode_ordinary(x[3]), token_shards.END]]
+        for k in range(0, len(ids), 64):
+            own = ids[k : k + 64]
+            sequences.append((np.array(own + [token_shards.END] * (64 - len(own)), "<u2").tobytes(), len(own)))
+    n = len(sequences)
+    slots = {plain_feistel(k, n, 5): x for k, x in enumerate(sequences)}
+    assert sorted(slots) == list(range(n)) and n > 14
+    body = b"".join(slots[k][0] for k in range(n))
+    for split in (1, 5):
+        index, folder = token_shards.materialise(docs(spark, rows).repartition(split), key=5, length=64)
+        got = sorted(tuple(r) for r in token_shards.read_back(index, folder, 64).collect())
+        assert [(r[0], r[1], r[2], r[3], r[4]) for r in got] == [(k, k // 7, k % 7 * 128, slots[k][1], hashlib.sha256(slots[k][0]).hexdigest()) for k in range(n)]
+        store, path = media._store(folder)
+        files = [store.open_input_file(f"{path}/{s:08d}.bin").read() for s in range(-(-n // 7))]
+        assert b"".join(files) == body and b"".join([files[1][3 * 128 :], *files[2:]]) == body[10 * 128 :]
     empty, _ = token_shards.materialise(docs(spark, []), length=64)
     assert empty.count() == 0
 
