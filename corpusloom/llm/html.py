@@ -25,15 +25,23 @@ SHORT, STOP_HIGH, STOP_LOW, LINKS = 70, 0.30, 0.15, 0.35
 RAW = "script|style|noscript|template|textarea|iframe|object|svg|math|title|select|canvas|audio|video"
 #: Of these, those that run to the end of the page where they are never closed, and whose "/>" closes nothing.
 TO_THE_END = "script|style|title|textarea"
-DROPPED = frozenset("nav footer aside form head menu button dialog fieldset".split())
+#: Elements that are beside the article by their name; headers only outside the main regions.
+DROPPED = frozenset("nav footer aside form menu button dialog fieldset head".split())
+#: Words of class, id and role that name what the article comes without.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal newsletter subscribe "
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal newsletter subscribe "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies share sharing social related widget login signup "
     "search pagination pager toolbar masthead header copyright legal disclaimer gdpr complementary contentinfo alert alertdialog dialog".split()
 )
+#: Words that may stand beside those without changing what they name, and words of the article itself,
+#: whose header is its own but not its comments.
+PLACES = frozenset("box block area list item items section wrapper container inner outer row col left right top bottom slot unit zone label bar buttons links main primary secondary site page global mobile reader user".split())
+OWN = frozenset("post entry article story".split())
+HEADERS = frozenset("header masthead banner".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+_ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?!(?:{TO_THE_END})\b)(?:{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>"
@@ -57,23 +65,33 @@ class Block:
     label: bool | None = None
 
 
-def _hinted(tag: str, attrs: str) -> bool:
-    """Whether an element's name, class, id or role marks it as something beside the article."""
-    if tag in DROPPED:
+def _names_something(name: str, inside: bool) -> bool:
+    """Whether a class, id or role names something beside the article, and nothing else: "site-footer" or
+    "post-comments" do, "has-sidebar", "legal-history" or "entry-header" don't."""
+    words = {w for w in _WORDS.findall(name.lower()) if len(w) > 1}
+    hints, rest = words & HINTS, words - HINTS - PLACES
+    if not hints or not rest <= OWN:
+        return False
+    return bool(hints - HEADERS) or not (inside or rest)
+
+
+def _hinted(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is beside the article by its tag, class, id or role; inside: within a main region."""
+    if tag in DROPPED or tag == "header" and not inside:
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    names = {w.lower() for m in _ATTRS.finditer(attrs) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
+    names = [n for m in _ATTRS.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").split()]
     if tag in MAIN:
-        return bool(names & {"comment", "comments"})
-    return bool(names & HINTS) or bool(_HIDDEN.search(attrs))
+        return any(set(_WORDS.findall(n.lower())) & {"comment", "comments"} for n in names)
+    return any(_names_something(n, inside) for n in names) or bool(_HIDDEN.search(attrs))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, those in dropped elements left out."""
     out, current = [], Block(0)
     skip, depth = "", 0  # the dropped element that is open, and how deep its own kind nests in it
-    mains: list[int] = []
+    mains: list[list] = []  # open main regions: number, tag, how deep that tag nests
     numbers = links = 0
 
     def end() -> None:
@@ -82,7 +100,7 @@ def blocks(page: str) -> list[Block]:
             current.text = " ".join(unescape("".join(current.parts)).split())
             if current.text:
                 out.append(current)
-        current = Block(mains[-1] if mains else 0)
+        current = Block(mains[-1][0] if mains else 0)
 
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
@@ -93,14 +111,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if m["tag"] is None:
             continue
-        tag, closing = m["tag"].lower(), bool(m["close"])
+        tag, closing, attrs = m["tag"].lower(), bool(m["close"]), m["attrs"]
         if skip:
-            if tag in MAIN and not closing and not _hinted(tag, m["attrs"]) and skip not in MAIN:
+            if tag in MAIN and not closing and not _hinted(tag, attrs, bool(mains)) and skip not in MAIN:
                 skip = ""  # the dropped element was never closed
             elif skip == "p" and tag in BLOCKS and not (closing and tag == "p"):
                 skip = ""  # an open paragraph ends where the next block begins
             else:
-                if tag == skip and not m["attrs"].endswith("/"):
+                if tag == skip and not attrs.endswith("/"):
                     depth += -1 if closing else 1
                     if depth == 0:
                         skip = ""
@@ -112,30 +130,32 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             end()
             links = 0
-        if not closing and tag not in VOID and _hinted(tag, m["attrs"]) or (tag == "header" and not closing and not mains):
+        if not closing and tag not in VOID and _hinted(tag, attrs, bool(mains)):
             if tag not in BLOCKS:
                 current.parts.append(" ")
             skip, depth = tag, 1
-        elif tag in MAIN:
-            if closing:
-                mains[-1:] = []
-            else:
-                numbers += 1
-                mains.append(numbers)
-            current.main = mains[-1] if mains else 0
+            continue
+        if not closing and (tag in MAIN or tag in BLOCKS and _ROLE_MAIN.search(attrs)):
+            numbers += 1
+            mains.append([numbers, tag, 1])
+        elif mains and tag == mains[-1][1] and not attrs.endswith("/"):
+            mains[-1][2] += -1 if closing else 1
+            if mains[-1][2] == 0:
+                mains.pop()
+        current.main = mains[-1][0] if mains else 0
     end()
     return out
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Label every block. First pass: many linked characters are bad; long blocks with many stop words
-    are good, with few of them bad (inside an article they stay open: its language may be another).
-    Second pass: open blocks take the label of the nearest decided neighbour of the same article, on a
-    tie the good one; without decided neighbours they are good: what marks itself as something beside the
-    article is gone by then."""
+    are good, with few of them bad (inside a main region they stay open: its language may be another).
+    Second pass: open blocks take the label of the nearest decided neighbour of the same region, on a tie
+    the good one; where a region has none they are good inside a main region, and outside if the page has
+    no such region."""
     any_main = any(b.main for b in found)
     for b in found:
-        if any_main and not b.main or b.linked > LINKS * max(1, len(b.text)):
+        if b.linked > LINKS * max(1, len(b.text)):
             b.label = False
         elif len(b.text) >= SHORT:
             words = b.text.lower().split()
@@ -154,7 +174,7 @@ def classify(found: list[Block]) -> list[Block]:
     for i, b in enumerate(found):
         if first[i] is None:
             near = [(abs(i - j), not first[j]) for j in (before[i], after[i]) if j is not None]
-            b.label = not min(near)[1] if near else True
+            b.label = not min(near)[1] if near else bool(b.main) or not any_main
     return found
 
 
@@ -165,6 +185,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html).
 
+    Elements go before the rules only where tag, class, id or role names a thing that the article comes
+    without; everything else is for the density of stop words and links and for length to decide. A header
+    inside a main region is the article's own and holds its headline; outside it is the page's and goes.
     Null or empty html gives an empty text; repeated rows, null ids and null urls give a row each; other
     columns are never read; an empty table gives no rows. Memory follows the longest page of a batch."""
     bounded_batches(pages.sparkSession)

@@ -76,6 +76,112 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_articles_in_wrappers():
+    p = "<p>The first of the paragraphs is here and it is long enough to be taken by itself, as it should be.</p>"
+    text = p[3:-4]
+    for page, want in (
+        (f'<div class="layout has-sidebar"><h1>Head</h1>{p}</div>', f"Head {text}"),
+        (f'<article><div id="legal-history">{p}</div></article>', text),
+        (f'<article><header class="entry-header"><h1>Head</h1></header>{p}</article>', f"Head {text}"),
+        (f'<header><h1>Site</h1></header><div role="main"><div><p>In it</div>{p}</div><p>x</p>', f"In it {text}"),
+        (f'<div class="content-sidebar-wrap">{p}<div class="post-comments">{p}</div><div class="ad-300x250">{p}</div></div>', text),
+        (f'<div class="site-footer">{p}</div>{p}<div class="cookie-notice">{p}</div>', text),
+    ):
+        assert html.main_text(page) == want, page
+
+
+def test_html_density_decides():
+    """Nothing here names itself: only stop words, links and length tell the blocks apart."""
+    good = "It was in the days of the old king that the men of the hill had come to the sea, and they were with us."
+    poor = "Widget Pro 2000 Deluxe Steel Frame Blue Large Package Price Reduced Offer Shipping Weekend Stock Item"
+    page = f"<div><a href=/a>one of the links that is here and long enough for the rules to look at it, as it is</a></div><div>Home</div><div>{poor}</div><div>Mid</div><div>{good}</div><div>And so.</div><div>{good}</div><div>{poor}</div><div>Bye</div>"
+    assert html.main_text(page) == f"Mid {good} And so. {good}"
+    found = html.classify(html.blocks(page))
+    assert [b.label for b in found] == [False, False, False, True, True, True, True, False, False]
+    inside = f"<article><div>{good}</div><ul><li><a href=/a>A linked line inside of the article</a></li></ul><p>{poor}</p></article>"
+    assert html.main_text(inside) == f"{good}" or html.main_text(inside) == f"{good} {poor}"
+
+
+def brute_text(page):
+    """The same rules over a tree, for pages whose elements are all closed and none of whose dropped elements
+    holds a main one (which would count as never closed): None."""
+    from html.parser import HTMLParser
+
+    blocks, stack = [], []  # block: text, linked, region; stack: tag, region, dropped
+    regions, odd = iter(range(1, 10**6)), []
+
+    class Walk(HTMLParser):
+        def begin(self):
+            blocks.append(["", 0, next((r for _, r, _ in reversed(stack) if r), 0)])
+
+        def handle_starttag(self, tag, attrs):
+            inside = any(r for _, r, _ in stack)
+            names = [n for k, v in attrs if k in ("class", "id", "role") for n in (v or "").split()]
+            beside = tag in html.DROPPED or tag in html.RAW.split("|") or tag == "header" and not inside or tag not in html.MAIN and any(html._names_something(n, inside) for n in names)
+            dropped = beside or any(d for _, _, d in stack)
+            odd.append(dropped and tag in html.MAIN)
+            main = not dropped and (tag in html.MAIN or ("role", "main") in attrs)
+            stack.append((tag, next(regions) if main else 0, dropped))
+            if tag in html.BLOCKS:
+                self.begin()
+
+        def handle_endtag(self, tag):
+            stack.pop()
+            if tag in html.BLOCKS:
+                self.begin()
+
+        def handle_data(self, data):
+            if not any(d for _, _, d in stack):
+                if not blocks:
+                    self.begin()
+                blocks[-1][0] += data
+                blocks[-1][1] += len(data) * any(t == "a" for t, _, _ in stack)
+
+    Walk(convert_charrefs=True).feed(page)
+    if any(odd):
+        return None
+    own = [(" ".join(t.split()), n, r) for t, n, r in blocks if t.split()]
+    first = []
+    for t, n, r in own:
+        ws = t.lower().split()
+        share = sum(html._EDGES.sub("", w) in html.STOP_WORDS for w in ws) / len(ws)
+        if n > html.LINKS * len(t):
+            first.append(False)
+        elif len(t) < html.SHORT:
+            first.append(None)
+        else:
+            first.append(True if share >= html.STOP_HIGH else None if r or share >= html.STOP_LOW else False)
+    out = []
+    for i, (t, _, r) in enumerate(own):
+        near = sorted((abs(i - j), not x) for j, x in enumerate(first) if x is not None and own[j][2] == r)
+        keep = first[i] if first[i] is not None else not near[0][1] if near else bool(r) or not any(x[2] for x in own)
+        if keep:
+            out.append(t)
+    return " ".join(out)
+
+
+def test_html_against_brute_force():
+    random.seed(16)
+    stop, other = ["the", "of", "and", "is", "that"], ["stone", "river", "cloud", "lamp", "grain", "x1"]
+
+    def some(depth):
+        if depth == 0 or random.random() < 0.3:
+            words = " ".join(random.choice(stop if random.random() < (q := random.choice([0.1, 0.5])) else other) for _ in range(random.choice([1, 3, 30])))
+            return f"<a href=/x>{words}</a>" if random.random() < 0.25 else words
+        tag = random.choice(["div", "p", "section", "article", "main", "header", "nav", "aside", "span", "ul"]) if depth > 1 else random.choice(["p", "div", "li", "h2"])
+        mark = random.choice(["", "", "", ' class="has-sidebar"', ' class="ad"', ' id="comments"', ' class="entry-header"', ' role="main"', ' class="page-header x"'])
+        mark = "" if tag in ("article", "main", "span", "p") else mark
+        return f"<{tag}{mark}>" + "".join(some(depth - 1) for _ in range(random.randrange(1, 5) if tag not in ("p", "span", "h2") else 0)) + ("text of it" if tag in ("p", "span", "h2") else "") + f"</{tag}>"
+
+    compared = 0
+    for _ in range(600):
+        page = "<body>" + "".join(some(4) for _ in range(3)) + "</body>"
+        if (want := brute_text(page)) is not None:
+            assert html.main_text(page) == want, page
+            compared += bool(want)
+    assert compared > 100
+
+
 def test_toxicity(spark):
     random.seed(2)
     rows, labels = [], []
