@@ -175,8 +175,11 @@ def materialise(docs: DataFrame, key: int = 20240607, path: str | None = None, l
     spark = docs.sparkSession
     bounded_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = streamed(docs).repartitionById(tasks, F.col("stream")).sortWithinPartitions("stream", "h", "d", "text").select("stream", "text")
-    cut = written(dealt.mapInPandas(_sequences(path or default_ranks(), length), "stream int, i long, n int, n_tokens long, blob binary"), "token-sequences")
+    # nothing holds on to the shuffled texts, so that their files may go before the shards are written
+    cut = written(
+        streamed(docs).repartitionById(tasks, F.col("stream")).sortWithinPartitions("stream", "h", "d", "text").select("stream", "text")
+        .mapInPandas(_sequences(path or default_ranks(), length), "stream int, i long, n int, n_tokens long, blob binary"), "token-sequences",
+    )
     release_shuffles(spark)
     starts, total = {}, 0
     for r in cut.groupBy("stream").agg(F.sum("n").alias("n")).orderBy("stream").collect():
