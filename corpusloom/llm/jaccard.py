@@ -18,8 +18,10 @@ N, NUM, DEN = 5, 80, 100
 SKETCH_BITS = 20
 #: Counters of the suffix filter: shingles of a document by a few bits of their hash.
 CELLS = 32
-#: Members that are compared with one copy of a pivot's text, and of a block of a list, about.
-GROUP = 64
+#: Members that are compared with one copy of a pivot's text, and members of a block of a list, about.
+GROUP, BLOCK = 64, 1024
+#: Rows up to which a table about lists is sent to all tasks; beyond, it is joined by shuffling.
+SENT = 200_000
 
 _POSTING = np.dtype([("g", "<u4"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
 
@@ -185,21 +187,26 @@ def _across(rows: DataFrame) -> DataFrame:
     """(a, b): the pairs within the lists of rows (g, s, n, p, c) of different components c that pass the
     filters of length and position.
 
-    A list is cut into classes of sizes, of which only neighbours can link, and each class into blocks of
-    about GROUP members; pairs of blocks meet, so that a task never holds more than two blocks of a list."""
-    ratio = DEN / NUM
-    rows = rows.withColumn("l", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
-    sizes = rows.groupBy("g", "l").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("of"))
+    A list that holds several components is cut into classes of sizes, of which only neighbours can link,
+    and each class into blocks of about BLOCK members; pairs of blocks meet, so that a task never holds
+    more than two blocks of a list. Rows move by list only where the table of blocks is large."""
+    rows = rows.withColumn("l", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int"))
+    sizes = written(rows.groupBy("g", "l").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"), F.min("c").alias("lo"), F.max("c").alias("hi")), "jaccard-lists")
+    mixed = sizes.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g")
     # a power of DEN / NUM may come out on either side of its bound, so that classes two apart meet, too
-    near = sizes.select("g", "l", "of", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("up")).select("g", (F.col("l") - F.col("up")).alias("l"), "up", F.col("of").alias("to"))
-    beside = sizes.join(near, ["g", "l"]).groupBy("g", "l").agg(F.first("of").alias("of"), F.collect_list(F.struct("up", "to")).alias("above"))
-    below = sizes.join(sizes.select("g", "l", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("down"), F.col("of").alias("to")).withColumn("l", F.col("l") + F.col("down")), ["g", "l"]).groupBy("g", "l").agg(F.collect_list(F.struct("down", "to")).alias("under"))
-    cut = rows.join(beside, ["g", "l"]).join(below, ["g", "l"]).withColumn("i", F.pmod(F.xxhash64("s"), F.col("of")).cast("int"))
-    each = lambda x: F.sequence(F.lit(0), x["to"] - 1)
-    left = cut.select("g", "s", "n", "p", "c", F.col("l").alias("lx"), F.col("i").alias("ix"), F.explode(F.flatten(F.transform("above", lambda x: F.transform(each(x), lambda j: F.struct((F.col("l") + x["up"]).alias("ly"), j.alias("iy")))))).alias("to")).select(*[F.col(c).alias(c + "x") for c in "snpc"], "g", "lx", "ix", "to.ly", "to.iy")
-    right = cut.select("g", "s", "n", "p", "c", F.col("l").alias("ly"), F.col("i").alias("iy"), F.explode(F.flatten(F.transform("under", lambda x: F.transform(each(x), lambda j: F.struct((F.col("l") - x["down"]).alias("lx"), j.alias("ix")))))).alias("to")).select(*[F.col(c).alias(c + "y") for c in "snpc"], "g", "to.lx", "to.ix", "ly", "iy")
-    once = (F.col("lx") < F.col("ly")) | (F.col("ix") < F.col("iy")) | ((F.col("ix") == F.col("iy")) & (F.col("sx") < F.col("sy")))
-    both = left.join(right, ["g", "lx", "ix", "ly", "iy"]).where(once & F.expr(f"cx <> cy AND {DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny) AND {NUM + DEN} * least(nx - px, ny - py) >= {NUM} * (nx + ny)"))
+    steps = [F.struct(F.col("of").alias("to"), F.lit(k).alias("step")) for k in range(-2, 3)]
+    near = sizes.select("g", F.col("l").alias("other"), F.explode(F.array(*steps)).alias("x")).select("g", (F.col("other") - F.col("x.step")).alias("l"), "x.step", "x.to")
+    table = sizes.join(mixed, "g", "left_semi").select("g", "l", "of").join(near, ["g", "l"]).groupBy("g", "l").agg(F.first("of").alias("of"), F.collect_list(F.struct("step", "to")).alias("near"))
+    table = written(table, "jaccard-blocks")
+    table = F.broadcast(table) if table.count() <= SENT else table
+    cut = rows.join(table, ["g", "l"]).withColumn("i", F.pmod(F.xxhash64("s"), F.col("of")).cast("int"))
+    every = F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x["to"] - 1), lambda j: F.struct((F.col("l") + x["step"]).alias("l"), j.alias("i")))))
+    above = F.filter(every, lambda x: (x["l"] > F.col("l")) | ((x["l"] == F.col("l")) & (x["i"] >= F.col("i"))))
+    below = F.filter(every, lambda x: (x["l"] < F.col("l")) | ((x["l"] == F.col("l")) & (x["i"] <= F.col("i"))))
+    side = lambda k, to, own, other: cut.select(*[F.col(c).alias(c + k) for c in "snpc"], "g", F.col("l").alias("l" + own), F.col("i").alias("i" + own), F.explode(to).alias("to")).select(*[c + k for c in "snpc"], "g", "l" + own, "i" + own, F.col("to.l").alias("l" + other), F.col("to.i").alias("i" + other))
+    once = (F.col("l1") < F.col("l2")) | (F.col("i1") < F.col("i2")) | (F.col("sx") < F.col("sy"))
+    both = side("x", above, "1", "2").join(side("y", below, "2", "1"), ["g", "l1", "i1", "l2", "i2"])
+    both = both.where(once & F.expr(f"cx <> cy AND {DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny) AND {NUM + DEN} * least(nx - px, ny - py) >= {NUM} * (nx + ny)"))
     return both.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct()
 
 
@@ -241,8 +248,7 @@ class Join:
         else:
             roots = components(edges)
         rows = found.where("kind = 1").select("g", F.col("b").alias("s"), "n", "p").join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
-        mixed = rows.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-        rows = written(rows.join(mixed, "g", "left_semi"), "jaccard-open")
+        rows = written(rows, "jaccard-open")
         more = written(_across(rows).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
         return edges if more.isEmpty() else edges.union(written(self.verified(more), "jaccard-links"))
 

@@ -410,8 +410,10 @@ def test_suffix_order():
     assert [texts[i] for i in order] == sorted(texts)
 
 
-def test_pairs_across_components(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP", 3)
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_pairs_across_components(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "SENT", sent)
     random.seed(15)
     rows = [(g, g * 1000 + i, random.choice([4, 5, 6, 7, 8, 10, 12, 60, 64, 75, 80]), random.randrange(3), random.randrange(6)) for g in range(3) for i in range(60)]
     want = set()
