@@ -8,42 +8,70 @@ from pyspark.sql import functions as F
 #: Words that don't identify, and words of relation before a name.
 STOP = ("بن", "ابن", "بنت", "ويقال", "يقال", "وهو", "مولي", "مولاهم", "نزيل", "صاحب", "والد", "اخو", "ام", "ثم")
 LEADING = ("عن", "عمه", "جده", "اخيه", "خاله", "مولاه", "مولاته", "امه", "جدته", "عمته", "خالته", "ابنه", "زوجه")
-#: Rewriting steps of a name, in order (Unicode word boundaries).
-STEPS = (
-    (r"[ً-ْٰـ]", ""),
-    (r"[أإآ]", "ا"),
-    (r"ى", "ي"),
-    (r"ة", "ه"),
-    (r"\bابو(?!(?:ه|ها|هم|هما|اب|ا|اه|ين|ي)\b)(?=\S)", "ابو "),
-    (r"\bابي\b(?!\s+بن\b)", "ابو"),
-    (r"\bزكرياء\b", "زكريا"),
-    (r"\bابيه\b", ""),
-    (r"\bعبيد\s+الله\b", "عبيد_الله"),
-    (r"\bال(?=\S)", ""),
-    (r"\bعبد\s+(\S+)", "عبد_$1"),
-    (r"[^ء-ي_ ]", " "),
-)
-
-
-def matching_form(c: Column) -> Column:
-    """A name without marks and article, kunyas in one case, compound names joined."""
-    for pattern, new in STEPS:
-        c = F.regexp_replace(c, "(?U)" + pattern, new)
-    return c
+#: The words of filiation, the father's by-name in its cases, and what may follow it as a pronoun.
+LINKS = ("بن", "ابن")
+PRONOUNS = ("ه", "ها", "هم", "هما", "اب", "ا", "اه", "ين", "ي")
+_MARKS = "ًٌٍَُِّْٰـ"
 
 
-def name_words(c: Column) -> Column:
-    """Words of a name that identify, words of relation at its head left out."""
-    w = F.filter(F.split(matching_form(c), r"\s+"), lambda x: (F.length(x) > 1) & ~x.isin(*STOP))
+def _bare(w: Column) -> Column:
+    """A word without its article."""
+    return F.when(F.startswith(w, F.lit("ال")) & (F.length(w) > 2), w.substr(F.lit(3), F.length(w))).otherwise(w)
+
+
+def units(c: Column) -> Column:
+    """Words of a name in the form in which names are matched: no marks, letters folded, no article; by-names
+    in one case and apart from what follows; a servant's name of two words is one unit."""
+    plain = F.translate(F.coalesce(c, F.lit("")), "أإآىة" + _MARKS, "اااي" + "ه")
+    w = F.filter(F.split(plain, "[^ء-ي]+"), lambda x: x != "")
+    seen = F.transform(w, lambda x, i: F.struct(x.alias("w"), F.get(w, i - 1).alias("left"), F.get(w, i + 1).alias("right")))
+
+    def unit(x: Column) -> Column:
+        word, left, right = x["w"], F.coalesce(x["left"], F.lit("")), F.coalesce(x["right"], F.lit(""))
+        tail = word.substr(F.lit(4), F.length(word))
+        return (
+            F.when((word == "ابيه") | (left == "عبد") | ((left == "عبيد") & (word == "الله")), F.array().cast("array<string>"))
+            .when((word == "عبد") & (right != ""), F.array(F.concat(F.lit("عبد_"), _bare(right))))
+            .when((word == "عبيد") & (right == "الله"), F.array(F.lit("عبيد_الله")))
+            .when((word == "ابي") & (right != "بن"), F.array(F.lit("ابو")))
+            .when(word == "زكرياء", F.array(F.lit("زكريا")))
+            .when(F.startswith(word, F.lit("ابو")) & (tail != "") & ~tail.isin(*PRONOUNS), F.array(F.lit("ابو"), _bare(tail)))
+            .otherwise(F.array(_bare(word)))
+        )
+
+    return F.flatten(F.transform(seen, unit))
+
+
+def _identifying(w: Column) -> Column:
+    """Words that identify, words of relation at the head left out."""
+    w = F.filter(w, lambda x: (F.length(x) > 1) & ~x.isin(*STOP))
     first = F.array_position(F.transform(w, lambda x: ~x.isin(*LEADING)), True)
     return F.when(first > 0, F.slice(w, first.cast("int"), F.greatest(F.size(w), F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
 
+def name_words(c: Column) -> Column:
+    """Words of a name that identify, words of relation at its head left out."""
+    return _identifying(units(c))
+
+
 def fathers(c: Column) -> Column:
-    """Words of the name linked by "son of" at its head: name, father, grandfather."""
-    one = r"(?:عبد\s+[^\s،.]+|عبيد\s+الله(?![^\s،.])|[^\s،.]+)"
-    head = F.regexp_extract(F.regexp_replace(c, r"(?<!\S)بن\s+بن(?!\S)", "بن"), rf"^\s*({one}(?:\s+(?:بن|ابن)\s+(?:أبي\s+)?{one})*)", 1)
-    return name_words(head)
+    """Words of the name linked by "son of" at its head: name, father, grandfather. The head ends at a comma,
+    a full stop or the first name that no link follows; a link may be doubled, a by-name's "father of" may
+    stand before a father's name."""
+    kind = "struct<out:array<string>,wants:boolean,over:boolean>"
+    state = lambda out, wants, over: F.struct(out.alias("out"), wants.alias("wants"), over.alias("over")).cast(kind)
+    yes, no = F.lit(True), F.lit(False)
+
+    def step(acc, x):
+        link = x.isin(*LINKS)
+        grown = F.concat(acc["out"], F.array(x))
+        return (
+            F.when(acc["over"] | (acc["wants"] & link & (F.size(acc["out"]) > 0)), acc)
+            .when(acc["wants"], state(grown, (x == "ابو") & (F.size(acc["out"]) > 0), no))
+            .otherwise(state(acc["out"], link, ~link))
+        )
+
+    return _identifying(F.aggregate(units(F.regexp_extract(F.coalesce(c, F.lit("")), "^[^،.]*", 0)), state(F.array().cast("array<string>"), yes, no), step, lambda acc: acc["out"]))
 
 
 def short_name(c: Column, parts: int = 2) -> Column:
