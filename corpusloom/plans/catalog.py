@@ -97,13 +97,13 @@ def _relations(spark, sf):
 
 
 def _strict(spark, sf):
-    c = td.chains(spark, sf).select(F.col("student").alias("owner"), (F.col("text_id") % 7).alias("item"), F.col("sheikh").alias("id"))
+    c = td.chains(spark, sf).select(F.col("student").alias("owner"), (F.col("text_id") % 1000).alias("item"), F.col("sheikh").alias("id"))
     back = td.relations(spark, sf).select(F.col("teacher").alias("id"), F.col("student").alias("owner"))
     return resolve.strict(c, back)
 
 
 def _fame(spark, sf):
-    p = td.table(spark, sf, "part").select(F.col("p_type").alias("key"), F.col("p_partkey").alias("id"), F.col("p_size").alias("fame"))
+    p = td.table(spark, sf, "part").select(F.col("p_type").alias("key"), F.col("p_partkey").alias("id"), (F.col("p_size") * F.col("p_size")).alias("fame"))
     return resolve.clearly_first(p, ["key"])
 
 

@@ -64,13 +64,17 @@ SELECT gid, 'masking' AS type, (CASE WHEN heard THEN 0 WHEN safe THEN 1 ELSE 2 E
   (CASE WHEN heard THEN 0.3 WHEN safe THEN 0.4 WHEN t >= 4 THEN 0.75 ELSE 0.6 END)::DOUBLE AS confidence, student || ',' || sheikh AS people, n AS n_texts FROM m WHERE vague"""
 
 def _containment() -> str:
-    part = lambda name, src: f"""{name}w AS (SELECT k, list_filter(regexp_split_to_array(translate(regexp_replace(translate(lower(coalesce(x, '')), 'éèêàâçôûüäößñóíáú''', 'eeeaacouuaosnoiau'), '[^a-z\\s]', ' ', 'g'), 'y', 'i'), '\\s+'), lambda w: w <> '') AS w FROM ({src})),
+    part = lambda name, src: f"""{name}w AS (SELECT k, list_transform(list_filter(regexp_split_to_array(translate(regexp_replace(translate(lower(coalesce(x, '')), 'éèêàâçôûüäößñóíáú''', 'eeeaacouuaosnoiau'), '[^a-z\\s]', ' ', 'g'), 'y', 'i'), '\\s+'), lambda w: w NOT IN ('', 'of', 'to', 'in', 'on', 'at')), lambda w: CASE WHEN length(w) >= 4 AND w[1] IN ('d', 'l', 'n', 's', 'q') THEN w[2:] ELSE w END) AS w FROM ({src})),
 {name} AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] AS b FROM (SELECT k, w, unnest(range(1, len(w))) AS i FROM {name}w))"""
     return f"""{part("a", "SELECT item_id AS k, text AS x FROM benchmark")}, {part("b", "SELECT doc_id AS k, text AS x FROM documents")},
 n AS (SELECT k, count(*) AS n FROM a GROUP BY k),
 m AS (SELECT a.k AS input_id, b.k AS id, count(*) / any_value(n.n) AS s FROM a JOIN b USING (b) JOIN n ON n.k = a.k GROUP BY a.k, b.k)"""
 
 
+#: The negators in a text, also behind one joined letter.
+_NEGATORS = r"""list_transform(list_filter(regexp_split_to_array(regexp_replace(translate(lower({0}), 'éèêàâçôûüäößñóíáú''', 'eeeaacouuaosnoiau'), '[^a-z\s]', ' ', 'g'), '\s+'),
+  lambda w: regexp_full_match(w, '[dl]?(not|no|nor|never|nicht|kein|pas|non)')), lambda w: regexp_replace(w, '^[dl]', ''))"""
+
 SHIFTED = """
 a AS (SELECT l_orderkey AS text_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) - 1 AS pos, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END AS id FROM lineitem),
 b AS (SELECT text_id, pos + (text_id % 11 = 0)::INT AS pos, CASE WHEN id % 5 <> 0 THEN id END AS id FROM a)"""
@@ -159,11 +163,12 @@ ORACLES: dict[str, str] = {
   SELECT gid, CASE WHEN routes = 0 AND opens > 0 THEN 'غير محرر' WHEN routes = 0 THEN 'مجهول' WHEN best <= 3 THEN 'صحيح' WHEN best <= 5 THEN 'حسن' WHEN best <= 8 THEN CASE WHEN opens > 0 THEN 'غير محرر' WHEN weak >= 2 THEN 'حسن لغيره' ELSE 'ضعيف' END ELSE 'موضوع / متروك' END AS grade, best, routes FROM a""",
     "finding_counts": f"""WITH f AS ({MASKING}) SELECT gid, count(*) FILTER (severity = 2) AS harmful, count(*) FILTER (severity = 1) AS harmless, count(*) FILTER (severity = 0) AS notes, bool_or(severity = 2) AS has_harmful, count(*) FILTER (severity = 0 AND confidence < 0.3) AS low_confidence FROM f GROUP BY gid""",
     "verify_containment": f"WITH {_containment()} SELECT input_id, id, round_even(s, 3) AS similarity FROM m WHERE s >= 0.3",
-    "verify_status": f"""WITH {_containment()}, z AS (SELECT input_id, id, round_even(s, 3) AS similarity FROM m WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY round_even(s, 3) DESC, id) = 1)
-  SELECT item_id AS input_id, coalesce(similarity, 0) AS similarity, id AS best, CASE WHEN similarity >= 0.95 THEN 'exact' WHEN similarity >= 0.6 THEN 'variant' ELSE 'not-found' END AS status FROM benchmark LEFT JOIN z ON input_id = item_id""",
-    "fame_pick": """WITH k AS (SELECT p_type AS key, p_partkey AS id, p_size AS fame FROM part), r AS (SELECT *, row_number() OVER w AS n, lead(fame) OVER w AS nxt FROM k WINDOW w AS (PARTITION BY key ORDER BY fame DESC, id))
+    "verify_status": f"""WITH {_containment()}, z AS (SELECT input_id, id, round_even(s, 3) AS similarity, text AS matn FROM m JOIN documents ON doc_id = id WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY round_even(s, 3) DESC, length(text), id) = 1),
+  x AS (SELECT item_id, text, coalesce(similarity, 0) AS similarity, id, {_NEGATORS.format("text")} AS given, {_NEGATORS.format("coalesce(matn, '')")} AS held FROM benchmark LEFT JOIN z ON input_id = item_id)
+  SELECT item_id AS input_id, similarity, id AS best, CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 3 OR length(text) > 600 THEN 'invalid' WHEN id IS NOT NULL AND len(list_filter(given, lambda w: NOT list_contains(held, w))) > 0 THEN 'not-found' WHEN similarity >= 0.95 THEN 'exact' WHEN similarity >= 0.6 THEN 'variant' ELSE 'not-found' END AS status FROM x""",
+    "fame_pick": """WITH k AS (SELECT p_type AS key, p_partkey AS id, p_size * p_size AS fame FROM part), r AS (SELECT *, row_number() OVER w AS n, lead(fame) OVER w AS nxt FROM k WINDOW w AS (PARTITION BY key ORDER BY fame DESC, id))
   SELECT key, id FROM r WHERE n = 1 AND (nxt IS NULL OR fame >= 3 * greatest(1, nxt))""",
-    "strict_relations": f"""WITH {CHAINS}, {RELATIONS}, k AS (SELECT student AS owner, text_id % 7 AS item, sheikh AS id FROM c WHERE sheikh <> student),
+    "strict_relations": f"""WITH {CHAINS}, {RELATIONS}, k AS (SELECT student AS owner, text_id % 1000 AS item, sheikh AS id FROM c WHERE sheikh <> student),
   a AS (SELECT owner, item, count(DISTINCT k.id) AS n, min(k.id) AS one, count(DISTINCT rel.teacher) AS nb, min(rel.teacher) AS oneb FROM k LEFT JOIN rel ON rel.teacher = k.id AND rel.student = k.owner GROUP BY owner, item)
   SELECT owner, item, CASE WHEN n = 1 THEN one ELSE oneb END AS id FROM a WHERE n = 1 OR nb = 1""",
     "trigram_match": """WITH a AS (SELECT item_id AS k, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:70] AS w FROM benchmark), b AS (SELECT doc_id AS k, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:80] AS w FROM documents),

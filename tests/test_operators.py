@@ -111,3 +111,18 @@ def test_limits(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("lim").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert [(r.requests, r.allowed, r.refused) for r in spark.table("lim").collect()][-1] == (25, 10, 15)
+
+
+def test_verdicts_as_cases(spark):
+    """Stems, denial, ties by length, and inputs that aren't looked up."""
+    from corpusloom.functions.text import ARABIC
+    from corpusloom.operators import verify
+
+    texts = spark.createDataFrame([(1, "انما الاعمال بالنيات وانما لكل امرئ ما نوى"), (2, "انما الاعمال بالنيات وانما لكل امرئ ما نوى فمن كانت هجرته"), (3, "لا يؤمن احدكم حتى يحب لاخيه ما يحب لنفسه"), (4, "من غشنا فليس منا")], "id long, matn string")
+    given = [(1, "إنما الأعمال بالنيات وإنما لكل امرئ ما نوى"), (2, "يؤمن أحدكم حتى يحب لأخيه ما يحب لنفسه"), (3, "لا انما الاعمال بالنيات وانما لكل امرئ ما نوى"), (4, "كلمتان فقط"), (5, "شيء اخر ليس في المتون كلها"), (6, "س " * 400), (7, "احدكم حتى يحب اخيه ما يحب نفسه"), (8, None)]
+    got = {r.input_id: r for r in verify.verdicts(spark.createDataFrame(given, "input_id long, text string"), texts, ARABIC).collect()}
+    assert got[1].status == "exact" and got[1].best == 1 and not got[1].negated
+    assert got[2].status == "exact" and got[2].best == 3
+    assert got[3].negated and got[3].status == "not-found" and got[3].best == 1
+    assert [got[k].status for k in (4, 5, 6, 8)] == ["invalid", "not-found", "invalid", "invalid"]
+    assert got[7].status == "exact"  # joined letters don't count
