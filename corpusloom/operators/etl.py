@@ -120,3 +120,46 @@ def same_person(mine: DataFrame, theirs: DataFrame, years: int = 5) -> DataFrame
     a, b = mine.select("id", key(F.col("name")).alias("k"), F.col("death").alias("d1")), theirs.select("other", key(F.col("name")).alias("k"), F.col("death").alias("d2"))
     near = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= years, F.lit(True))
     return b.join(a, "k").groupBy("other").agg(F.min_by("id", F.struct((~near).alias("far"), "id")).alias("id"))
+
+
+def book_names(books: DataFrame, names: DataFrame) -> DataFrame:
+    """books (slug, title, ...) with book: the name given for the slug in names (slug, name), else the title."""
+    return books.join(names.select("slug", "name"), "slug", "left").withColumn("book", F.coalesce("name", "title")).drop("name")
+
+
+def with_chapters(records: DataFrame, index: DataFrame) -> DataFrame:
+    """records (file, chapter, ...) with the chapter that index (file, title) gives for their file's name;
+    blank titles give none, a record's own chapter counts first."""
+    name = F.substring_index("file", "/", -1)
+    titles = index.where(blank_to_null(F.col("title")).isNotNull()).groupBy(F.substring_index("file", "/", -1).alias("_f")).agg(F.min(F.trim("title")).alias("_t"))
+    return records.withColumn("_f", name).join(titles, "_f", "left").withColumn("chapter", F.coalesce(blank_to_null(F.col("chapter")), "_t")).drop("_f", "_t")
+
+
+def exact_side_entries(side: DataFrame, id_map: DataFrame) -> DataFrame:
+    """The entry of side (side_id, ...) of each person of id_map (id, side_id, confidence) that is mapped
+    exactly; of several the one of the least number."""
+    sure = id_map.where("confidence = 'exact'").groupBy("id").agg(F.min(F.expr("try_cast(side_id AS bigint)")).alias("side_id"))
+    return sure.join(side.withColumn("side_id", F.expr("try_cast(side_id AS bigint)")), "side_id")
+
+
+def side_evaluations(entries: DataFrame, source: str, covered: str) -> DataFrame:
+    """Quotes (critic, via, text, book) of side entries as evaluations, those from the covered book left out."""
+    kept = entries.withColumn("quotes", F.filter("quotes", lambda q: ~F.coalesce(q["book"] == covered, F.lit(False))))
+    return evaluations(kept, source)
+
+
+def mixed_up_claims(people: DataFrame, claims: DataFrame, default: int = 2) -> DataFrame:
+    """people with mixed_up, severity (the worst claimed, else the default), none_after (any) and note (the
+    distinct texts) of claims (id, severity, none_after, text, pos); applied anew each time, so that what an
+    earlier run left is gone."""
+    said = claims.groupBy("id").agg(
+        F.coalesce(F.max("severity"), F.lit(default)).alias("severity"), F.coalesce(F.bool_or("none_after"), F.lit(False)).alias("none_after"),
+        F.left(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(blank_to_null(F.col("text")).isNotNull(), F.struct("pos", F.trim("text").alias("t"))))), lambda x: x["t"])), " — "), F.lit(1000)).alias("note"),
+    )
+    return people.drop("mixed_up", "severity", "none_after", "note").join(said.withColumn("mixed_up", F.lit(True)), "id", "left").withColumn("mixed_up", F.coalesce("mixed_up", F.lit(False)))
+
+
+def unique_ids(entries: DataFrame, order: list[str]) -> DataFrame:
+    """entries with id made unique: the second and later of an id get -2, -3, ... in the given order."""
+    n = F.row_number().over(Window.partitionBy("id").orderBy(*order))
+    return entries.withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col("id")).otherwise(F.concat_ws("-", "id", "_n"))).drop("_n")

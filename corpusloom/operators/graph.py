@@ -166,3 +166,29 @@ def weakest(links: DataFrame, people: DataFrame) -> DataFrame:
 def edge_flags(edges: DataFrame) -> DataFrame:
     """One row a (sheikh, student): any flag of its rows, all their books."""
     return edges.groupBy("sheikh", "student").agg(F.bool_or("flag").alias("flag"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("books")))), ",").alias("books"))
+
+
+def by_companion(nodes: DataFrame) -> DataFrame:
+    """gid, text_id, companion, is_witness from merged nodes (gid, person, step, texts array): each text's
+    companion is who stands at its highest step (the one of most such nodes, then the least); those of another
+    companion than most texts of the group have are witnesses, on a tie the first text's counts."""
+    own = nodes.select("gid", "person", "step", F.explode("texts").alias("text_id"))
+    tips = own.withColumn("_top", F.max("step").over(Window.partitionBy("gid", "text_id"))).where("step = _top")
+    per = tips.groupBy("gid", "text_id", "person").agg(F.count("*").alias("n")).groupBy("gid", "text_id").agg(F.max_by("person", F.struct(F.col("n"), -F.col("person"))).alias("companion"))
+    votes = per.groupBy("gid", "companion").agg(F.count("*").alias("n"), F.min("text_id").alias("first"))
+    main = votes.groupBy("gid").agg(F.max_by("companion", F.struct(F.col("n"), -F.col("first"))).alias("main"))
+    return per.join(main, "gid").select("gid", "text_id", "companion", (F.col("companion") != F.col("main")).alias("is_witness"))
+
+
+def mark_variants(edges: DataFrame, variants: DataFrame) -> DataFrame:
+    """edges (gid, step, texts array, ...) with varies: whether an edge of step 1 belongs to a text among
+    variants (gid, text_id)."""
+    odd = variants.groupBy("gid").agg(F.collect_set("text_id").alias("_odd"))
+    return edges.join(odd, "gid", "left").withColumn("varies", F.coalesce((F.col("step") == 1) & F.arrays_overlap("texts", "_odd"), F.lit(False))).drop("_odd")
+
+
+def gathered(given: DataFrame, related: DataFrame, most: int = 30) -> DataFrame:
+    """(gid, text_id): each given text (id) and those related to it (of, id), distinct, at most so many."""
+    both = given.select(F.col("id").alias("gid"), F.col("id").alias("text_id"), F.lit(0).alias("o")).union(related.select("of", "id", F.lit(1)))
+    first = both.groupBy("gid", "text_id").agg(F.min("o").alias("o"))
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy("gid").orderBy("o", "text_id"))).where(F.col("_n") <= most).select("gid", "text_id")

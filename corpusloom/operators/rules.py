@@ -164,3 +164,15 @@ def with_defects(grades: DataFrame, sources: DataFrame) -> DataFrame:
     out = grades.join(s, "gid", "left")
     new = F.when(F.col("every") & (F.col("grade") != FORGED), WEAK_BY_DEFECT).otherwise(F.col("grade"))
     return out.select("gid", new.alias("grade"), F.coalesce(F.col("some") & ~F.col("every"), F.lit(False)).alias("warned"))
+
+
+def on_routes(chains: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """The chains that rules run on: those of witnesses (gid, text_id, is_witness) are other reports."""
+    return chains.join(witnesses.where("is_witness").select("gid", "text_id"), ["gid", "text_id"], "left_anti")
+
+
+def report(chains: DataFrame, people: DataFrame, relations: DataFrame, hearings: DataFrame, witnesses: DataFrame, trusted: tuple[str, ...], lex: Lexicon, *more: DataFrame) -> DataFrame:
+    """Findings of all rules over the routes of every group, in their order; more: findings of rules that
+    need the texts themselves, such as variation.text_at_split."""
+    own = on_routes(chains, witnesses)
+    return analyse(masking(own, people, trusted, lex), mixing_up(own, people, hearings, trusted), hidden_break(own, people, relations, lex), *more, raised_stopped(own, people), joined_cut(own, people))

@@ -166,7 +166,7 @@ ORACLES: dict[str, str] = {
     "verify_status": f"""WITH {_containment()}, z AS (SELECT input_id, id, round_even(s, 3) AS similarity, text AS matn FROM m JOIN documents ON doc_id = id WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY round_even(s, 3) DESC, length(text), id) = 1),
   x AS (SELECT item_id, text, coalesce(similarity, 0) AS similarity, id, {_NEGATORS.format("text")} AS given, {_NEGATORS.format("coalesce(matn, '')")} AS held FROM benchmark LEFT JOIN z ON input_id = item_id)
   SELECT item_id AS input_id, similarity, id AS best, CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 3 OR length(text) > 600 THEN 'invalid' WHEN id IS NOT NULL AND len(list_filter(given, lambda w: NOT list_contains(held, w))) > 0 THEN 'not-found' WHEN similarity >= 0.95 THEN 'exact' WHEN similarity >= 0.6 THEN 'variant' ELSE 'not-found' END AS status FROM x""",
-    "fame_pick": """WITH k AS (SELECT p_type AS key, p_partkey AS id, p_size * p_size AS fame FROM part), r AS (SELECT *, row_number() OVER w AS n, lead(fame) OVER w AS nxt FROM k WINDOW w AS (PARTITION BY key ORDER BY fame DESC, id))
+    "fame_pick": """WITH k AS (SELECT p_partkey // 3 AS key, p_partkey AS id, p_size AS fame FROM part), r AS (SELECT *, row_number() OVER w AS n, lead(fame) OVER w AS nxt FROM k WINDOW w AS (PARTITION BY key ORDER BY fame DESC, id))
   SELECT key, id FROM r WHERE n = 1 AND (nxt IS NULL OR fame >= 3 * greatest(1, nxt))""",
     "strict_relations": f"""WITH {CHAINS}, {RELATIONS}, k AS (SELECT student AS owner, text_id % 1000 AS item, sheikh AS id FROM c WHERE sheikh <> student),
   a AS (SELECT owner, item, count(DISTINCT k.id) AS n, min(k.id) AS one, count(DISTINCT rel.teacher) AS nb, min(rel.teacher) AS oneb FROM k LEFT JOIN rel ON rel.teacher = k.id AND rel.student = k.owner GROUP BY owner, item)
