@@ -34,7 +34,7 @@ rel AS (SELECT DISTINCT sheikh AS teacher, student FROM c WHERE term = 'heard')"
 RULES = f"{PEOPLE}, {CHAINS}, {GROUPS}, {RELATIONS}, ch AS (SELECT c.*, g.gid, g.book, c.text_id % 3 = 0 AS raised FROM c JOIN g USING (text_id)), tp AS (SELECT *, coalesce(rank, 7) AS t, rank IS NOT NULL AS ranked FROM p)"
 
 SEARCH = "id, book, number, length(norm)::INT AS n FROM t WHERE "
-TOP = " ORDER BY length(norm), id LIMIT 150"
+TOP = ""  # these queries give every match
 
 
 def _any(words: list[str]) -> str:
@@ -98,8 +98,8 @@ ORACLES: dict[str, str] = {
     "search_not": f"WITH {TEXTS} SELECT {SEARCH} contains(norm, 'the ') AND NOT contains(norm, 'anti') {TOP}",
     "search_and_or": f"WITH {TEXTS} SELECT {SEARCH} contains(norm, 'en') AND (contains(norm, 'ereau') OR contains(norm, 'thhe')) {TOP}",
     "search_scope_all": f"WITH {TEXTS} SELECT {SEARCH} {_any(['src1'])} {TOP}",
-    "search_ordered": f"""WITH {TEXTS}, h AS (SELECT * FROM t WHERE contains(norm, 'the ') AND contains(norm, 'ing') ORDER BY length(norm), id LIMIT 100),
-  q AS (SELECT *, instr(norm, 'the ') + length('ing') AS a FROM h) SELECT id, book, number, length(norm)::INT AS n FROM q WHERE contains(substr(norm, a), 'ing')""",
+    "search_ordered": f"""WITH {TEXTS} SELECT id, book, number, length(norm)::INT AS n FROM t WHERE norm LIKE '%the %ing%' AND contains(substr(norm, instr(norm, 'the ') + length('ing')), 'ing')
+  ORDER BY length(norm), id LIMIT 100""",
     "search_proximity": f"""WITH {TEXTS}, h AS (SELECT * FROM t WHERE contains(norm, 'the ') AND contains(norm, 'ing') ORDER BY length(norm), id LIMIT 100),
   q AS (SELECT *, list_filter(string_split(norm, ' '), lambda w: w <> '') AS ws FROM h), z AS (SELECT *, list_position(list_transform(ws, lambda w: contains(w, 'the')), true) AS x, list_position(list_transform(ws, lambda w: contains(w, 'ing')), true) AS y FROM q)
   SELECT id, book, number, length(norm)::INT AS n FROM z WHERE x > 0 AND y > 0 AND abs(x - y) <= 5""",
