@@ -87,3 +87,35 @@ def distinct_short_names(df, name: str = "name", group: tuple[str, ...] = ()):
     two = short_name(F.col(name), 2)
     n = F.count("*").over(Window.partitionBy(*group, "_two"))
     return df.withColumn("_two", two).withColumn("_n", n).withColumn("short", F.when(F.col("_n") > 1, short_name(F.col(name), 3)).otherwise(F.col("_two"))).drop("_two", "_n")
+
+
+#: People known by one name, by what their full name begins with; titles that name nobody.
+FAMOUS = {
+    "محمد بن إسماعيل بن إبراهيم بن المغيرة": "البخاري", "مسلم بن الحجاج": "مسلم", "سليمان بن الأشعث": "أبو داود", "محمد بن عيسى بن سورة": "الترمذي",
+    "أحمد بن شعيب بن علي": "النسائي", "محمد بن ماجه": "ابن ماجه", "محمد بن يزيد بن ماجه": "ابن ماجه", "أحمد بن محمد بن حنبل": "أحمد بن حنبل",
+    "عبد الله بن أحمد بن محمد بن حنبل": "عبد الله بن أحمد بن حنبل", "سليمان بن أحمد بن أيوب": "الطبراني", "أحمد بن الحسين بن علي بن موسى": "البيهقي",
+    "محمد بن عبد الله بن محمد بن حمدويه": "الحاكم النيسابوري", "محمد بن إسحاق بن خزيمة": "ابن خزيمة", "إسماعيل بن إبراهيم بن مقسم": "إسماعيل بن علية",
+    "عبد الله بن محمد بن أبي شيبة": "أبو بكر بن أبي شيبة", "محمد بن يعقوب بن يوسف بن معقل": "أبو العباس الأصم",
+}
+TITLES = (
+    "الحافظ", "شيخ الإسلام", "الإمام", "الفقيه", "القاضي", "الوراق", "المقرئ", "الزاهد", "العابد", "الحجة", "الأمين",
+    "الشهيد", "الأمير", "الصغير", "الكبير", "الفراء", "النحاس", "الصرام", "الجرب", "مسلم",
+)
+NAMELESS = "راوٍ غير مسمى"
+#: Where a name ends and a remark on its bearer begins.
+REMARK = r"(?s)\s*(?:،\s*(?:ويقال|قيل|وقيل|وهو|قال)|\s(?:قال\s+بن|من\s+السابقين)|:).*$"
+
+
+def display_name(name: Column, known_as: Column, famous: dict[str, str] = FAMOUS, titles: tuple[str, ...] = TITLES, nameless: str = NAMELESS) -> Column:
+    """The name to show: that of a famous person; else the name up to its third link, with the by-name in
+    brackets where it is neither a mere title nor part of it; else the by-name. Null and blank names count as none."""
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\-.،:]+|[\s\-.،:]+$", "")
+    full, by = F.trim(F.coalesce(name, F.lit(""))), strip(known_as)
+    plain = F.regexp_replace(strip(F.regexp_replace(full, REMARK, "")), r"\s+", " ")
+    rest = r"(?:(?!\s(?:بن|ابن)\s).)*"
+    short = F.when(F.size(F.split(plain, " ")) <= 4, plain).otherwise(F.regexp_extract(plain, rf"^({rest}(?:\s(?:بن|ابن)\s{rest}){{0,2}})", 1))
+    tells = (by != "") & ~F.forall(F.split(by, r"\s*[،,]\s*"), lambda t: t.isin(*titles, ""))
+    own = F.when(short == "", F.when(by != "", by).otherwise(nameless)).when(tells & ~short.contains(by), F.concat(short, F.lit(" ("), by, F.lit(")"))).otherwise(short)
+    heads = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in famous.items()])
+    hit = F.get(F.filter(heads, lambda h: F.startswith(full, h["k"])), F.lit(0))
+    return F.coalesce(hit["v"], own)

@@ -163,3 +163,22 @@ def unique_ids(entries: DataFrame, order: list[str]) -> DataFrame:
     """entries with id made unique: the second and later of an id get -2, -3, ... in the given order."""
     n = F.row_number().over(Window.partitionBy("id").orderBy(*order))
     return entries.withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col("id")).otherwise(F.concat_ws("-", "id", "_n"))).drop("_n")
+
+
+def scholar_evaluations(quotes: DataFrame, scholars: DataFrame, known: DataFrame) -> DataFrame:
+    """person, scholar, text of quotes (narrator, scholar_id, text) about known people (id); scholars (id, name)
+    without a name are called by their number."""
+    s = scholars.select(F.col("id").alias("scholar_id"), F.trim("name").alias("_n"))
+    q = quotes.where(blank_to_null(F.col("text")).isNotNull()).join(known.select(F.col("id").alias("narrator")), "narrator", "left_semi").join(s, "scholar_id", "left")
+    return q.select(F.col("narrator").alias("person"), F.coalesce(blank_to_null(F.col("_n")), F.concat(F.lit("Alem "), F.col("scholar_id").cast("string"))).alias("scholar"), F.trim("text").alias("text"))
+
+
+def chain_export(texts: DataFrame, links: DataFrame, people: DataFrame, books: tuple[str, ...], head: int = 400) -> DataFrame:
+    """id, book, number, head, links (step, term, student, sheikh, by step) of the texts whose book's name holds any
+    of books; links to people (id, name) that aren't known are left out."""
+    wanted = F.exists(F.array(*map(F.lit, books)), lambda b: F.col("book").contains(b))
+    t = texts.where(wanted).select("id", "book", "number", F.left("matn", F.lit(head)).alias("head"))
+    name = lambda k: people.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"))
+    named = links.join(t.select(F.col("id").alias("text_id")), "text_id", "left_semi").join(name("student"), "student").join(name("sheikh"), "sheikh")
+    per = named.groupBy(F.col("text_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("step", "term", F.col("student_name").alias("student"), F.col("sheikh_name").alias("sheikh")))).alias("links"))
+    return t.join(per, "id", "left").withColumn("links", F.coalesce("links", F.array().cast(per.schema["links"].dataType)))

@@ -192,3 +192,9 @@ def gathered(given: DataFrame, related: DataFrame, most: int = 30) -> DataFrame:
     both = given.select(F.col("id").alias("gid"), F.col("id").alias("text_id"), F.lit(0).alias("o")).union(related.select("of", "id", F.lit(1)))
     first = both.groupBy("gid", "text_id").agg(F.min("o").alias("o"))
     return first.withColumn("_n", F.row_number().over(Window.partitionBy("gid").orderBy("o", "text_id"))).where(F.col("_n") <= most).select("gid", "text_id")
+
+
+def reference_cards(sources: DataFrame) -> DataFrame:
+    """gid, book, numbers (sorted, distinct), texts: one card a book of a group's sources (gid, text_id, book,
+    number)."""
+    return sources.groupBy("gid", "book").agg(F.sort_array(F.collect_set("number")).alias("numbers"), F.countDistinct("text_id").alias("texts"))

@@ -184,8 +184,10 @@ def _symbols(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import more
+
     t, p, e, c, g = td.texts, td.people, td.links, td.chains, _groups
-    return {
+    return more.queries() | {
         "normalize_text": lambda s, d: t(s, d).select("id", "norm", F.size(query_terms(F.col("matn"), LATIN)).alias("n_terms")),
         "search_all_words": _found(["there anti"]),
         "search_any_word": _found(["thanedble eneau"], match="any"),
@@ -247,4 +249,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from . import more
+
+    return dict(ORACLES) | more.oracle_sql()

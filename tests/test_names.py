@@ -25,3 +25,16 @@ def test_segments(spark):
     text = "حَدَّثَنَا الإمام زيد بن عمر (١)، قال: حدثنا بكر رضي الله عنه، عن سعد، بن علي، عن رسول الله قال شيئا"
     got = spark.range(1).select(segments(F.lit(text)).alias("s"), segments(F.lit(None).cast("string")).alias("n")).first()
     assert [(x.name, x.verbs) for x in got.s] == [("زيد بن عمر", ["قال", "حدثنا"]), ("بكر", ["عن"]), ("سعد، بن علي", [])] and got.n == []
+
+
+def test_display_name(spark):
+    rows = [
+        ("محمد بن عيسى بن سورة الضرير", None, "الترمذي"),
+        ("زيد بن عمر بن سعد بن علي البصري", "الأعور", "زيد بن عمر بن سعد (الأعور)"),
+        ("زيد بن عمر بن سعد بن علي", "الحافظ ، الإمام", "زيد بن عمر بن سعد"),
+        ("زيد بن عمر، ويقال: ابن علي", "- .", "زيد بن عمر"),
+        ("زيد الأعور بن عمر بن سعد", "الأعور", "زيد الأعور بن عمر بن سعد"),
+        ("  ", "الأعمش", "الأعمش"), (None, None, names.NAMELESS),
+    ]
+    df = spark.createDataFrame(rows, "name string, by string, want string")
+    assert [(r.got, r.want) for r in df.select(names.display_name(F.col("name"), F.col("by")).alias("got"), "want").collect() if r.got != r.want] == []
