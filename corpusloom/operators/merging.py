@@ -39,8 +39,8 @@ def blocks(entries: DataFrame) -> DataFrame:
     """(block, id, first) of every block that may be one person: by the first three units, or by two units
     and a nisba; at least two members, of which no two share a source. Counting sources leaves such blocks
     with no more members than there are sources, whatever the size of the others."""
-    name = [F.col("units")[0].alias("u1"), F.col("units")[1].alias("u2")]
-    three = entries.where(F.size("units") >= 3).select(F.lit(3).alias("kind"), "fallback", *name, F.col("units")[2].alias("u3"), "id", "sources")
+    name = [F.get("units", F.lit(0)).alias("u1"), F.get("units", F.lit(1)).alias("u2")]
+    three = entries.where(F.size("units") >= 3).select(F.lit(3).alias("kind"), "fallback", *name, F.get("units", F.lit(2)).alias("u3"), "id", "sources")
     two = entries.where(F.size("units") == 2).select(F.lit(2).alias("kind"), "fallback", *name, F.explode("nisbas").alias("u3"), "id", "sources")
     members = three.union(two)
     per = members.select(*BLOCK, "id", F.explode("sources").alias("s")).groupBy(*BLOCK, "s").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -119,7 +119,7 @@ def _shorter(entries: DataFrame, gone: DataFrame, primary: str) -> DataFrame:
     """(id, root): an entry of two names and the only other one that begins with them, both outside the
     primary source and not yet gone, if nothing clashes, neither points elsewhere and their generations
     are the same words as far as both go."""
-    left = entries.where(~F.col("fallback") & (F.size("units") >= 2)).withColumn("u1", F.col("units")[0]).withColumn("u2", F.col("units")[1])
+    left = entries.where(~F.col("fallback") & (F.size("units") >= 2)).withColumn("u1", F.get("units", F.lit(0))).withColumn("u2", F.get("units", F.lit(1)))
     alone = left.groupBy("u1", "u2").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n = 2 AND lo < hi")
     facts = entries.where(~F.array_contains("sources", primary) & ~F.col("points")).join(gone, "id", "left_anti").select("id", F.struct(*_FACTS, "fathers").alias("e"))
     two = alone.join(facts.select(F.col("id").alias("lo"), F.col("e").alias("x")), "lo").join(facts.select(F.col("id").alias("hi"), F.col("e").alias("y")), "hi")

@@ -184,10 +184,10 @@ def _symbols(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import linked, more
+    from . import linked, more, people
 
     t, p, e, c, g = td.texts, td.people, td.links, td.chains, _groups
-    return more.queries() | linked.queries() | {
+    return more.queries() | linked.queries() | people.queries() | {
         "normalize_text": lambda s, d: t(s, d).select("id", "norm", F.size(query_terms(F.col("matn"), LATIN)).alias("n_terms")),
         "search_all_words": _found(["there anti"]),
         "search_any_word": _found(["thanedble eneau"], match="any"),
@@ -249,6 +249,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linked, more
+    from . import linked, more, people
 
-    return dict(ORACLES) | more.oracle_sql() | linked.oracle_sql()
+    return dict(ORACLES) | more.oracle_sql() | linked.oracle_sql() | people.oracle_sql()
