@@ -25,14 +25,27 @@ def words_in(quote: Column, text: Column, lex: Lexicon = ARABIC) -> Column:
     return (F.trim(q) != "") & folded_words(text, lex).contains(q)
 
 
+def answers(raw: Column) -> Column:
+    """array<map<string,string>> of a reply: a JSON array of objects, perhaps within other text; null where
+    there is none. Names keep their spelling: see field()."""
+    return F.from_json(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)(\[.*\])", 1), "array<map<string,string>>")
+
+
+def field(answer: Column, name: str) -> Column:
+    """The value of an answer's field, however the name is capitalised; of several the last."""
+    same = F.filter(F.map_entries(answer), lambda e: F.lower(e["key"]) == name)
+    return F.try_element_at(same, F.lit(-1))["value"]
+
+
 def judged(replies: DataFrame, rows: DataFrame, levels: tuple[str, ...] = LEVELS, lex: Lexicon = ARABIC) -> DataFrame:
     """request_id, place, id, level, quote, reason for every row (request_id, place from 1, id, matn) of the
     requests: what the reply (request_id, raw) says of it, null where it says nothing that can be trusted.
 
-    A reply is a JSON array of {index, level, quote, reason}, perhaps within other text; an index given twice,
-    an unknown level and a quote of fewer than three words or one that the text lacks are not trusted."""
-    kind = "array<struct<index:int,level:string,quote:string,reason:string>>"
-    said = replies.select("request_id", F.explode(F.from_json(F.regexp_extract(F.coalesce("raw", F.lit("")), r"(?s)(\[.*\])", 1), kind)).alias("x")).select("request_id", F.col("x.index").alias("place"), "x.level", "x.quote", "x.reason")
+    A reply is a JSON array of {index, level, quote, reason}, names in any case, perhaps within other text; an
+    index given twice, an unknown level and a quote of fewer than three words or one that the text lacks are
+    not trusted."""
+    said = replies.select("request_id", F.explode(answers(F.col("raw"))).alias("x"))
+    said = said.select("request_id", field(F.col("x"), "index").try_cast("int").alias("place"), *[field(F.col("x"), c).alias(c) for c in ("level", "quote", "reason")])
     once = said.withColumn("_n", F.count("*").over(Window.partitionBy("request_id", "place"))).where("_n = 1").drop("_n")
     level = F.lower(F.trim("level"))
     both = rows.join(once, ["request_id", "place"], "left")

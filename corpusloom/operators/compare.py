@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACES = 4
@@ -48,10 +48,20 @@ def by_type(findings: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return findings.withColumn("place", place)
 
 
-def edge_decorations(findings: DataFrame) -> DataFrame:
-    """The first finding (severity, confidence) on each edge of findings (gid, student, sheikh, type, ...)."""
+#: A finding of the least severity and less confidence is mostly a gap in the data.
+SURE = 0.3
+
+
+def low_confidence(severity: Column, confidence: Column) -> Column:
+    return (severity == 0) & (confidence < SURE)
+
+
+def edge_decorations(findings: DataFrame, all_of_them: bool = False) -> DataFrame:
+    """The first finding (severity, confidence) on each edge of findings (gid, student, sheikh, type, ...);
+    those of low confidence are left off unless all are asked for."""
+    shown = findings if all_of_them else findings.where(~low_confidence(F.col("severity"), F.col("confidence")))
     w = Window.partitionBy("gid", "student", "sheikh").orderBy(F.col("severity").desc(), F.col("confidence").desc(), "type")
-    return findings.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return shown.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def severity_pivot(findings: DataFrame) -> DataFrame:

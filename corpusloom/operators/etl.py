@@ -92,13 +92,27 @@ def lowest_tier(people: DataFrame, given: DataFrame) -> DataFrame:
     return people.join(new, "id", "left").withColumn("tadlis_tier", F.least("tadlis_tier", "_t")).drop("_t")
 
 
-def first_hearings(claims: DataFrame) -> DataFrame:
-    """One hearing a (sheikh, student), the first claimed; evidence from the first claim with its timing,
-    else the first of all. claims: sheikh, student, pos, timing, evidence."""
-    c = claims.where("sheikh <> student")
-    first = c.groupBy("sheikh", "student").agg(F.min_by("timing", "pos").alias("timing"), F.min_by("evidence", "pos").alias("_e"))
-    same = c.join(first.select("sheikh", "student", "timing"), ["sheikh", "student", "timing"]).groupBy("sheikh", "student").agg(F.min_by("evidence", "pos").alias("_s"))
-    return first.join(same, ["sheikh", "student"], "left").select("sheikh", "student", "timing", F.coalesce("_s", "_e").alias("evidence"))
+#: What the dataset calls the times of a hearing, in the order of their codes.
+TIMINGS = ("unknown", "before", "after", "both", "conflict")
+
+
+def timing_code(c: Column, timings: tuple[str, ...] = TIMINGS) -> Column:
+    """Code of a timing; unknown words and null count as the first."""
+    at = F.array_position(F.array(*map(F.lit, timings)), F.coalesce(c, F.lit("")))
+    return F.greatest(at - 1, F.lit(0)).cast("int")
+
+
+def first_hearings(hearings: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """One hearing for each (sheikh, student), the first by pos; hearings: sheikh, student, pos, timing, claims
+    as an array of (timing, quote, book). Evidence and book are those of the first claim that says the
+    hearing's own timing, else of the first one; books (book, name) gives the books' names."""
+    own = hearings.where("sheikh <> student").withColumn("_n", F.row_number().over(Window.partitionBy("sheikh", "student").orderBy("pos"))).where("_n = 1")
+    same = F.filter("claims", lambda c: c["timing"] == F.col("timing"))
+    claim = F.coalesce(F.get(same, F.lit(0)), F.get("claims", F.lit(0)))
+    out = own.select("sheikh", "student", "timing", claim["quote"].alias("evidence"), claim["book"].alias("book"))
+    if books is None:
+        return out
+    return out.join(books, "book", "left").withColumn("book", F.coalesce("name", "book")).drop("name")
 
 
 def generation_label(code: Column) -> Column:

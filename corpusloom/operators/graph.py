@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grades import grade
+from ..functions.places import nothing_in_common, places_of
+from ..functions.text import ARABIC, Lexicon
 
 PATHS = 16
 
@@ -30,13 +32,16 @@ def tree(links: DataFrame, people: DataFrame) -> DataFrame:
     return walk.join(p, "person", "left").select("text_id", "step", "person", "parent", "grade")
 
 
-def anomalies(links: DataFrame, people: DataFrame) -> DataFrame:
+def anomalies(links: DataFrame, people: DataFrame, regions: dict[str, str], cities: tuple[str, ...] = (), noise: tuple[str, ...] = (), lex: Lexicon = ARABIC) -> DataFrame:
     """Links above the compiler's own (step 1): whether the student was born after the sheikh died, and
-    if not, whether the two share neither place nor region."""
-    s = people.select(F.col("id").alias("student"), F.col("birth").alias("_birth"), F.col("residence").alias("_p1"), F.col("region").alias("_r1"))
-    t = people.select(F.col("id").alias("sheikh"), F.col("death").alias("_death"), F.col("residence").alias("_p2"), F.col("region").alias("_r2"))
+    if not, whether the two share neither a place nor a region, both being known. The places of a person are
+    those that residence and death_place name; regions gives those of places in normal form."""
+    at = places_of(F.concat_ws("،", "residence", "death_place"), cities, noise, lex)
+    p = people.withColumn("_at", at)
+    s = p.select(F.col("id").alias("student"), F.col("birth").alias("_birth"), F.col("_at").alias("_p1"))
+    t = p.select(F.col("id").alias("sheikh"), F.col("death").alias("_death"), F.col("_at").alias("_p2"))
     late = F.coalesce(F.col("_birth") > F.col("_death"), F.lit(False))
-    apart = F.coalesce((F.col("_p1") != F.col("_p2")) & (F.col("_r1") != F.col("_r2")), F.lit(False))
+    apart = nothing_in_common(F.col("_p1"), F.col("_p2"), regions)
     return links.where("step > 1").join(s, "student").join(t, "sheikh").select("text_id", "step", "student", "sheikh", late.alias("anachronism"), (~late & apart).alias("apart"))
 
 

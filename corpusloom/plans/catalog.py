@@ -183,6 +183,13 @@ def _symbols(spark, sf):
     return resolve.by_symbols(c.withColumn("need", F.array((F.col("item") % 5 + 1).cast("string"))), ["item"]).select("item", "id")
 
 
+def _anomalies(spark, sf):
+    nation, region = td.table(spark, sf, "nation"), td.table(spark, sf, "region")
+    regions = {r[0].lower(): r[1] for r in nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_name", "r_name").collect()}
+    died = F.when(F.col("id") % 4 == 0, F.concat(F.lit("NATION_"), F.col("id") % 25))
+    return graph.anomalies(td.links(spark, sf), td.people(spark, sf).withColumn("death_place", died), regions, lex=LATIN)
+
+
 def queries() -> dict[str, Query]:
     from . import linked, more, people
 
@@ -206,7 +213,7 @@ def queries() -> dict[str, Query]:
         "narrator_tooltip": _tooltip,
         "consensus": lambda s, d: catalogue.consensus(_evaluations(s, d)),
         "chain_tree": lambda s, d: graph.tree(e(s, d), p(s, d)),
-        "chain_anomalies": lambda s, d: graph.anomalies(e(s, d), p(s, d)),
+        "chain_anomalies": _anomalies,
         "merged_nodes": lambda s, d: graph.merged_nodes(e(s, d), g(s, d), p(s, d)),
         "merged_edges": lambda s, d: graph.merged_edges(e(s, d), g(s, d), p(s, d)),
         "all_paths_uncapped": lambda s, d: graph.paths(e(s, d), None),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.places import nothing_in_common, places_of
 from ..functions.replies import tier_status
+from ..functions.scoring import raw_index_column
 from ..functions.text import LATIN, comparable, extract, highlight, is_raised, phrase_grounded, quote_grounded, score_tokens, snippet, words
 from ..operators import catalogue, compare, etl, graph, resolve, rules, search
 from ..sources import testdata as td
@@ -52,8 +53,12 @@ def _grounded(spark, sf):
     return n.select("id", "other", quote_grounded(quote, F.array("matn"), LATIN).alias("quoted"), phrase_grounded(phrase, F.col("matn"), F.col("b"), LATIN).alias("together"), tier_status(tier, quote, F.array("matn"), LATIN).alias("status"))
 
 
-def _claims(spark, sf):
-    return td.chains(spark, sf).select("sheikh", "student", (F.col("text_id") * 100 + F.col("step")).alias("pos"), (F.col("text_id") % 3).cast("int").alias("timing"), F.concat(F.lit("t"), (F.col("text_id") % 7).cast("string")).alias("evidence"))
+def _hearings_of(spark, sf):
+    """What each line of an order says of a pair: one hearing, with the claims of up to three lines."""
+    li = td.table(spark, sf, "lineitem")
+    claim = F.struct(etl.timing_code(F.element_at(F.array(*map(F.lit, etl.TIMINGS)), (F.col("l_linenumber") % 5 + 1).cast("int"))).alias("timing"), F.concat(F.lit("q"), F.col("l_partkey").cast("string")).alias("quote"), F.col("l_returnflag").alias("book"))
+    own = li.groupBy(F.col("l_orderkey").alias("text_id")).agg(F.slice(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", claim.alias("c")))), 1, 3).alias("x")).select("text_id", F.transform("x", lambda v: v["c"]).alias("claims"))
+    return td.chains(spark, sf).join(own, "text_id").select("sheikh", "student", (F.col("text_id") * 100 + F.col("step")).alias("pos"), (F.col("step") % 5).cast("int").alias("timing"), "claims")
 
 
 def _mixed(spark, sf):
@@ -218,6 +223,18 @@ def _on_routes(sql: str) -> str:
 RULE_ORDER = ("rule_tadlis", "rule_ikhtilat", "rule_hidden_break", "rule_raf_waqf", "rule_wasl_irsal")
 HEARD = "WITH " + CHAINS + ", " + RELATIONS
 
+#: The first place of the longest term with all terms within 800 characters, else its first place; in the raw text by proportion.
+WINDOWS = """o AS (SELECT id, norm, string_split(norm, 'there') AS parts FROM t),
+  i AS (SELECT id, norm, unnest(list_transform(range(1, len(parts)), lambda j: length(array_to_string(parts[1:j], 'there')))) AS place FROM o WHERE len(parts) > 1),
+  f AS (SELECT id, min(place) AS first, min(CASE WHEN contains(substr(norm, greatest(place - 800, 0) + 1, place + 805 - greatest(place - 800, 0)), 'anti') THEN place END) AS near FROM i GROUP BY id),
+  w AS (SELECT t.id, matn, norm, CASE WHEN coalesce(near, first, 0) > 0 THEN greatest(0, least(length(matn) - 1, trunc(coalesce(near, first) / length(norm)::DOUBLE * length(matn))))::INT ELSE 0 END AS place FROM t LEFT JOIN f USING (id))"""
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _place():
+    return raw_index_column(F.col("matn"), F.col("norm"), TERMS)
+
+
 QUERIES: dict[str, tuple[Query, str]] = {
     "comparable_words": (
         lambda s, d: td.texts(s, d).select("id", comparable(F.col("matn"), LATIN).alias("c")).select("id", F.size(words(F.col("c"))).alias("n_words"), F.md5("c").alias("digest")),
@@ -232,14 +249,15 @@ QUERIES: dict[str, tuple[Query, str]] = {
         f"SELECT id, len(w)::INT AS n, md5(coalesce(array_to_string(w, ' '), '')) AS digest FROM (SELECT doc_id AS id, {_tokens('text')} AS w FROM documents)",
     ),
     "snippets": (
-        lambda s, d: td.texts(s, d).select("id", snippet(F.col("matn"), F.col("norm"), TERMS).alias("snippet")),
-        f"""WITH {TEXTS}, a AS (SELECT *, greatest(coalesce(least(nullif(instr(norm, 'anti'), 0), nullif(instr(norm, 'there'), 0)), 1) - 61, 0) AS start FROM t)
-  SELECT id, CASE WHEN length(matn) <= 180 THEN matn ELSE CASE WHEN start > 0 THEN '...' ELSE '' END || substr(matn, start + 1, 180) || CASE WHEN start + 180 < length(matn) THEN '...' ELSE '' END END AS snippet FROM a""",
+        lambda s, d: td.texts(s, d).select("id", snippet(F.col("matn"), F.col("norm"), _place()).alias("snippet")),
+        f"""WITH {TEXTS}, {WINDOWS}, a AS (SELECT id, matn, norm, greatest(place - 60, 0) AS start FROM w)
+  SELECT id, CASE WHEN length(matn) <= 180 THEN matn WHEN norm = '' THEN substr(matn, 1, 150) || '...' ELSE CASE WHEN start > 0 THEN '...' ELSE '' END || {_TRIM.format('substr(matn, start + 1, 180)')} || CASE WHEN start + 180 < length(matn) THEN '...' ELSE '' END END AS snippet FROM a""",
     ),
     "extracts": (
-        lambda s, d: td.texts(s, d).select("id", extract(F.col("matn"), F.col("norm"), TERMS).alias("x")).select("id", F.length("x").alias("n"), F.md5("x").alias("digest")),
-        f"""WITH {TEXTS}, a AS (SELECT *, greatest(coalesce(least(nullif(instr(norm, 'anti'), 0), nullif(instr(norm, 'there'), 0)), 1) - 601, 0) AS start FROM t),
-  x AS (SELECT id, CASE WHEN length(matn) <= 4000 THEN matn ELSE substr(matn, start + 1, 4000) END AS x FROM a) SELECT id, length(x)::INT AS n, md5(x) AS digest FROM x""",
+        lambda s, d: td.texts(s, d).select("id", extract(F.col("matn"), F.col("norm"), _place()).alias("x")).select("id", F.length("x").alias("n"), F.md5("x").alias("digest")),
+        f"""WITH {TEXTS}, {WINDOWS}, a AS (SELECT id, matn, norm, greatest(place - 600, 0) AS start FROM w),
+  x AS (SELECT id, CASE WHEN length(matn) <= 4000 OR norm = '' THEN matn ELSE CASE WHEN start > 0 THEN '... ' ELSE '' END || {_TRIM.format('substr(matn, start + 1, 4000)')} || CASE WHEN start + 4000 < length(matn) THEN ' ...' ELSE '' END END AS x FROM a)
+  SELECT id, length(x)::INT AS n, md5(x) AS digest FROM x""",
     ),
     "highlights": (
         lambda s, d: td.texts(s, d).select("id", highlight(F.col("matn"), TERMS, LATIN).alias("x")).select("id", F.length("x").alias("n"), F.md5("x").alias("digest")),
@@ -257,8 +275,11 @@ QUERIES: dict[str, tuple[Query, str]] = {
         f"WITH {PEOPLE}, {CHAINS}, n AS (SELECT sheikh AS id, min(1 + text_id % 5) AS k FROM c WHERE term = 'from' GROUP BY sheikh) SELECT id, least(tadlis_tier, k)::INT AS tadlis_tier FROM p LEFT JOIN n USING (id)",
     ),
     "first_hearings": (
-        lambda s, d: etl.first_hearings(_claims(s, d)),
-        f"WITH {CHAINS} SELECT sheikh, student, (text_id % 3)::INT AS timing, 't' || text_id % 7 AS evidence FROM c QUALIFY row_number() OVER (PARTITION BY sheikh, student ORDER BY text_id, step) = 1",
+        lambda s, d: etl.first_hearings(_hearings_of(s, d), s.createDataFrame([("A", "first book"), ("R", "second book")], "book string, name string")),
+        f"""WITH {CHAINS}, l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_linenumber % 5, l_returnflag) AS n FROM lineitem),
+  h AS (SELECT sheikh, student, text_id, step % 5 AS timing FROM c QUALIFY row_number() OVER (PARTITION BY sheikh, student ORDER BY text_id, step) = 1),
+  k AS (SELECT h.*, l_partkey, l_returnflag FROM h JOIN l ON l_orderkey = text_id AND n <= 3 QUALIFY row_number() OVER (PARTITION BY sheikh, student ORDER BY l_linenumber % 5 <> timing, n) = 1)
+  SELECT sheikh, student, timing::INT AS timing, 'q' || l_partkey AS evidence, CASE l_returnflag WHEN 'A' THEN 'first book' WHEN 'R' THEN 'second book' ELSE l_returnflag END AS book FROM k""",
     ),
     "generation_labels": (
         lambda s, d: td.people(s, d).select("id", etl.generation_label(F.col("generation")).alias("label")),
@@ -310,7 +331,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "edge_decorations": (
         _on_edges,
         f"""WITH f AS (SELECT * FROM ({MASKING}) UNION ALL SELECT * FROM ({ORACLES['rule_hidden_break']})), x AS (SELECT gid, split_part(people, ',', 1) AS student, split_part(people, ',', 2) AS sheikh, type, severity, confidence FROM f)
-  SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY gid, student, sheikh ORDER BY severity DESC, confidence DESC, type) = 1""",
+  SELECT * FROM x WHERE NOT (severity = 0 AND confidence < 0.3) QUALIFY row_number() OVER (PARTITION BY gid, student, sheikh ORDER BY severity DESC, confidence DESC, type) = 1""",
     ),
     "verification_metrics": (
         _cases,

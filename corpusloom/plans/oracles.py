@@ -119,8 +119,11 @@ ORACLES: dict[str, str] = {
     "chain_tree": f"""WITH RECURSIVE {PEOPLE}, {LINKS}, w(text_id, step, person, parent) AS (SELECT DISTINCT text_id, 0, student, NULL::BIGINT FROM e WHERE step = 1
   UNION ALL SELECT w.text_id, w.step + 1, e.sheikh, w.person FROM w JOIN e ON e.text_id = w.text_id AND e.step = w.step + 1 AND e.student = w.person)
   SELECT text_id, step, person, parent, CASE WHEN rank = 1 THEN 'companion' WHEN rank IN (2, 3) THEN 'reliable' WHEN rank IN (4, 5) THEN 'mostly_reliable' WHEN rank IN (6, 7, 8) THEN 'weak' WHEN rank = 9 THEN 'unknown' WHEN rank IN (10, 11) THEN 'abandoned' WHEN rank = 12 THEN 'fabricator' END AS grade FROM w LEFT JOIN p ON p.id = person""",
-    "chain_anomalies": f"""WITH {PEOPLE}, {LINKS} SELECT text_id, step, student, sheikh, coalesce(a.birth > b.death, false) AS anachronism,
-  NOT coalesce(a.birth > b.death, false) AND a.residence <> b.residence AND a.region <> b.region AS apart FROM e JOIN p a ON a.id = student JOIN p b ON b.id = sheikh WHERE step > 1""",
+    "chain_anomalies": f"""WITH {PEOPLE}, {LINKS}, r AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+  q AS (SELECT id, birth, death, unnest(CASE WHEN id % 4 = 0 THEN [residence, 'NATION_' || id % 25] ELSE [residence] END) AS place FROM p),
+  l AS (SELECT id, any_value(birth) AS birth, any_value(death) AS death, list(place) AS places, list(coalesce(r_name, place)) AS regions FROM q LEFT JOIN r ON n_name = place GROUP BY id)
+  SELECT text_id, step, student, sheikh, coalesce(a.birth > b.death, false) AS anachronism,
+  NOT coalesce(a.birth > b.death, false) AND NOT list_has_any(a.places, b.places) AND NOT list_has_any(a.regions, b.regions) AS apart FROM e JOIN l a ON a.id = student JOIN l b ON b.id = sheikh WHERE step > 1""",
     "merged_nodes": _nodes("""SELECT gid, person, step, n_sources, books, CASE WHEN step > 0 AND k = 1 THEN s END AS parent FROM (SELECT gid, person, min(step) AS step, count(DISTINCT text_id) AS n_sources, string_agg(DISTINCT book, ',' ORDER BY book) AS books
   FROM r JOIN low USING (gid, person) WHERE low > 0 OR step = 0 GROUP BY gid, person) LEFT JOIN (SELECT gid, person, count(DISTINCT student) AS k, min(student) AS s FROM v GROUP BY gid, person) USING (gid, person)"""),
     "merged_edges": _nodes("""SELECT gid, person AS sheikh, student, step, n_sources, books FROM (SELECT gid, person, student, greatest(1, min(step)) AS step, count(DISTINCT text_id) AS n_sources, string_agg(DISTINCT book, ',' ORDER BY book) AS books,

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import replies
+from ..functions.text import LATIN
 from ..operators import candidates, kin, mentions, merging, ordered
 from ..sources import testdata as td
+from .oracles import TEXTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _NONE = "CAST(array() AS array<string>)"
@@ -189,7 +192,28 @@ def _kin_chains(spark, sf):
     return kin.resolve(filled.join(facts, ["text_id", "pos"]), listing, fame)
 
 
+def _replies(spark, sf):
+    """A model's reply to every ten documents, names in capitals: levels by the text's length, quotes of four
+    words or two, from the text itself or from the next one's."""
+    t = td.texts(spark, sf).select((F.floor(F.col("id") / 10)).alias("request_id"), (F.col("id") % 10 + 1).cast("int").alias("place"), "id", F.coalesce("matn", F.lit("")).alias("matn"), "chapter")
+    n = F.length("matn")
+    quote = F.array_join(F.slice(F.split(F.trim(replies.folded_words(F.when(n % 7 == 0, F.lead("matn").over(Window.partitionBy("request_id").orderBy("place"))).otherwise(F.col("matn")), LATIN)), " "), 1, F.when(n % 5 == 0, 2).otherwise(4)), " ")
+    level = F.when(n % 3 == 0, "DIRECT").when(n % 11 == 0, "sure").otherwise(" Partial")
+    each = F.to_json(F.struct(F.when(n % 13 == 0, 1).otherwise(F.col("place")).alias("Index"), level.alias("LEVEL"), quote.alias("Quote"), F.col("chapter").alias("reason")))
+    said = t.select("request_id", "place", each.alias("x")).groupBy("request_id").agg(F.concat(F.lit("Here: ["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda v: v["x"]), ", "), F.lit("] Done.")).alias("raw"))
+    return replies.judged(said, t.select("request_id", "place", "id", "matn"), lex=LATIN)
+
+
+_REPLIES_SQL = f"""WITH {TEXTS}, a AS (SELECT id // 10 AS request_id, id % 10 + 1 AS place, id, length(coalesce(matn, '')) AS n, regexp_extract_all(coalesce(norm, ''), '[a-z]+') AS w, chapter FROM t),
+b AS (SELECT *, CASE WHEN n % 7 = 0 THEN coalesce(lead(w) OVER (PARTITION BY request_id ORDER BY place), []) ELSE w END AS q FROM a),
+s AS (SELECT request_id, CASE WHEN n % 13 = 0 THEN 1 ELSE place END AS place, q[1:CASE WHEN n % 5 = 0 THEN 2 ELSE 4 END] AS q, CASE WHEN n % 3 = 0 THEN 'direct' WHEN n % 11 = 0 THEN 'sure' ELSE 'partial' END AS level, chapter FROM b),
+o AS (SELECT * FROM s QUALIFY count(*) OVER (PARTITION BY request_id, place) = 1),
+r AS (SELECT b.request_id, b.place, b.id, o.level, o.q, o.chapter, coalesce(o.level <> 'sure' AND len(o.q) >= 3 AND contains(' ' || array_to_string(b.w, ' ') || ' ', ' ' || array_to_string(o.q, ' ') || ' '), false) AS ok FROM b LEFT JOIN o USING (request_id, place))
+SELECT request_id, place::INT AS place, id, CASE WHEN ok THEN level END AS level, CASE WHEN ok THEN array_to_string(q, ' ') END AS quote, CASE WHEN ok THEN coalesce(chapter, '') END AS reason FROM r"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "judged_replies": (_replies, _REPLIES_SQL),
     "merged_person_pairs": (_merge_pairs, _PAIRS_SQL),
     "merged_persons": (lambda s, d: merging.same_person(entries(s, d)), None),
     "candidate_tiers": (lambda s, d: candidates.candidates(_names(s, d), _people(s, d), "abu"), _TIERS_SQL),

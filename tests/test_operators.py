@@ -49,8 +49,14 @@ def test_relations_hearings_and_people(spark):
     lists = spark.createDataFrame([(1, [2, 1, 99], [3]), (3, [1], [])], "id long, teachers array<long>, students array<long>")
     known = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     assert {tuple(x) for x in etl.relations(lists, known).collect()} == {(2, 1), (1, 3)}
-    claims = spark.createDataFrame([(1, 2, 0, 2, "a"), (1, 2, 1, 1, "b"), (1, 1, 0, 1, "c")], "sheikh long, student long, pos int, timing int, evidence string")
-    assert [tuple(x) for x in etl.first_hearings(claims).collect()] == [(1, 2, 2, "a")]
+    claims = lambda *c: [{"timing": t, "quote": q, "book": b} for t, q, b in c]
+    rows = [(1, 2, 0, 2, claims((0, "a", "x"), (2, "b", "y"))), (1, 2, 1, 1, claims((1, "c", "x"))), (1, 1, 0, 1, claims((1, "d", "x"))), (1, 3, 0, 1, claims((2, "e", "x"), (0, "f", "y"))), (1, 4, 0, 1, [])]
+    hearings = spark.createDataFrame(rows, "sheikh long, student long, pos int, timing int, claims array<struct<timing:int,quote:string,book:string>>")
+    names = spark.createDataFrame([("y", "Book of Y")], "book string, name string")
+    want = [(1, 2, 2, "b", "y"), (1, 3, 1, "e", "x"), (1, 4, 1, None, None)]
+    assert sorted(tuple(x) for x in etl.first_hearings(hearings).collect()) == want
+    assert {(x.student, x.book) for x in etl.first_hearings(hearings, names).collect()} == {(2, "Book of Y"), (3, "x"), (4, None)}
+    assert [x.c for x in spark.createDataFrame([("both",), ("conflict",), ("Both",), (None,)], "t string").select(etl.timing_code(F.col("t")).alias("c")).collect()] == [3, 4, 0, 0]
     assert readers.read(spark, "seed").count() == 2
     got = etl.people(readers.read(spark, "seed")).collect()
     assert [(r.id, r.kunya) for r in sorted(got)] == [(1, "أبو عمر"), (2, None)]

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import places, replies
-from corpusloom.functions.text import ARABIC, body_of, extract
+from corpusloom.functions.scoring import raw_index, raw_index_column
+from corpusloom.functions.text import ARABIC, body_of, extract, snippet
 from corpusloom.operators import catalogue, etl, graph, rules
 
 
@@ -14,10 +15,24 @@ def one(spark, *cols):
 def test_body(spark):
     got = one(
         spark, body_of(F.lit("حدثنا زيد عن عمرو قال رسول الله صلى الله عليه وسلم من غشنا فليس منا [حكم: صحيح] رواه مسلم")), body_of(F.lit("حدثنا زيد عن عمرو بن سعد قال المسلم اخو المسلم لا يظلمه ولا يسلمه ابدا في كل حال")),
-        body_of(F.lit("قال النبي الدين النصيحة وحدثنا زيد")), body_of(F.lit(None).cast("string")), body_of(F.lit("كلام بلا علامة")), extract(F.lit("x" * 5000), F.lit("x" * 5000), ["x"]), extract(F.lit("short"), F.lit("short"), ["t"]),
+        body_of(F.lit("قال النبي الدين النصيحة وحدثنا زيد")), body_of(F.lit(None).cast("string")), body_of(F.lit("كلام بلا علامة")), extract(F.lit("x" * 5000), F.lit("x" * 5000), F.lit(0)), extract(F.lit("short"), F.lit("short"), F.lit(2)),
     )
     assert got[0] == "قال رسول الله من غشنا فليس منا" and got[1].startswith("قال المسلم اخو المسلم") and got[2] == "قال النبي الدين النصيحه"
-    assert got[3] == "" and got[4] == "كلام بلا علامه" and len(got[5]) == 4000 and got[6] == "short"
+    assert got[3] == "" and got[4] == "كلام بلا علامه" and got[5] == "x" * 4000 + " ..." and got[6] == "short"
+
+
+def test_windows_follow_the_cluster_in_the_raw_text(spark):
+    """The longest term where all terms are near, not the first of any; by proportion where marks make the raw text longer."""
+    norm = "far " * 300 + "near " + "of " * 300 + "far near " + "end " * 200
+    raw = norm.replace("a", "a\u0301")
+    df = spark.createDataFrame([(raw, norm), ("short", "short"), ("x" * 200, "")], "matn string, norm string")
+    at = raw_index_column(F.col("matn"), F.col("norm"), ["near", "far"])
+    got = df.select(at.alias("at"), snippet(F.col("matn"), F.col("norm"), at).alias("s"), extract(F.col("matn"), F.col("norm"), at, 400, 50).alias("x"), snippet(F.col("matn"), F.col("norm"), None).alias("p")).collect()
+    place = int(norm.index("near") / len(norm) * len(raw))
+    assert got[0].at == place and got[0].s == "..." + raw[place - 60 : place + 120].strip() + "..." and got[0].x == "... " + raw[place - 50 : place + 350].strip() + " ..."
+    assert got[0].p == raw[:150] + "..." and (got[1].s, got[1].x, got[1].p) == ("short",) * 3 and got[2].s == "x" * 150 + "..."
+    far = "near " + "of " * 600 + "far near"
+    assert raw_index(far, far, ["near", "far"]) == far.rindex("near") and raw_index(far, far, ["near", "none"]) == 0
 
 
 def test_replies(spark):
