@@ -102,8 +102,15 @@ TITLES = (
     "الشهيد", "الأمير", "الصغير", "الكبير", "الفراء", "النحاس", "الصرام", "الجرب", "مسلم",
 )
 NAMELESS = "راوٍ غير مسمى"
-#: Where a name ends and a remark on its bearer begins.
-REMARK = r"(?s)\s*(?:،\s*(?:ويقال|قيل|وقيل|وهو|قال)|\s(?:قال\s+بن|من\s+السابقين)|:).*$"
+#: Phrases with which a remark on the bearer begins behind a name.
+REMARKS = ("، ويقال", "، قيل", "، وقيل", "، وهو", "، قال", " قال بن", " من السابقين", ":")
+
+
+def before_remark(c: Column, remarks: tuple[str, ...] = REMARKS) -> Column:
+    """A name up to the first remark on its bearer; spaces are single ones, commas close up to the left."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"\s*،\s*", "، "), r"\s+", " ")
+    at = F.array_min(F.filter(F.array(*[F.locate(r, plain) for r in remarks]), lambda x: x > 0))
+    return F.when(at.isNotNull(), F.left(plain, at - 1)).otherwise(plain)
 
 
 def display_name(name: Column, known_as: Column, famous: dict[str, str] = FAMOUS, titles: tuple[str, ...] = TITLES, nameless: str = NAMELESS) -> Column:
@@ -111,7 +118,7 @@ def display_name(name: Column, known_as: Column, famous: dict[str, str] = FAMOUS
     brackets where it is neither a mere title nor part of it; else the by-name. Null and blank names count as none."""
     strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\-.،:]+|[\s\-.،:]+$", "")
     full, by = F.trim(F.coalesce(name, F.lit(""))), strip(known_as)
-    plain = F.regexp_replace(strip(F.regexp_replace(full, REMARK, "")), r"\s+", " ")
+    plain = strip(before_remark(full))
     rest = r"(?:(?!\s(?:بن|ابن)\s).)*"
     short = F.when(F.size(F.split(plain, " ")) <= 4, plain).otherwise(F.regexp_extract(plain, rf"^({rest}(?:\s(?:بن|ابن)\s{rest}){{0,2}})", 1))
     tells = (by != "") & ~F.forall(F.split(by, r"\s*[،,]\s*"), lambda t: t.isin(*titles, ""))

@@ -17,20 +17,24 @@ THREE = ("abudawud", "tirmidhi", "nasai")
 COMPILERS = {"البخاري": "bukhari", "مسلم": "muslim", "ابو داود": "abudawud", "الترمذي": "tirmidhi", "النسائي": "nasai", "ابن ماجه": "ibnmajah"}
 LETTERS = {"bukhari": "خ", "muslim": "م", "abudawud": "د", "tirmidhi": "ت", "nasai": "س", "ibnmajah": "ق"}
 GROUPS = {"الجماعه": SIX, "السته": SIX, "الاربعه": FOUR, "الخمسه": ()}
+#: Symbols of a group; the word that leaves out, the joined "and", and words that say where or how.
+WHOLE = {"ع": SIX, "٤": FOUR, "٣": THREE}
+BUT, AND, WHERE = "سوي", "و", ("في", "تعليقا", "مقرونا", "حديثا", "حديث", "وهو", "وروي")
 
 
 def likeness(a: Column, b: Column, light: Sequence[str] = LIGHT) -> Column:
     """How alike two arrays of words are: 1 if equal; 0.5 to 0.9 if one lies within the other in one piece
-    (a single word at an end, and not a light one); else the share of words in common. Empty or null: 0."""
-    a, b = (F.coalesce(x, F.array().cast("array<string>")) for x in (a, b))
-    less = F.size(a) <= F.size(b)
-    short, long = F.when(less, a).otherwise(b), F.when(less, b).otherwise(a)
-    spread = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
-    first = F.get(short, F.lit(0))
-    at = F.array_position(long, first)
-    within = F.when(F.size(short) >= 2, spread(long).contains(spread(short))).otherwise(~first.isin(*light) & ((at == 1) | (at == F.size(long))))
-    common = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    return F.when(F.size(short) == 0, 0.0).when(a == b, 1.0).when(within, 0.5 + 0.4 * F.size(short) / F.size(long)).otherwise(common)
+    (a single word first met at an end, and not a light one); else the share of words in common. Empty or
+    null: 0."""
+    pair = F.array_sort(F.array(*[F.struct(F.size(x).alias("n"), F.lit(k).alias("k"), x.alias("w")) for k, x in enumerate(F.coalesce(x, F.array().cast("array<string>")) for x in (a, b))]))
+    part, whole = pair[0], pair[1]
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(part["w"], whole["w"])), F.size(F.array_union(part["w"], whole["w"]))), F.lit(0.0))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(whole["n"] - part["n"] + 1, F.lit(1))), lambda p: F.slice(whole["w"], p, part["n"]) == part["w"])
+    first = F.array_min(places)
+    sole = first.isin(1) | (first == whole["n"])
+    tells = (part["n"] > 1) | (sole & ~F.arrays_overlap(part["w"], F.array(*map(F.lit, light))))
+    within = F.when((part["n"] > 0) & first.isNotNull() & tells, 0.5 + 0.4 * part["n"] / whole["n"])
+    return F.when((whole["n"] > 0) & (part["w"] == whole["w"]), 1.0).otherwise(F.coalesce(within, share))
 
 
 def align_spans(names: DataFrame, spans: DataFrame, ahead: int = 6, least: float = 0.6, light: Sequence[str] = LIGHT) -> DataFrame:
@@ -187,27 +191,38 @@ def join_heads(parts: DataFrame, relations: DataFrame) -> DataFrame:
     return own.select("text_id", "part", "pos", "id").unionByName(added)
 
 
-def compilers_named(c: Column, names: dict[str, str] = COMPILERS, groups: dict[str, Sequence[str]] = GROUPS) -> Column:
-    """Keys of the compilers that an item of a list of students names, alone or as a group, some of whom may be
-    left out ("the six but Ibn Majah"); empty if it names somebody else, or a name left out isn't known. The group
-    of five says which five only by whom it leaves out of the six."""
-    s = F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "أإآىة" + "ًٌٍَُِّْٰـ", "اااي" + "ه"), r"\s+", " "))
-    group, rest = F.regexp_extract(s, r"^(\S+)(?:\s+سوي\s+.+)?$", 1), F.regexp_extract(s, r"^\S+\s+سوي\s+(.+)$", 1)
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    members = F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]).cast("array<string>"))])
-    out = F.transform(F.split(rest, r"\sو(?=\S)|\s*،\s*"), lambda x: F.element_at(table, F.trim(x)))
-    base = F.when(rest != "", F.when(F.size(F.element_at(members, group)) == 0, F.array(*[F.lit(x) for x in SIX])).otherwise(F.element_at(members, group))).otherwise(F.element_at(members, group))
-    left = F.when(rest == "", base).when(F.exists(out, lambda x: x.isNull()), F.array().cast("array<string>")).otherwise(F.array_except(base, out))
-    one = F.element_at(table, s)
-    return F.coalesce(F.when(F.array_contains(F.map_keys(table), s), F.array(one)), F.when(F.array_contains(F.map_keys(members), group), left), F.array().cast("array<string>"))
-
-
-def carries_symbol(symbols: Column, key: Column, letters: dict[str, str] = LETTERS) -> Column:
-    """Whether a person's symbols, words of letters, say that the compiler of that key transmits from them."""
-    w = F.split(F.trim(F.coalesce(symbols, F.lit(""))), r"\s+")
-    letter = F.element_at(F.create_map(*[F.lit(x) for pair in letters.items() for x in pair]), key)
-    hit = F.exists(w, lambda x: (x == "ع") | ((x == "٤") & key.isin(*FOUR)) | ((x == "٣") & key.isin(*THREE)) | x.contains(letter))
-    return F.coalesce(hit & letter.isNotNull(), F.lit(False))
+def compilers_named(c: Column, names: dict[str, str] = COMPILERS, groups: dict[str, Sequence[str]] = GROUPS, where: Sequence[str] = WHERE) -> Column:
+    """Keys of the compilers that an item of a list of students names, alone (perhaps with where or how he took
+    it) or as a group, some of whom may be left out ("the six but Ibn Majah"); empty if it names somebody else,
+    a name left out isn't known, or a critic's words follow behind a colon. The group of five says which five
+    only by whom it leaves out of the six."""
+    plain = F.translate(F.coalesce(c, F.lit("")), "أإآىة" + "ًٌٍَُِّْٰـ", "اااي" + "ه")
+    w = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    keys = F.create_map(*[x for name, own in {**{n: [k] for n, k in names.items()}, **groups}.items() for x in (F.lit(name), F.array(*map(F.lit, own)).cast("array<string>"))])
+    mean = lambda phrase: F.try_element_at(keys, phrase)
+    but = F.array_position(w, BUT).cast("int")
+    # all words, or the one or two that make a name before a word of where
+    cut = F.array_max(F.array(*[F.when(F.coalesce(F.get(w, F.lit(n)).isin(*where), F.lit(False)) & F.array_join(F.slice(w, 1, n), " ").isin(*names), n).otherwise(0) for n in (1, 2)]))
+    alone = mean(F.array_join(F.when(cut > 0, F.slice(w, F.lit(1), cut)).otherwise(w), " "))
+    left_out = F.transform(F.split(F.array_join(F.slice(w, but + 1, F.size(w)), " "), rf"\s{AND}(?=\S)|\s*،\s*"), lambda x: mean(F.trim(x)))
+    group = F.when((but == 2) & F.get(w, F.lit(0)).isin(*groups), mean(F.get(w, F.lit(0))))
+    of = F.when(F.size(group) > 0, group).otherwise(F.array(*map(F.lit, SIX)))
+    others = F.when(group.isNotNull() & F.forall(left_out, lambda x: x.isNotNull()), F.array_except(of, F.flatten(left_out)))
+    return F.when(plain.rlike("[:؛]"), none).otherwise(F.coalesce(F.when(but > 0, others).otherwise(alone), none))
+
+
+def keys_of_symbols(symbols: Column, letters: dict[str, str] = LETTERS, whole: dict[str, Sequence[str]] = WHOLE) -> Column:
+    """Keys of the compilers that symbols stand for: a symbol of its own for a group, or letters, which may be
+    written together."""
+    table = F.create_map(*[x for s, own in {**{v: [k] for k, v in letters.items()}, **whole}.items() for x in (F.lit(s), F.array(*map(F.lit, own)))])
+    each = F.flatten(F.transform(F.split(F.coalesce(symbols, F.lit("")), r"\s+"), lambda x: F.when(x.isin(*whole), F.array(x)).otherwise(F.filter(F.split(x, ""), lambda y: y.isin(*letters.values())))))
+    return F.array_distinct(F.flatten(F.transform(each, lambda x: F.try_element_at(table, x))))
+
+
+def carries_symbol(symbols: Column, key: Column) -> Column:
+    """Whether a person's symbols say that the compiler of that key transmits from them."""
+    return F.coalesce(F.array_contains(keys_of_symbols(symbols), key), F.lit(False))
 
 
 def compiles(name: Column, book: Column, starts: dict[str, str]) -> Column:
