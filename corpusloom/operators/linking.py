@@ -165,13 +165,48 @@ def weighed(pairs: DataFrame) -> DataFrame:
 def best_by_evidence(pairs: DataFrame) -> DataFrame:
     """left_id, right_id, score, margin, confidence: the pair of most evidence (ties: the least right_id), how far
     it leads the next (or -10), and exact, probable or none, which follow from both and from what supports it.
-    pairs: as weighed() takes them."""
+    pairs: as weighed() takes them. With main and lineage (of the right one), entries outside the main source
+    that have the lineage of a best one within it, and no death that speaks against them, are the same person
+    listed again: they don't count as next, and come as duplicates."""
     w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id")
-    top = weighed(pairs).withColumn("_n", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead("score").over(w), F.lit(-10.0))).where("_n = 1")
+    ranked = weighed(pairs).withColumn("_n", F.row_number().over(w))
+    duplicates = {"main", "lineage"} <= set(pairs.columns)
+    if duplicates:
+        ahead = lambda c: F.first(c).over(w)
+        again = (F.col("_n") > 1) & ahead("main") & ~F.col("main") & (F.size("lineage") > 0) & (F.col("lineage") == ahead("lineage")) & ~F.coalesce(years_apart(F.col("death_a"), F.col("death_b")) > 2, F.lit(False))
+        ranked = ranked.withColumn("_again", F.coalesce(again, F.lit(False)))
+    else:
+        ranked = ranked.withColumn("_again", F.lit(False))
+    whole = Window.partitionBy("left_id")
+    ranked = ranked.withColumn("_next", F.coalesce(F.max(F.when((F.col("_n") > 1) & ~F.col("_again"), F.col("score"))).over(whole), F.lit(-10.0)))
+    ranked = ranked.withColumn("duplicates", F.sort_array(F.collect_set(F.when(F.col("_again"), F.col("right_id"))).over(whole))) if duplicates else ranked
+    top = ranked.where("_n = 1")
     margin = F.round(F.col("score") - F.col("_next"), 6)
     fair = ~F.col("hard") & (F.col("name_score") >= 2.5)
     exact = fair & (F.col("score") >= 8) & (margin >= 3) & (F.col("by_page") | (F.col("support") >= 3))
-    return top.select("left_id", "right_id", "score", margin.alias("margin"), F.when(exact, "exact").when(fair & (F.col("score") >= 5) & (margin >= 2), "probable").otherwise("none").alias("confidence"))
+    confidence = F.when(exact, "exact").when(fair & (F.col("score") >= 5) & (margin >= 2), "probable").otherwise("none")
+    return top.select("left_id", "right_id", "score", margin.alias("margin"), confidence.alias("confidence"), *["duplicates"] * duplicates)
+
+
+def entries_on_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """(book, page, entry): the entries printed on each page (book, page): those that start there, and the last
+    one before it, which may go on. entries: book, entry (in the book's order), page."""
+    asked = pages.select("book", "page").distinct().select("book", "page", F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
+    w = Window.partitionBy("book").orderBy("page").rangeBetween(Window.unboundedPreceding, -1)
+    starts = F.when(F.col("entry").isNotNull(), F.struct("page", "entry"))
+    before = entries.select("book", "page", "entry").union(asked).withColumn("_b", F.max(starts).over(w)).where("entry IS NULL AND _b IS NOT NULL").select("book", "page", F.col("_b.entry").alias("entry"))
+    return entries.select("book", "page", "entry").join(asked.select("book", "page"), ["book", "page"]).union(before).distinct()
+
+
+def page_votes(cites: DataFrame, index: DataFrame, entries: DataFrame) -> DataFrame:
+    """left_id, right_id, votes, pages: how many of a record's cites (left_id, book, vol, printed) fall on a page
+    on which an entry stands, and how many of its cites are on known pages. index: book, vol, printed, page, the
+    place of a printed page in its book; entries: book, entry, page."""
+    known = cites.join(index, ["book", "vol", "printed"]).select("left_id", "book", "page")
+    total = known.groupBy("left_id").agg(F.count("*").alias("pages"))
+    per = known.groupBy("left_id", "book", "page").agg(F.count("*").alias("n"))
+    met = per.join(entries_on_pages(entries, known), ["book", "page"])
+    return met.groupBy("left_id", F.col("entry").alias("right_id")).agg(F.sum("n").alias("votes")).join(total, "left_id").select("left_id", "right_id", "votes", "pages")
 
 
 def join_heads(parts: DataFrame, relations: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies
 from ..functions.text import LATIN
-from ..operators import candidates, kin, mentions, merging, ordered
+from ..operators import candidates, gain, kin, linking, mentions, merging, ordered
 from ..sources import testdata as td
 from .oracles import TEXTS
 
@@ -212,7 +212,33 @@ r AS (SELECT b.request_id, b.place, b.id, o.level, o.q, o.chapter, coalesce(o.le
 SELECT request_id, place::INT AS place, id, CASE WHEN ok THEN level END AS level, CASE WHEN ok THEN array_to_string(q, ' ') END AS quote, CASE WHEN ok THEN coalesce(chapter, '') END AS reason FROM r"""
 
 
+def _gain(spark, sf):
+    """Brands as books that hold names of parts, each as often as there are such parts."""
+    p = td.table(spark, sf, "part").select(F.col("p_brand").alias("book"), F.concat_ws(" ", "p_name", "p_type", F.floor(F.col("p_size") / 5).cast("string")).alias("name"))
+    return gain.order_of_gain(p.distinct().join(p.groupBy("name").agg(F.count("*").alias("n")), "name"), "Brand#1")
+
+
+def _votes(spark, sf):
+    """Lines of orders cite pages; parts are the entries of three books."""
+    part = td.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.element_at(F.array(*map(F.lit, "ANR")), (F.col("p_size") % 3 + 1).cast("int")).alias("own"))
+    vol = (F.col("k") % 7 + 1).cast("int")
+    index = part.select(F.explode(F.array(*map(F.lit, "ANR"))).alias("book"), vol.alias("vol"), F.col("k").alias("printed"), (F.floor(F.col("k") / 3) + vol).alias("page"))
+    entries_ = part.select(F.col("own").alias("book"), F.col("k").alias("entry"), F.floor(F.col("k") / 3).alias("page"))
+    li = td.table(spark, sf, "lineitem")
+    cites = li.select(F.col("l_orderkey").alias("left_id"), F.col("l_returnflag").alias("book"), F.col("l_linenumber").cast("int").alias("vol"), F.col("l_partkey").alias("printed"))
+    return linking.page_votes(cites, index, entries_)
+
+
+_VOTES_SQL = """WITH p AS (SELECT p_partkey AS k, ['A', 'N', 'R'][p_size % 3 + 1] AS book, p_partkey // 3 AS page FROM part),
+c AS (SELECT l_orderkey AS left_id, l_returnflag AS book, l_partkey // 3 + l_linenumber AS page FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = l_partkey % 7 + 1),
+g AS (SELECT DISTINCT book, page FROM c), b AS (SELECT g.book, g.page, max(p.page * 100000000 + k) % 100000000 AS k FROM g JOIN p ON p.book = g.book AND p.page < g.page GROUP BY ALL),
+o AS (SELECT g.book, g.page, k FROM g JOIN p USING (book, page) UNION SELECT book, page, k FROM b), t AS (SELECT left_id, count(*) AS pages FROM c GROUP BY left_id)
+SELECT left_id, k AS right_id, count(*) AS votes, any_value(pages) AS pages FROM c JOIN o USING (book, page) JOIN t USING (left_id) GROUP BY left_id, k"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "order_of_gain": (_gain, None),
+    "page_votes": (_votes, _VOTES_SQL),
     "judged_replies": (_replies, _REPLIES_SQL),
     "merged_person_pairs": (_merge_pairs, _PAIRS_SQL),
     "merged_persons": (lambda s, d: merging.same_person(entries(s, d)), None),

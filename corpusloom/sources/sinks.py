@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ASIDE = "._old"
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -13,7 +16,8 @@ def _fs(spark: SparkSession, path: str):
 
 def write_all(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
     """Write the tables in the given order to a staging folder, then move each into place: either all are
-    replaced or, if a write fails, none. An empty set of tables does nothing."""
+    replaced or, if a write fails, none. A table's old rows are moved aside until the new ones are in place, so
+    that a stop between two moves loses none: see restored(). An empty set of tables does nothing."""
     if not tables:
         return {}
     spark = next(iter(tables.values())).sparkSession
@@ -25,13 +29,33 @@ def write_all(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
         moves.append((staged, f"{root}/{name}"))
     for staged, final in moves:
         fs, to = _fs(spark, final)
-        fs.delete(to, True)
-        fs.rename(_fs(spark, staged)[1], to)
+        aside = _fs(spark, f"{final}{_ASIDE}")[1]
+        if fs.exists(to):
+            fs.delete(aside, True)
+            fs.rename(to, aside)
+        if not fs.rename(_fs(spark, staged)[1], to):
+            fs.rename(aside, to)
+            raise OSError(f"{final} could not be replaced")
+        fs.delete(aside, True)
     fs, p = _fs(spark, f"{root}/_staging")
     fs.delete(p, True)
     return counts
 
 
+def restored(spark: SparkSession, root: str, names: list[str]) -> list[str]:
+    """Bring back the tables that a stopped write_all() had moved aside; the names of those brought back."""
+    back = []
+    for name in names:
+        fs, to = _fs(spark, f"{root}/{name}")
+        aside = _fs(spark, f"{root}/{name}{_ASIDE}")[1]
+        if fs.exists(aside):
+            if not fs.exists(to):
+                fs.rename(aside, to)
+                back.append(name)
+            fs.delete(aside, True)
+    return back
+
+
 def replace_source(df: DataFrame, path: str, source: str) -> None:
     """Replace the rows of one source, leaving those of others: dynamic overwrite of its partition."""
     df.withColumn("source", F.lit(source)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
