@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Words that don't identify by themselves at the end of a name.
 LIGHT = ("ابو", "ابن", "بن", "ام", "و")
 #: Keys of the six books, those of the four, names and letters of their compilers.
@@ -27,14 +29,16 @@ def likeness(a: Column, b: Column, light: Sequence[str] = LIGHT) -> Column:
     (a single word first met at an end, and not a light one); else the share of words in common. Empty or
     null: 0."""
     pair = F.array_sort(F.array(*[F.struct(F.size(x).alias("n"), F.lit(k).alias("k"), x.alias("w")) for k, x in enumerate(F.coalesce(x, F.array().cast("array<string>")) for x in (a, b))]))
-    part, whole = pair[0], pair[1]
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect(part["w"], whole["w"])), F.size(F.array_union(part["w"], whole["w"]))), F.lit(0.0))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(whole["n"] - part["n"] + 1, F.lit(1))), lambda p: F.slice(whole["w"], p, part["n"]) == part["w"])
-    first = F.array_min(places)
-    sole = first.isin(1) | (first == whole["n"])
-    tells = (part["n"] > 1) | (sole & ~F.arrays_overlap(part["w"], F.array(*map(F.lit, light))))
-    within = F.when((part["n"] > 0) & first.isNotNull() & tells, 0.5 + 0.4 * part["n"] / whole["n"])
-    return F.when((whole["n"] > 0) & (part["w"] == whole["w"]), 1.0).otherwise(F.coalesce(within, share))
+
+    def score(p: Column) -> Column:
+        part, whole = p[0], p[1]
+        share = F.coalesce(F.try_divide(F.size(F.array_intersect(part["w"], whole["w"])), F.size(F.array_union(part["w"], whole["w"]))), F.lit(0.0))
+        places = F.filter(F.sequence(F.lit(1), F.greatest(whole["n"] - part["n"] + 1, F.lit(1))), lambda i: F.slice(whole["w"], i, part["n"]) == part["w"])
+        sole = lambda first: (part["n"] > 1) | (((first == 1) | (first == whole["n"])) & ~F.arrays_overlap(part["w"], F.array(*map(F.lit, light))))
+        within = let(F.array_min(places), lambda first: F.when((part["n"] > 0) & first.isNotNull() & sole(first), 0.5 + 0.4 * part["n"] / whole["n"]))
+        return F.when((whole["n"] > 0) & (part["w"] == whole["w"]), 1.0).otherwise(F.coalesce(within, share))
+
+    return let(pair, score)
 
 
 def align_spans(names: DataFrame, spans: DataFrame, ahead: int = 6, least: float = 0.6, light: Sequence[str] = LIGHT) -> DataFrame:

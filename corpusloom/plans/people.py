@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import replies
 from ..functions.text import LATIN
-from ..operators import candidates, gain, kin, linking, mentions, merging, ordered
+from ..operators import candidates, gain, kin, linking, mentions, merging, ordered, reports
 from ..sources import testdata as td
-from .oracles import TEXTS
+from . import catalog, more
+from .oracles import CHAINS, GROUPS, PEOPLE, TEXTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _NONE = "CAST(array() AS array<string>)"
@@ -236,7 +237,50 @@ o AS (SELECT g.book, g.page, k FROM g JOIN p USING (book, page) UNION SELECT boo
 SELECT left_id, k AS right_id, count(*) AS votes, any_value(pages) AS pages FROM c JOIN o USING (book, page) JOIN t USING (left_id) GROUP BY left_id, k"""
 
 
+#: Words that a text's wording may differ in without saying anything else.
+_FRAME = frozenset("the of and to in".split())
+
+
+def _asked(spark, sf):
+    """Thirty orders at a time, in the order of their date, as the texts that a caller compares."""
+    o = td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("text_id"), F.unix_timestamp("o_orderdate").alias("ord"))
+    return catalog._groups(spark, sf).join(o, "text_id").select("gid", "text_id", "book", "ord")
+
+
+def _heard(spark, sf):
+    return td.chains(spark, sf).select("sheikh", "student").distinct().withColumn("timing", ((F.col("sheikh") + F.col("student")) % 5).cast("int"))
+
+
+def _report(spark, sf) -> reports.Report:
+    return reports.report(td.chains(spark, sf), td.texts(spark, sf).select("id", "matn"), _asked(spark, sf), td.people(spark, sf), td.relations(spark, sf), _heard(spark, sf), catalog.TRUSTED, LATIN, _FRAME)
+
+
+_ROUTES_SQL = f"""WITH {PEOPLE}, {CHAINS}, {GROUPS},
+r AS (SELECT text_id, arg_max(sheikh, {{'r': rank, 's': -step}}) FILTER (rank IS NOT NULL) AS weakest, max(rank)::INT AS tier, count_if(rank IS NULL)::BIGINT AS unrated FROM c JOIN p ON p.id = sheikh GROUP BY text_id),
+t AS (SELECT gid, text_id, book, arg_max(sheikh, step) AS top FROM c JOIN g USING (text_id) GROUP BY ALL),
+k AS (SELECT gid, top, count(*) AS n, min(text_id) AS first FROM t JOIN p ON p.id = top WHERE rank = 1 GROUP BY ALL),
+m AS (SELECT gid, top AS main FROM k QUALIFY row_number() OVER (PARTITION BY gid ORDER BY n DESC, first) = 1)
+SELECT t.gid, t.text_id, coalesce(regexp_matches(COMPARABLE, 'the\\s+that|thing\\w*') OR regexp_matches(regexp_replace(coalesce(text, ''), '\\p{{Mn}}', '', 'g'), 'theat'), false) AS raised,
+  weakest, tier, unrated, t.top, coalesce(p.rank = 1 AND t.top <> main, false) AS is_witness
+FROM t LEFT JOIN r USING (text_id) LEFT JOIN m USING (gid) LEFT JOIN p ON p.id = t.top LEFT JOIN documents ON doc_id = t.text_id"""
+
+
+def _tree(spark, sf) -> reports.Tree:
+    """The people that chains name have their documents' first words for names."""
+    d = td.table(spark, sf, "documents")
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), lambda x: x != "")
+    names = d.select(F.col("doc_id").alias("id"), F.get(w, F.lit(0)).alias("name"), F.get(w, F.lit(1)).alias("known_as"), F.lit(None).cast("string").alias("by_name"))
+    people = td.people(spark, sf).drop("name").join(names, "id", "left")
+    return reports.comparative_tree(
+        td.chains(spark, sf), td.texts(spark, sf).select("id", "matn"), _asked(spark, sf), people, td.relations(spark, sf), _heard(spark, sf), catalog.TRUSTED, LATIN, _FRAME, **_LATIN
+    )
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "report_findings": (lambda s, d: _report(s, d).findings.drop("place"), None),
+    "report_routes": (lambda s, d: _report(s, d).routes, _ROUTES_SQL.replace("COMPARABLE", more._comparable("text"))),
+    "tree_nodes": (lambda s, d: _tree(s, d).nodes, None),
+    "tree_grades": (lambda s, d: _tree(s, d).grades, None),
     "order_of_gain": (_gain, None),
     "page_votes": (_votes, _VOTES_SQL),
     "judged_replies": (_replies, _REPLIES_SQL),
