@@ -38,6 +38,8 @@ HINTS = frozenset(
 PLACES = frozenset("box block area list item items section wrapper container inner outer row col left right top bottom slot unit zone label bar buttons links main primary secondary site page global mobile reader user".split())
 OWN = frozenset("post entry article story".split())
 HEADERS = frozenset("header masthead banner".split())
+#: Words that name readers' comments only together: an article may have a discussion of its own.
+TALK, TALKERS = frozenset("discussion discussions feedback reactions thread".split()), frozenset("reader readers user users visitor visitors community".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
@@ -63,12 +65,15 @@ class Block:
     linked: int = 0
     text: str = ""
     label: bool | None = None
+    tag: str = ""  # of the element that begins here
 
 
 def _names_something(name: str, inside: bool) -> bool:
     """Whether a class, id or role names something beside the article, and nothing else: "site-footer" or
     "post-comments" do, "has-sidebar", "legal-history" or "entry-header" don't."""
     words = {w for w in _WORDS.findall(name.lower()) if len(w) > 1}
+    if words & TALK and words & TALKERS and words <= TALK | TALKERS | PLACES | OWN:
+        return True
     hints, rest = words & HINTS, words - HINTS - PLACES
     if not hints or not rest <= OWN:
         return False
@@ -130,6 +135,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             end()
             links = 0
+            current.tag = "" if closing else tag
         if not closing and tag not in VOID and _hinted(tag, attrs, bool(mains)):
             if tag not in BLOCKS:
                 current.parts.append(" ")
@@ -148,19 +154,23 @@ def blocks(page: str) -> list[Block]:
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Label every block. First pass: many linked characters are bad; long blocks with many stop words
-    are good, with few of them bad (inside a main region they stay open: its language may be another).
-    Second pass: open blocks take the label of the nearest decided neighbour of the same region, on a tie
-    the good one; where a region has none they are good inside a main region, and outside if the page has
-    no such region."""
+    """Label every block. First pass: many linked characters are bad, but for a paragraph inside a main region,
+    whose links are its own; long blocks with many stop words are good, with few of them bad. Inside a main
+    region they stay open, as its language may be another; on a page without one whose long blocks all have
+    few, the language is unknown, and they are good. Second pass: open blocks take the label of the nearest
+    decided neighbour of the same region, on a tie the good one; where a region has none they are good inside
+    a main region, and outside if the page has no such region."""
     any_main = any(b.main for b in found)
+    long: list[tuple[Block, float]] = []
     for b in found:
-        if b.linked > LINKS * max(1, len(b.text)):
+        if b.linked > LINKS * max(1, len(b.text)) and not (b.main and b.tag == "p"):
             b.label = False
         elif len(b.text) >= SHORT:
             words = b.text.lower().split()
-            share = sum(_EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)
-            b.label = True if share >= STOP_HIGH else None if b.main or share >= STOP_LOW else False
+            long.append((b, sum(_EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)))
+    unknown = not any_main and all(share < STOP_LOW for _, share in long)
+    for b, share in long:
+        b.label = True if share >= STOP_HIGH or unknown else None if b.main or share >= STOP_LOW else False
     first = [b.label for b in found]
     n = len(found)
     before, after = [None] * n, [None] * n

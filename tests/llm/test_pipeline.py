@@ -37,3 +37,24 @@ def test_stages(spark, tmp_path):
     mixed = sum(len(WORD.findall(r.text)) for r in out["mixing"])
     assert abs(mixed - size) < 600 and {r.doc_id for r in out["mixing"]} <= set(after)
     assert len(out["bpe"]) == len(out["mixing"])
+
+
+def test_stages_on_hostile_and_empty_tables(spark, tmp_path):
+    """Null ids, null, empty and blank texts, ties, repeated rows, a very long text, columns of other names."""
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"w{k % 9973}x{k % 89}" for k in range(150_000))
+    rows = [(None, "a b c", "en", "s"), (None, None, None, None), (3, "", "en", "s"), (4, " \n", "en", None), (5, "same words here", "en", "s"), (5, "same words here", "en", "s"), (6, "same words here", "en", "s"), (7, long, "en", "t"), (1, "plain", "en", "t")]
+    d = spark.createDataFrame([(i, t, x, s, len(t or ""), "k", 1, "row") for i, t, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long, k string, s int, row string")
+    kept = []
+    for name, stage in cp.STAGES:
+        d = written(stage(spark, d, str(tmp_path)), name)
+        kept.append(d.collect())
+        assert name == "bpe" or d.columns == cp.COLUMNS
+    assert len(kept[0]) == len(rows)  # without a weight for "toxic" all stay
+    near = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept[1])
+    assert [r[:2] for r in near] == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 7), (True, 0), (True, 0)]
+    assert {r.doc_id: r.text for r in kept[2] if r.doc_id == 7} == {7: long}
+    assert {r.text for r in kept[3]} <= {r.text for r in kept[2]} and all(r.text.split() for r in kept[3]) and len(kept[4]) == len(kept[3])
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
