@@ -20,8 +20,8 @@ CELL, BLOCK = 4096, 4096
 #: Pivots at most, and the distinct vectors they are chosen from (those whose key has the least hash).
 #: Both bound what is sent to every task; neither changes which pairs are found.
 PIVOTS, SAMPLE = 1024, 4096
-#: Bounds on distances give way by so much, for rounding.
-SLACK = 1e-9
+#: Bounds on distances give way by so much: rounding moves a distance near 0 by some 1e-8.
+SLACK = 1e-7
 
 
 def unit(x: np.ndarray) -> np.ndarray:
