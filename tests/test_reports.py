@@ -6,6 +6,7 @@ from corpusloom.functions import places, replies
 from corpusloom.functions.scoring import raw_index, raw_index_column
 from corpusloom.functions.text import ARABIC, body_of, extract, snippet
 from corpusloom.operators import catalogue, etl, graph, rules
+from corpusloom.plans import catalog
 
 
 def one(spark, *cols):
@@ -110,3 +111,17 @@ def test_report_is_all_rules_over_routes(spark):
     want = [rules.masking(own, people, ("t",), LATIN), rules.mixing_up(own, people, hearings, ("t",)), rules.hidden_break(own, people, relations, LATIN), rules.raised_stopped(own, people), rules.joined_cut(own, people)]
     assert sorted((r.type, r.people) for r in got) == sorted((r.type, r.people) for w in want for r in w.collect()) and got
     assert [(r.severity, r.confidence) for r in got] == sorted(((r.severity, r.confidence) for r in got), reverse=True)
+
+
+def test_findings_of_low_confidence_stay_on_edges(spark, tmp_path):
+    """26 and 13 have no rank, so their unrecorded link is of the least severity and confidence."""
+    orders = {1: ([13, 1, 13], "RRN"), 2: ([2, 1], "RN"), 3: ([26, 1], "RN"), 4: ([8, 1], "RN"), 60: ([1, 26, 13], "NNN"), 61: ([13, 1, 2], "NNN"), 62: ([1, 8, 13], "NAN")}
+    tables = {
+        "region": ([(0, "r")], "r_regionkey int, r_name string"), "nation": ([(0, "n", 0)], "n_nationkey int, n_name string, n_regionkey int"), "customer": ([(1, "MACHINERY")], "c_custkey long, c_mktsegment string"),
+        "supplier": ([(i, f"s{i}", 0) for i in (1, 2, 8, 13, 26)], "s_suppkey long, s_name string, s_nationkey int"), "orders": ([(o, 1) for o in orders], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(o, n + 1, 1, s, 1.0, flags[n]) for o, (people, flags) in orders.items() for n, s in enumerate(people)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = catalog.queries()["edge_decorations"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(2, "26", "13", "hidden_break", 0, 0.2), (2, "1", "2", "hidden_break", 0, 0.45), (2, "8", "13", "masking", 2, 0.75)} and got.count() == 3
