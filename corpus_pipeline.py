@@ -49,7 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table gives none."""
     keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k"))
     placed = curriculum(keyed, carry=("_d", "_k"))
-    times = placed.groupBy("_d", "_k").agg(F.flatten(F.collect_list("positions")).alias("_at"))
+    times = placed.where("size > 0").groupBy("_d", "_k").agg(F.flatten(F.collect_list("positions")).alias("_at"))
     one = keyed.dropDuplicates(["_d", "_k"])
     taken = one.join(times, ["_d", "_k"]).select(*COLUMNS, F.explode("_at").alias("_position"))
     return taken.orderBy("_position", "doc_id").select(*COLUMNS)
