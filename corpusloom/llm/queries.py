@@ -150,7 +150,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return remove_repeats(_table(spark, sf_dir, "documents"), run_words=51)
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

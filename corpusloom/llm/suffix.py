@@ -32,6 +32,8 @@ CHUNK = 1 << 20
 HOT, PARTS = 256, 8
 #: Suffixes sorted at once.
 SORTED = 4096
+#: Bytes of words: all but ASCII white space.
+_INK = np.array([chr(c) not in " \t\n\v\f\r" for c in range(256)])
 
 _U = np.uint64
 _RNG = np.random.default_rng(77031)
@@ -39,6 +41,7 @@ _LETTERS = (_RNG.integers(1, 1 << 62, 256, dtype=np.uint64) << _U(1)) | _U(1)
 _BASE = _U(0xB5297A4D3F84D5B5)
 _ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ctx2", "<u8"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("lo", "<u2"), ("hi", "<u2"), ("mult", "u1")])
 _SPAN = np.dtype([("t1", "<i8"), ("t2", "<u4"), ("a", "<u4"), ("b", "<u4")])
+_GRAM = np.dtype([("key", "<u8"), ("t1", "<i8"), ("t2", "<u4"), ("mult", "u1")])
 _REQUEST = np.dtype([("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("key", "<u8"), ("lo", "<u2"), ("hi", "<u2"), ("mult", "u1"), ("hot", "u1")])
 
 
@@ -63,6 +66,15 @@ class Sizes:
         return np.dtype([("key", "<u8"), ("t1", "<i8"), ("t2", "<u4"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("mult", "u1"), ("raw", "u1", (self.left + self.length,))])
 
 
+@dataclass(frozen=True)
+class Run(Sizes):
+    """Words of a run, and of the gram that tells it: so long a part of it that hardly any shorter run has one."""
+
+    @property
+    def k(self) -> int:
+        return max(1, self.length * 4 // 5)
+
+
 def _digests(pieces: Iterator[bytes], bits: int = 128) -> np.ndarray:
     """BLAKE2b digests of byte strings, a row of 64-bit numbers each."""
     blake = hashlib.blake2b
@@ -89,10 +101,10 @@ def _tables(n: int) -> list[np.ndarray]:
 class Prefix:
     """Prefix polynomial hashes of a buffer: the hash of any substring in one step."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, letters: np.ndarray | None = _LETTERS):
         power, self.inverse = _tables(len(raw) + 1)
         self.total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_LETTERS[raw] * power[: len(raw)], out=self.total[1:])
+        np.cumsum((raw if letters is None else letters[raw]) * power[: len(raw)], out=self.total[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.total[b] - self.total[a]) * self.inverse[a])
@@ -170,6 +182,66 @@ def _records(z: Sizes, buf: bytes, ends: np.ndarray, offset: int) -> np.ndarray:
     return out
 
 
+def _word_hashes(buf: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a buffer of texts that end at ends, and where each text's words end."""
+    raw = np.frombuffer(buf, np.uint8)
+    ink = _INK[raw]
+    first, last = ink.copy(), ink.copy()
+    first[1:] &= ~ink[:-1]
+    last[:-1] &= ~ink[1:]
+    first[ends[ends < len(raw)]] = ink[ends[ends < len(raw)]]
+    last[ends[ends > 0] - 1] = ink[ends[ends > 0] - 1]
+    a = np.flatnonzero(first)
+    return Prefix(raw).of(a, np.flatnonzero(last) + 1), np.searchsorted(a, ends)
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about CHUNK bytes that end at white space."""
+    at = 0
+    while at < len(text):
+        to = at + CHUNK
+        while to < len(text) and _INK[text[to]]:
+            to += 1
+        yield text[at:to]
+        at = to
+
+
+def text_grams(texts: list[bytes], run: Run) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, gram's hash), each once a text, for groups of texts: one gram at least of each run of words."""
+    for i, j in _groups(texts):
+        if len(texts[i]) > CHUNK:
+            words = np.concatenate([_word_hashes(x, np.array([len(x)]))[0] for x in _pieces(texts[i])])
+            ends = np.array([len(words)])
+        else:
+            words, ends = _word_hashes(b"".join(texts[i:j]), np.cumsum([len(t) for t in texts[i:j]]))
+        pos, key = _anchors_of(run, words, ends, Prefix(words, None))
+        text = np.searchsorted(ends, pos, side="right")
+        order = np.lexsort((key, text))
+        text, key = text[order], key[order]
+        new = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])][: len(text)]
+        yield text[new] + i, key[new]
+
+
+def _each(g: np.ndarray) -> np.ndarray:
+    """Grams once a text."""
+    g = g[np.lexsort((g["key"], g["t2"], g["t1"]))]
+    return g[np.r_[True, (g["t1"][1:] != g["t1"][:-1]) | (g["t2"][1:] != g["t2"][:-1]) | (g["key"][1:] != g["key"][:-1])][: len(g)]]
+
+
+def _common(g: np.ndarray, buckets: int, last: bool) -> list:
+    """Of grams, each once a row of the table, those of several rows by bucket of their text (kind 4). In a
+    batch one of each gram goes on (kind 3), counting as two if it is of several rows, until the last."""
+    g = g[np.argsort(g["key"], kind="stable")]
+    first = np.r_[True, g["key"][1:] != g["key"][:-1]][: len(g)]
+    cls = np.cumsum(first) - 1
+    n = np.bincount(cls, g["mult"]).astype(np.int64)
+    own = _each(g[(n[cls] > 1) & (g["mult"] == 1)])
+    rows = _rows(4, own["t1"] % buckets, own) if len(own) else []
+    one = g[first]
+    one["mult"] = np.minimum(n, 2)
+    return rows if last or not len(one) else rows + _rows(3, (one["key"] % _U(buckets)).astype(np.int64), one)
+
+
 def _spans(t1, t2, a, b) -> np.ndarray:
     out = np.empty(len(t1), _SPAN)
     out["t1"], out["t2"], out["a"], out["b"] = t1, t2, a, b
@@ -214,23 +286,31 @@ def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
 
 
-def _find_anchors(z: Sizes, buckets: int):
+def _find_anchors(z: Sizes, buckets: int, run_of: Run | None = None):
     """Anchors by bucket of their gram. Equal surroundings within a batch are settled here: they give
-    spans (kind 0), and one of them goes on (kind 1), counting as two."""
+    spans (kind 0), and one of them goes on (kind 1), counting as two. With run_of the grams of words
+    too (kinds 3 and 4, see _common)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for pdf in batches:
-                texts = [t.encode() if isinstance(t, str) and len(t) * 4 >= z.length else b"" for t in pdf["text"]]
+                least = min(z.length, 8 * run_of.length - 4) if run_of else z.length
+                texts = [t.encode() if isinstance(t, str) and len(t) * 4 >= least else b"" for t in pdf["text"]]
                 t1, t2 = pdf["k1"].to_numpy(np.int64), pdf["k2"].to_numpy(np.int64).astype(np.uint32)
                 found = []
                 for text, rec in text_anchors(texts, z):
                     rec["t1"], rec["t2"] = t1[text], t2[text]
                     found.append(rec)
                 r = np.concatenate(found) if found else np.empty(0, _ANCHOR)
-                if not len(r):
-                    continue
-                yield _frame(_dealt(r, buckets))
+                rows = _dealt(r, buckets)
+                grams = list(text_grams(texts, run_of)) if run_of else []
+                if sum(len(key) for _, key in grams):
+                    text = np.concatenate([x for x, _ in grams])
+                    g = np.empty(len(text), _GRAM)
+                    g["key"], g["t1"], g["t2"], g["mult"] = np.concatenate([key for _, key in grams]), t1[text], t2[text], 1
+                    rows += _common(g, buckets, False)
+                if rows:
+                    yield _frame(rows)
 
     return run
 
@@ -270,7 +350,7 @@ def _classes(r: np.ndarray, buckets: int, hot: int) -> list:
 
 def _reduced(z: Sizes, buckets: int, hot: int):
     """One bucket of rows of any kind: spans go on (0), records become spans and requests (1), the
-    surroundings that were asked for become spans (2)."""
+    surroundings that were asked for become spans (2), grams of words those of several rows (4)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, kind = [], pdf["kind"]
@@ -279,6 +359,9 @@ def _reduced(z: Sizes, buckets: int, hot: int):
             r = _cat(pdf["blob"][kind == 1], _ANCHOR)
             if len(r):
                 rows += _classes(r, buckets, hot)
+            rows += _common(_cat(pdf["blob"][kind == 3], _GRAM), buckets, True)
+            g = _each(_cat(pdf["blob"][kind == 4], _GRAM))
+            rows += _rows(4, g["t1"] % buckets, g) if len(g) else []
             c = _cat(pdf["blob"][kind == 2], z.context)
             if len(c):
                 c = c[np.lexsort((c["pos"], c["t2"], c["t1"], c["key"]))]
@@ -320,6 +403,15 @@ def _by_text(dtype, merge: bool):
     return run
 
 
+def _ended(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spans (kind 0) and grams (kind 4) of one bucket of texts -> one row for each text."""
+    spans = _by_text(_SPAN, True)(pdf[pdf["kind"] == 0])
+    g = _each(_cat(pdf["blob"][pdf["kind"] == 4], _GRAM))
+    grams = pd.DataFrame({"k1": g["t1"], "k2": g["t2"].astype(np.int64)}).groupby(["k1", "k2"]).size().rename("grams").reset_index()
+    out = spans.astype({"k1": np.int64, "k2": np.int64}).merge(grams, on=["k1", "k2"], how="outer")
+    return out.assign(body=out["body"].where(out["body"].notna(), None), grams=out["grams"].fillna(0).astype(np.int64))
+
+
 def _answer(z: Sizes, buckets: int):
     """The bytes around the anchors that were asked for (kind 2); around frequent grams, records of parts
     of their range of offsets instead (kinds 0 and 1, see _parts)."""
@@ -522,19 +614,20 @@ def _slowly(z: Sizes, c: np.ndarray) -> np.ndarray:
     return _spans(c["t1"][k], c["t2"][k], c["pos"][k] - back, c["pos"][k] - back + z.length)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(k1, k2, body): for each text of docs(doc_id, text, k1, k2) with repeated bytes, its merged spans
-    as pairs of 32-bit offsets. k2 holds 32 bits."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, run_words: int = 0) -> DataFrame:
+    """(k1, k2, body, grams): for each text of docs(doc_id, text, k1, k2) with repeated bytes, its merged
+    spans as pairs of 32-bit offsets, and with run_words the number of its grams that another row has
+    too (see remove_repeats; such a text may have no spans: null). k2 holds 32 bits."""
     spark = docs.sparkSession
     bounded_batches(spark)
     buckets, z = n_buckets(spark, 2), Sizes(length)
     rows = "kind int, bucket int, blob binary"
-    mapped, texts, spans, made = docs.select("text", "k1", "k2").mapInPandas(_find_anchors(z, buckets), rows), None, None, []
+    mapped, texts, spans, made = docs.select("text", "k1", "k2").mapInPandas(_find_anchors(z, buckets, Run(run_words) if run_words else None), rows), None, None, []
     while mapped is not None:
         found = written(mapped.groupBy("bucket").applyInPandas(_reduced(z, buckets, hot), rows), "suffix-found")
         made.append(found)
         release_shuffles(spark)
-        own = found.where("kind = 0").select("bucket", "blob")
+        own = found.where("kind in (0, 4)")
         spans = own if spans is None else spans.union(own)
         ask = found.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInPandas(_by_text(_REQUEST, False), "k1 long, k2 long, body binary")
         if texts is None:
@@ -548,7 +641,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             asked = ask.join(texts.drop("body"), ["k1", "k2"])
         # each round narrows the ranges of frequent grams, from all offsets to one: at most four rounds
         mapped = None if found.where("kind = 1").isEmpty() else asked.select("text", "body").mapInPandas(_answer(z, buckets), rows)
-    out = written(spans.groupBy("bucket").applyInPandas(_by_text(_SPAN, True), "k1 long, k2 long, body binary"), "suffix-spans")
+    out = written(spans.groupBy("bucket").applyInPandas(_ended, "k1 long, k2 long, body binary, grams long"), "suffix-spans")
     for table in made:
         drop_written(table)
     return out
@@ -563,34 +656,40 @@ def _words(raw: bytes) -> int:
     return len(raw.split())
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT, length: int = LENGTH, over_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT, length: int = LENGTH, over_words: int = 0, run_words: int = 0) -> DataFrame:
     """The carried columns of every row of docs, then n_bytes, n_removed, n_spans, kept_sha256, and with
-    with_text the remaining text as kept (a character that a cut splits is left out).
+    with_text the remaining text as kept (a character that a cut splits is left out), and with run_words
+    n_shared_grams.
 
     Every byte covered by a string of length bytes that also starts elsewhere goes, in all copies; with
     over_words only those in runs of more than so many words, cut words included. Null text counts as
     empty; a text is named by 96 bits of its hashes, so repeated rows and equal texts get equal results;
-    null ids take part; an empty table gives no rows; other columns are never read."""
+    null ids take part; an empty table gives no rows; other columns are never read.
+
+    n_shared_grams counts the different grams of run_words * 4 // 5 words that another row has too. Every
+    run of run_words words has one at least (that of least hash), so a row that shares such a run has 1 or
+    more, and a row that has any shares a gram's words with another. What repeats within one row only
+    doesn't count, and nothing is removed for it. Grams are told apart by 64 bits of hashes of words."""
     keyed = docs.select(*[_plain(docs, c).alias(f"c{k}") for k, c in enumerate(carry)], F.col("doc_id"), F.col("text"), *text_key(F.col("text"))).withColumn("k2", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)))
-    spans = repeated_spans(keyed, length, hot)
+    spans = repeated_spans(keyed, length, hot, run_words)
     own = [f"c{k}" for k in range(len(carry))]
     # merged at every size: a broadcast for small inputs alone would only hide how the plan grows
-    rows = keyed.drop("doc_id").join(spans.hint("merge"), ["k1", "k2"], "left").select(*own, "text", "body")
-    schema = ", ".join(f"c{k} string" for k in range(len(carry))) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    rows = keyed.drop("doc_id").join(spans.hint("merge"), ["k1", "k2"], "left").select(*own, "text", "body", F.coalesce("grams", F.lit(0)).alias("grams"))
+    schema = ", ".join(f"c{k} string" for k in range(len(carry))) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + ", n_shared_grams long" * bool(run_words)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, body in zip(pdf["text"], pdf["body"]):
+            for text, body, grams in zip(pdf["text"], pdf["body"], pdf["grams"]):
                 raw = text.encode() if isinstance(text, str) else b""
                 kept, removed, n = raw, 0, 0
                 if body is not None:
                     s = [(a, b) for a, b in np.frombuffer(body, "<u4").reshape(-1, 2).tolist() if not over_words or _words(raw[a:b]) > over_words]
                     kept = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in s]], [*[a for a, _ in s], len(raw)]))
                     removed, n = len(raw) - len(kept), len(s)
-                out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))
-            cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+                out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text, *[grams] * bool(run_words)))
+            cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *["n_shared_grams"] * bool(run_words)]
             yield pd.concat([pdf[own].reset_index(drop=True), pd.DataFrame(out, columns=cols)], axis=1)
 
     result = rows.mapInPandas(cut, schema)
-    return result.select(*[F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+    return result.select(*[F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *["n_shared_grams"] * bool(run_words))

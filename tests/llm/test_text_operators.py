@@ -370,6 +370,27 @@ def test_suffix(spark, hot, length, over_words):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_shared_runs(spark):
+    """Runs of over 50 words that another row has too show even below 400 bytes; what is removed stays the same."""
+    random.seed(12)
+    some = lambda n: " ".join(f"{random.randrange(10**6):x}" for _ in range(n))
+    runs = {n: " ".join(random.choice("abcdefg") + random.choice("hijk") for _ in range(n)) for n in (51, 60, 130)}
+    shared = [some(90) + sep + runs[n] + "\n" + some(40) for n in runs for sep in (" ", "\n\n")]
+    inside = some(20) + " " + " ".join([some(55)] * 2)
+    short = some(39)
+    long = " ".join(f"x{k}" for k in range(300_000)) + " " + runs[60] + " tail"
+    clean = [some(200) for _ in range(20)] + [inside, short + " a " + some(30), short + " b " + some(30), "", None, some(50), "z" * (suffix.CHUNK * 2)]
+    copies = [some(51)] * 2
+    rows = rows_of([*shared, long, *copies, *clean])
+    all_ = suffix.remove_repeats(docs(spark, rows).repartition(3), run_words=51).collect()
+    got = {r.doc_id: r for r in all_}
+    n = len(shared) + 1 + len(copies)
+    assert len(runs[51].encode()) < 400 and sorted(i for i in got if i is not None and got[i].n_shared_grams) == list(range(1000, 1000 + n))
+    plain = suffix.remove_repeats(docs(spark, rows)).collect()
+    assert sorted(map(key, plain)) == sorted(map(key, [r[:5] for r in all_]))
+    assert suffix.remove_repeats(docs(spark, []), run_words=51).count() == 0
+
+
 @pytest.mark.parametrize("hot", [256, 2])
 def test_suffix_with_colliding_hashes(spark, hot, monkeypatch):
     """Where all prefix hashes are weak, bytes and digests still tell strings apart."""
