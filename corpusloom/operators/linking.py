@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..shared import written
 
 #: Words that don't identify by themselves at the end of a name.
 LIGHT = ("ابو", "ابن", "بن", "ام", "و")
@@ -192,13 +193,18 @@ def best_by_evidence(pairs: DataFrame) -> DataFrame:
     return top.select("left_id", "right_id", "score", margin.alias("margin"), confidence.alias("confidence"), *["duplicates"] * duplicates)
 
 
-def entries_on_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
+def entries_on_pages(entries: DataFrame, pages: DataFrame, cell: int = 4096) -> DataFrame:
     """(book, page, entry): the entries printed on each page (book, page): those that start there, and the last
-    one before it, which may go on. entries: book, entry (in the book's order), page."""
+    one before it, which may go on. entries: book, entry (in the book's order), page. A book is cut into cells of
+    so many pages; what goes on from one cell to the next is found from the cells' last entries."""
+    at = F.floor(F.col("page") / cell).alias("cell")
     asked = pages.select("book", "page").distinct().select("book", "page", F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
-    w = Window.partitionBy("book").orderBy("page").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = lambda *by: Window.partitionBy(*by).rangeBetween(Window.unboundedPreceding, -1)
     starts = F.when(F.col("entry").isNotNull(), F.struct("page", "entry"))
-    before = entries.select("book", "page", "entry").union(asked).withColumn("_b", F.max(starts).over(w)).where("entry IS NULL AND _b IS NOT NULL").select("book", "page", F.col("_b.entry").alias("entry"))
+    both = entries.select("book", "page", "entry", at).union(asked.select("*", at)).withColumn("_s", starts)
+    cells = both.groupBy("book", "cell").agg(F.max("_s").alias("_last")).select("book", "cell", F.max("_last").over(earlier("book").orderBy("cell")).alias("_before"))
+    own = both.withColumn("_b", F.max("_s").over(earlier("book", "cell").orderBy("page"))).where("entry IS NULL").join(cells, ["book", "cell"])
+    before = own.select("book", "page", F.coalesce("_b", "_before").alias("_b")).where("_b IS NOT NULL").select("book", "page", F.col("_b.entry").alias("entry"))
     return entries.select("book", "page", "entry").join(asked.select("book", "page"), ["book", "page"]).union(before).distinct()
 
 
@@ -206,10 +212,11 @@ def page_votes(cites: DataFrame, index: DataFrame, entries: DataFrame) -> DataFr
     """left_id, right_id, votes, pages: how many of a record's cites (left_id, book, vol, printed) fall on a page
     on which an entry stands, and how many of its cites are on known pages. index: book, vol, printed, page, the
     place of a printed page in its book; entries: book, entry, page."""
-    known = cites.join(index, ["book", "vol", "printed"]).select("left_id", "book", "page")
-    total = known.groupBy("left_id").agg(F.count("*").alias("pages"))
-    per = known.groupBy("left_id", "book", "page").agg(F.count("*").alias("n"))
-    met = per.join(entries_on_pages(entries, known), ["book", "page"])
+    per = cites.join(index, ["book", "vol", "printed"]).groupBy("left_id", "book", "page").agg(F.count("*").alias("n"))
+    per = written(per, "cited-pages")
+    total = per.groupBy("left_id").agg(F.sum("n").alias("pages"))
+    on = written(entries_on_pages(entries, per), "entries-on-pages")
+    met = per.join(on, ["book", "page"])
     return met.groupBy("left_id", F.col("entry").alias("right_id")).agg(F.sum("n").alias("votes")).join(total, "left_id").select("left_id", "right_id", "votes", "pages")
 
 

@@ -108,3 +108,12 @@ def test_gold(spark):
     rows = spark.createDataFrame([("a", "m", 1, 1), ("a", "m", 1, 2), ("a", "k", None, 3), ("a", "k", 4, None)], "book string, method string, ours int, gold int")
     got = {(r.book, r.method): tuple(r)[2:] for r in linking.gold_report(rows).collect()}
     assert got[("a", "m")] == (2, 2, 1, 1, 0, 0.5) and got[("a", "k")] == (2, 1, 0, 0, 1, None) and got[(None, None)] == (4, 3, 1, 1, 1, 0.5)
+
+
+def test_entries_go_on_from_cell_to_cell(spark):
+    """An entry reaches over pages of cells in which none starts; cells change nothing."""
+    entries = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 5), ("b", 9, 4)], "book string, entry int, page int")
+    pages = spark.createDataFrame([("a", 0), ("a", 4), ("a", 5), ("a", 23), ("b", 3), ("b", 4), ("b", 11)], "book string, page int")
+    want = [("a", 0, 1), ("a", 0, 2), ("a", 4, 2), ("a", 5, 2), ("a", 5, 3), ("a", 23, 3), ("b", 4, 9), ("b", 11, 9)]
+    for cell in (1, 3, 4096):
+        assert sorted(map(tuple, linking.entries_on_pages(entries, pages, cell).collect())) == want
