@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import candidates as cand
 from corpusloom.operators import merging
 
@@ -236,3 +238,12 @@ def test_candidates_against_brute_force(spark):
     assert {r.tier for r in rows} == set(cand.TIERS)
     assert sum(r.candidates for r in cand.tier_counts(found).collect()) == len(rows)
     assert cand.candidates(df.limit(0), ps).count() == 0 and cand.candidates(df, ps.limit(0)).count() == 0
+
+
+def test_runs_and_rarest_words(spark):
+    """What names are looked up by: runs in a lineage, and the two words that the fewest entries have."""
+    c = spark.range(1).select(cand._runs(F.array(*map(F.lit, "abcd")), range(1, 3), 2).alias("r")).first().r
+    assert sorted(c) == [["b"], ["b", "c"], ["c"], ["c", "d"]]
+    each = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (2, "x")], "name_id int, w string")
+    index = spark.createDataFrame([(k, "x") for k in range(5)] + [(1, "z")], "id int, w string")
+    assert {r.name_id: r.ws for r in cand._rarest(each, index, 2).collect()} == {1: ["y", "z"], 2: ["x"]}
