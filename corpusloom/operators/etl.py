@@ -133,7 +133,11 @@ def same_person(mine: DataFrame, theirs: DataFrame, years: int = 5) -> DataFrame
     key = lambda c: normalize(F.trim(c), ARABIC)
     a, b = mine.select("id", key(F.col("name")).alias("k"), F.col("death").alias("d1")), theirs.select("other", key(F.col("name")).alias("k"), F.col("death").alias("d2"))
     near = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= years, F.lit(True))
-    return b.join(a, "k").groupBy("other").agg(F.min_by("id", F.struct((~near).alias("far"), "id")).alias("id"))
+    # people of one name and year are one, as are theirs: of each name only its years meet
+    first = a.groupBy("k", "d1").agg(F.min("id").alias("id"))
+    best = b.select("k", "d2").distinct().join(first, "k").groupBy("k", "d2").agg(F.min(F.struct((~near).alias("far"), "id")).alias("x")).select("k", "d2", "x.far", "x.id").withColumnsRenamed({"k": "_k", "d2": "_d"})
+    one = b.join(best, (F.col("k") == F.col("_k")) & F.col("d2").eqNullSafe(F.col("_d")))
+    return one.groupBy("other").agg(F.min_by("id", F.struct("far", "id")).alias("id"))
 
 
 def book_names(books: DataFrame, names: DataFrame) -> DataFrame:

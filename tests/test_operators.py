@@ -132,3 +132,18 @@ def test_verdicts_as_cases(spark):
     assert got[3].negated and got[3].status == "not-found" and got[3].best == 1
     assert [got[k].status for k in (4, 5, 6, 8)] == ["invalid", "not-found", "invalid", "invalid"]
     assert got[7].status == "exact"  # joined letters don't count
+
+
+def test_same_person_of_one_name(spark):
+    """A name that all have makes no pairs: only its years meet."""
+    from corpusloom.operators import etl
+
+    mine = spark.range(30000).selectExpr("id", "'n' AS name", "CASE WHEN id % 3 = 0 THEN NULL ELSE 100 + id % 50 END AS death")
+    theirs = spark.range(30000).selectExpr("id AS other", "'n' AS name", "CASE WHEN id % 4 = 0 THEN NULL ELSE 110 + id % 60 END AS death")
+    got = {r.other: r.id for r in etl.same_person(mine.where("id <> 0 AND (id % 3 <> 0 OR id > 600)"), theirs).collect()}
+    year = {i: 100 + i % 50 for i in range(1, 30000) if i % 3}
+    for o in (0, 1, 7, 59):
+        d = 110 + o % 60
+        near = [i for i in range(1, 30000) if (i in year or i > 600) and (o % 4 == 0 or i not in year or abs(year[i] - d) <= 5)]
+        assert got[o] == min(near)
+    assert len(got) == 30000
